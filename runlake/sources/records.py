@@ -17,15 +17,21 @@ MEMBERSHIP_SCHEMA = (
 
 
 def read_record_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """NDJSON lines as ``record`` text with their ``_position``.
+    """NDJSON lines as ``record`` text with their ``_position``."""
+    lines = spark.read.text(path).select("value", "_metadata.file_path", "_metadata.file_block_start")
+    return record_lines(lines)
+
+
+def record_lines(lines: DataFrame) -> DataFrame:
+    """Lines (``value, file_path, file_block_start``) as ``record`` and ``_position``.
 
     Positions compare like places in the files: by file, by split, then by line.
     """
     position = F.struct(
-        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+        F.col("file_path").alias("file"), F.col("file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("line"),
     )
-    return spark.read.text(path).select(F.col("value").alias("record"), position.alias("_position")).where(F.trim("record") != "")
+    return lines.select(F.col("value").alias("record"), position.alias("_position")).where(F.trim("record") != "")
 
 
 def with_identity(records: DataFrame, record_type: str, record: str = "record") -> DataFrame:

@@ -8,9 +8,9 @@ record harmless.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from ..plans import Dataset
+from ..sources import record_lines
 
 
 def store_batches(stream: DataFrame, path: str, checkpoint: str) -> None:
@@ -25,13 +25,9 @@ def store_batches(stream: DataFrame, path: str, checkpoint: str) -> None:
 
 
 def _pages(spark: SparkSession, landing: str, pages_per_batch: int) -> DataFrame:
-    """Landed NDJSON pages as record lines with positions."""
+    """Landed NDJSON pages as a stream of lines with their file and split."""
     lines = spark.readStream.schema("value string").option("maxFilesPerTrigger", pages_per_batch).text(landing)
-    position = F.struct(
-        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("line"),
-    )
-    return lines.select(F.col("value").alias("record"), position.alias("_position")).where(F.trim("record") != "")
+    return lines.select("value", "_metadata.file_path", "_metadata.file_block_start")
 
 
 def ingest_pages(
@@ -44,7 +40,7 @@ def ingest_pages(
     """
 
     def append(batch: DataFrame, batch_id: int) -> None:
-        dataset.add_page(record_type, run_id, batch, fetch, f"{batch_id:09d}")
+        dataset.add_page(record_type, run_id, record_lines(batch), fetch, f"{batch_id:09d}")
 
     _pages(dataset.spark, landing, pages_per_batch).writeStream.foreachBatch(append).option(
         "checkpointLocation", checkpoint
