@@ -13,8 +13,8 @@ MARKER = r'(?<!\\)"__attachment__"\s*:\s*"((?:[^"\\]|\\.)*)"'
 TOKEN = r'("(?:[^"\\]|\\.)*"\s*:?|-?\d[-+0-9.eE]*|true|false)'
 
 
-def is_json(text: Column) -> Column:
-    """Whether the whole text is one JSON value.
+def is_json(text: Column, parsed: Column | None = None) -> Column:
+    """Whether the whole text is one JSON value; ``parsed`` is its variant if at hand.
 
     The variant parser is strict inside the value but ignores what follows it; wrapping the
     text in an array and in an object leaves no room for a second value.  The three parsers
@@ -22,7 +22,8 @@ def is_json(text: Column) -> Column:
     """
     as_item = F.json_array_length(F.concat(F.lit("["), text, F.lit("]"))) == 1
     as_field = F.size(F.json_object_keys(F.concat(F.lit('{"x":'), text, F.lit("}")))) == 1
-    return F.coalesce(F.try_parse_json(text).isNotNull() & as_item & as_field, F.lit(False))
+    parsed = F.try_parse_json(text) if parsed is None else parsed
+    return F.coalesce(parsed.isNotNull() & as_item & as_field, F.lit(False))
 
 
 def try_json(text: Column) -> Column:

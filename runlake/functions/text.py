@@ -17,19 +17,17 @@ REPORT_TYPES = ("answers", "usage", "log", "recovered")
 PSEUDO_HEADERS = ("Prompt", "Correct answer")
 # Content types that hold text.
 TEXT_TYPES = r"^text/|json|xml|csv|svg"
-# Device names that are reserved whatever their extension.
-RESERVED_STEM = r"(?i)^(CON|PRN|AUX|NUL|COM[1-9]|LPT[1-9])$"
+# Device names that are reserved whatever their extension; also the empty name.
+NEEDS_PREFIX = r"(?i)^(?=$|(?:CON|PRN|AUX|NUL|COM[1-9]|LPT[1-9])(?:\.|$))"
 
 
 def sanitize_filename(name: Column) -> Column:
     """H3: a portable base name made only of ``[A-Za-z0-9._-]``."""
     tail = F.lit(". ")
-    base = F.regexp_replace(F.translate(name, "\\", "/"), r"(?s)^.*/", "")
-    base = F.regexp_replace(F.rtrim(base, tail), r"[^A-Za-z0-9._-]", "_")
-    base = F.rtrim(base, tail)
-    base = F.when(base == "", "_").otherwise(base)
-    reserved = F.substring_index(base, ".", 1).rlike(RESERVED_STEM)
-    return F.when(reserved, F.concat(F.lit("_"), base)).otherwise(base)
+    base = F.substring_index(F.translate(name, "\\", "/"), "/", -1)
+    base = F.rtrim(F.regexp_replace(F.rtrim(base, tail), r"[^A-Za-z0-9._-]", "_"), tail)
+    # One zero-width match at the start inserts the prefix, so the base is computed once.
+    return F.regexp_replace(base, NEEDS_PREFIX, "_")
 
 
 def is_text_content_type(content_type: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import key_columns, try_number
-from .ordered import DAY_SECONDS, ordered_columns, time_bucket
+from .ordered import DAY_SECONDS, ordered_columns, session_columns, time_bucket
 
 SESSION_GAP_SECONDS = 1800
 
@@ -151,17 +151,7 @@ def navigation_trace(
     bucket_seconds: int = DAY_SECONDS,
 ) -> DataFrame:
     """Each event with its session number and step within the session, as rows."""
-    bucket = time_bucket(F.col(ts), bucket_seconds)
-    rows = with_previous_event(log, user, ts, tie, event, gap_seconds, bucket_seconds)
-    one = F.lit(1).cast("bigint")
-    rows = ordered_columns(
-        rows, user, [ts, tie], bucket,
-        sums={"_row": one, "session_no": F.col("new_session").cast("bigint")},
-    )
-    rows = ordered_columns(
-        rows, user, [ts, tie], bucket, maxes={"_start": F.when(F.col("new_session"), F.col("_row"))}
-    )
-    return rows.withColumn("step", F.col("_row") - F.col("_start") + 1).drop("_row", "_start")
+    return session_columns(log, user, ts, tie, event, gap_seconds, bucket_seconds)
 
 
 def attention(log: DataFrame, target: str = "event", user: Sequence[str] = ("user_id",), **options) -> DataFrame:

@@ -14,10 +14,11 @@ def _text_of(value: Column) -> Column:
     return F.when(kind == "STRING", F.try_variant_get(value, "$", "string")).when(kind == "VOID", F.lit(""))
 
 
-def _object_or_null(text: Column) -> Column:
-    """Whether text is one JSON object or the JSON null."""
-    kind = F.schema_of_variant(F.try_parse_json(text))
-    return is_json(text) & (kind.startswith("OBJECT") | (kind == "VOID"))
+def _object_or_null(text: Column, parsed: Column) -> Column:
+    """Whether text is one JSON object or the JSON null; NULL where there is no text."""
+    kind = F.schema_of_variant(parsed)
+    good = is_json(text, parsed) & F.coalesce(kind.startswith("OBJECT") | (kind == "VOID"), F.lit(False))
+    return F.when(text.isNotNull(), good)
 
 
 def double_decode(records: DataFrame, record: str = "record") -> DataFrame:
@@ -30,27 +31,21 @@ def double_decode(records: DataFrame, record: str = "record") -> DataFrame:
     is no string stays as it is and an absent one stays NULL.  The record text itself is
     never rewritten, so no other field changes.
     """
-    kept = [F.col(c) for c in records.columns]
+    # One step per parse: each text is parsed once and later steps refer to the result.
     state = F.try_variant_get(F.try_parse_json(F.col(record)), "$.report_state", "variant")
-    step = records.select(*kept, state.alias("_state"))
-    step = step.select(*kept, "_state", _text_of(F.col("_state")).alias("_outer"))
-    step = step.select(
-        *kept, "_state", "_outer",
-        F.when(F.col("_outer").isNotNull(), _object_or_null(F.col("_outer"))).alias("_outer_ok"),
+    step = records.withColumn("_state", state)
+    step = step.withColumn("_outer", _text_of(F.col("_state")))
+    step = step.withColumn("_outer_json", F.try_parse_json("_outer"))
+    step = step.withColumn("_outer_ok", _object_or_null(F.col("_outer"), F.col("_outer_json")))
+    fields = F.try_variant_get("_outer_json", "$", "map<string,variant>")
+    step = step.withColumn("_fields", F.when(F.col("_outer_ok"), fields))
+    step = step.withColumn(
+        "_inner",
+        F.when(F.map_contains_key("_fields", "interactiveState"), _text_of(F.try_element_at("_fields", F.lit("interactiveState")))),
     )
-    fields = F.try_variant_get(F.try_parse_json(F.col("_outer")), "$", "map<string,variant>")
-    step = step.select(*kept, "_state", "_outer", "_outer_ok", F.when(F.col("_outer_ok"), fields).alias("_fields"))
-    inner_value = F.try_element_at(F.col("_fields"), F.lit("interactiveState"))
-    has_inner = F.map_contains_key("_fields", "interactiveState")
-    step = step.select(
-        *kept, "_state", "_outer", "_outer_ok", "_fields",
-        F.when(has_inner, _text_of(inner_value)).alias("_inner"),
-    )
-    step = step.select(
-        *kept, "_state", "_outer", "_outer_ok", "_fields", "_inner",
-        F.when(F.col("_inner").isNotNull(), _object_or_null(F.col("_inner"))).alias("_inner_ok"),
-    )
-    inner = F.when(F.col("_inner_ok"), F.try_parse_json("_inner")).otherwise(F.parse_json(F.lit("null")))
+    step = step.withColumn("_inner_json", F.try_parse_json("_inner"))
+    step = step.withColumn("_inner_ok", _object_or_null(F.col("_inner"), F.col("_inner_json")))
+    inner = F.when(F.col("_inner_ok"), F.col("_inner_json")).otherwise(F.parse_json(F.lit("null")))
     replaced = F.map_concat(
         F.map_filter("_fields", lambda k, v: k != "interactiveState"),
         F.create_map(F.lit("interactiveState"), inner),
@@ -62,7 +57,7 @@ def double_decode(records: DataFrame, record: str = "record") -> DataFrame:
     )
     failed = ~F.coalesce("_outer_ok", F.lit(True)) | ~F.coalesce("_inner_ok", F.lit(True))
     return step.select(
-        *kept,
+        *records.columns,
         decoded.alias("report_state"),
         F.when(~F.col("_outer_ok"), F.col("_outer")).alias("report_state_raw"),
         F.when(~F.col("_inner_ok"), F.col("_inner")).alias("interactive_state_raw"),

@@ -17,8 +17,8 @@ BIGINT, DOUBLE, BOOLEAN, VARCHAR, JSON = 1, 2, 4, 8, 16
 # How a CSV cell reads as an integer and as a float.
 INTEGER_CELL = r"^[+-]?[0-9]+$"
 DECIMAL_CELL = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
-HEX_CELL = r"^[+-]?0[xX]_?([0-9a-fA-F]+(_[0-9a-fA-F]+)*\.?([0-9a-fA-F]+(_[0-9a-fA-F]+)*)?|\.[0-9a-fA-F]+(_[0-9a-fA-F]+)*)[pP][+-]?[0-9]+$"
-SPECIAL_CELL = r"(?i)^[+-]?(inf|infinity)$|(?i)^nan$"
+DIGITS = r"[0-9a-fA-F]+(?:_[0-9a-fA-F]+)*"
+SPECIAL_CELL = rf"^(?:[+-]?(?i:inf|infinity)|(?i:nan)|[+-]?0[xX]_?(?:{DIGITS}\.?(?:{DIGITS})?|\.{DIGITS})[pP][+-]?[0-9]+)$"
 
 # Store columns whose type does not depend on the data.
 PINNED = {
@@ -38,14 +38,21 @@ PINNED = {
 
 def csv_cell_kind(cell: Column) -> Column:
     """Kind bit of a CSV cell; an empty or absent cell has no vote."""
-    finite = F.abs(cell.try_cast("double")) < float("inf")
-    hexadecimal = cell.rlike(HEX_CELL)
+    # The first character rules out most kinds without a pattern.  A failing cast is far
+    # dearer than a pattern, so casts see only cells that look right: up to 18 digits always
+    # fit, and a decimal always parses but may be infinite.
+    lead = F.substring(cell, 1, 1)
+    special = F.when(cell.rlike(SPECIAL_CELL), DOUBLE).otherwise(VARCHAR)
+    number = (
+        F.when(cell.rlike(INTEGER_CELL) & ((F.length(cell) <= 18) | cell.try_cast("bigint").isNotNull()), BIGINT)
+        .when(cell.rlike(DECIMAL_CELL), F.when(F.abs(cell.try_cast("double")) < float("inf"), DOUBLE).otherwise(VARCHAR))
+        .otherwise(special)
+    )
     return (
         F.when(cell.isNull() | (cell == ""), 0)
-        .when(cell.rlike(INTEGER_CELL) & cell.try_cast("bigint").isNotNull(), BIGINT)
-        .when(cell.rlike(DECIMAL_CELL) & finite, DOUBLE)
-        .when(cell.rlike(SPECIAL_CELL) | hexadecimal, DOUBLE)
-        .when(F.lower(cell).isin("true", "false"), BOOLEAN)
+        .when(lead.isin(*"0123456789+-."), number)
+        .when(lead.isin(*"tTfF"), F.when(F.lower(cell).isin("true", "false"), BOOLEAN).otherwise(VARCHAR))
+        .when(lead.isin(*"iInN"), special)
         .otherwise(VARCHAR)
     )
 
@@ -62,7 +69,9 @@ def csv_type(kinds: Column) -> Column:
 
 def infer_csv_schema(cells: DataFrame) -> DataFrame:
     """A2: ``column, position, type`` for an all-text frame, in column order."""
-    masks = cells.agg(*[F.bit_or(csv_cell_kind(F.col(_q(c)))).alias(f"c{i}") for i, c in enumerate(cells.columns)])
+    # Kinds as one array: a wide report does not make one huge generated method.
+    kinds = F.transform(F.array(*[F.col(_q(c)).cast("string") for c in cells.columns]), csv_cell_kind)
+    masks = cells.select(kinds.alias("_k")).agg(*[F.bit_or(F.col("_k")[i]).alias(f"c{i}") for i in range(len(cells.columns))])
     pairs = [
         F.struct(F.lit(c).alias("column"), F.lit(i).cast("bigint").alias("position"), csv_type(F.col(f"c{i}")).alias("type"))
         for i, c in enumerate(cells.columns)

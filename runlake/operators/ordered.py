@@ -85,6 +85,65 @@ def ordered_columns(
     return joined.select(*out)
 
 
+def session_columns(
+    df: DataFrame, keys: Sequence[str], ts: str, tie: str, event: str, gap_seconds: int, bucket_seconds: int = DAY_SECONDS
+) -> DataFrame:
+    """Add ``prev_event, gap_micros, new_session, session_no, step`` per key in one pass.
+
+    A session starts at a key's first row and after each gap longer than ``gap_seconds``.
+    Whether the first row of a bucket starts a session, how many sessions and rows came
+    before it and where the session it continues began all follow from the bucket
+    summaries, so the rows are shuffled once whatever the number of columns.
+    """
+    limit = gap_seconds * 1_000_000
+    group = [*keys, "_bucket"]
+    base = df.withColumns({"_bucket": time_bucket(F.col(ts), bucket_seconds), "_at": F.unix_micros(F.col(ts).cast("timestamp"))})
+    within = Window.partitionBy(*group).orderBy(ts, tie)
+    upto = within.rowsBetween(Window.unboundedPreceding, 0)
+    here = F.struct(F.col(event).alias("event"), F.col("_at").alias("at"))
+    one = F.lit(1).cast("bigint")
+    rows = base.withColumns({"_prev": F.lag(here).over(within), "_n": F.row_number().over(within).cast("bigint")})
+    rows = rows.withColumn("_new", F.coalesce(F.col("_at") - F.col("_prev.at") > limit, F.lit(False)))
+    rows = rows.withColumns({
+        "_news": F.sum(F.col("_new").cast("bigint")).over(upto),
+        "_start": F.max(F.when(F.col("_new"), F.col("_n"))).over(upto),
+    })
+
+    chain = Window.partitionBy(*keys).orderBy("_bucket")
+    before = chain.rowsBetween(Window.unboundedPreceding, -1)
+    heads = rows.groupBy(*group).agg(
+        F.min("_at").alias("_first"), F.max_by(here, F.struct(ts, tie)).alias("_last"), F.max("_n").alias("_rows"),
+        F.max("_news").alias("_news"), F.max("_start").alias("_start"),
+    )
+    heads = heads.withColumn("_carry", F.lag("_last").over(chain))
+    heads = heads.withColumn("_opens", F.coalesce(F.col("_first") - F.col("_carry.at") > limit, F.lit(True)))
+    heads = heads.withColumns({
+        "_rows_before": F.coalesce(F.sum("_rows").over(before), F.lit(0)),
+        "_news_before": F.coalesce(F.sum(F.col("_news") + F.col("_opens").cast("bigint")).over(before), F.lit(0)),
+    })
+    start = F.col("_rows_before") + F.coalesce("_start", F.when(F.col("_opens"), one))
+    heads = heads.withColumn("_start_before", F.max(start).over(before))
+    heads = heads.select(
+        *[F.col(k).alias(f"_k{i}") for i, k in enumerate(group)], "_carry", "_opens", "_rows_before", "_news_before", "_start_before"
+    )
+
+    same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(group)]
+    joined = rows.join(heads, on=_all(same), how="inner")
+    first = F.col("_n") == 1
+    prev = F.when(first, F.col("_carry")).otherwise(F.col("_prev"))
+    began = F.coalesce(
+        F.col("_rows_before") + F.col("_start"), F.when(F.col("_opens"), F.col("_rows_before") + 1), F.col("_start_before")
+    )
+    return joined.select(
+        *df.columns,
+        prev["event"].alias("prev_event"),
+        (F.col("_at") - prev["at"]).alias("gap_micros"),
+        F.when(first, F.col("_opens")).otherwise(F.col("_new")).alias("new_session"),
+        (F.col("_news_before") + F.col("_opens").cast("bigint") + F.col("_news")).alias("session_no"),
+        (F.col("_rows_before") + F.col("_n") - began + 1).alias("step"),
+    )
+
+
 def _all(conditions: Sequence[Column]) -> Column:
     result = conditions[0]
     for c in conditions[1:]:
