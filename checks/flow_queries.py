@@ -26,7 +26,7 @@ def streamed_merge(spark, sf):
     landed = work_dir(spark, "stream")
     store_batches(S.ev_of(stream), f"{landed}/segments", f"{landed}/checkpoint")
     segments = spark.read.parquet(f"{landed}/segments").drop("batch")
-    return merge_store(None, segments, None, "answers", position=POS).store.selectExpr(*OUT)
+    return merge_store(None, segments, None, "answers", [500, 501, 502], POS).store.selectExpr(*OUT)
 
 
 def _frames(spark, sf):

@@ -58,7 +58,7 @@ def dedup_runs_latest(spark, sf):
 
 def _first_merge(spark, sf):
     ev = S.ev(spark, sf)
-    return merge_store(None, ev.where(F.col("_run_id").isin(500, 501)), None, "answers", position=POS)
+    return merge_store(None, ev, None, "answers", [500, 501], POS)
 
 
 def _second_merge(spark, sf):
@@ -66,7 +66,7 @@ def _second_merge(spark, sf):
     first = _first_merge(spark, sf)
     ev = S.ev(spark, sf)
     again = ev.where((F.col("_run_id") == 502) | ((F.col("_run_id") == 501) & (F.col("value") >= S.SHRUNK_FROM)))
-    return merge_store(first.store, again, first.membership, "answers", primary_run=501, position=POS)
+    return merge_store(first.store, again, first.membership, "answers", [501, 502], POS)
 
 
 MERGE = f"""{S.EV},
@@ -117,7 +117,7 @@ SELECT _run_id AS run_id, (SELECT count(*) FROM ev e WHERE e._run_id = d2._run_i
 FROM d2 GROUP BY _run_id""")
 def sweep_backlog(spark, sf):
     """Three waiting runs merged in one rewrite."""
-    return merge_store(None, S.ev(spark, sf), None, "answers", primary_run=500, position=POS).counts
+    return merge_store(None, S.ev(spark, sf), None, "answers", [500, 501, 502], POS).counts
 
 
 @query(f"""
@@ -125,12 +125,12 @@ WITH {S.EV}, {S.last_per_run('hd1', 'ev', S.KEYS + ', history_id')}, {S.newest('
 SELECT {S.KEYS}, history_id, _run_id AS run_id, value FROM hd2""")
 def merge_history(spark, sf):
     """C3 on the four-column identity."""
-    store = merge_store(None, S.ev(spark, sf), None, "history", position=POS).store
+    store = merge_store(None, S.ev(spark, sf), None, "history", [500, 501, 502], POS).store
     return store.select(*HISTORY_KEY, F.col("_run_id").alias("run_id"), "value")
 
 
 def _all_runs(spark, sf, record_type="answers"):
-    merged = merge_store(None, S.ev(spark, sf), None, record_type, position=POS)
+    merged = merge_store(None, S.ev(spark, sf), None, record_type, [500, 501, 502], POS)
     return merged.store, merged.membership
 
 
@@ -186,7 +186,7 @@ def covered_identities(spark, sf):
     """G4."""
     ev = S.ev(spark, sf)
     merging = membership_of(ev.where((F.col("_run_id") == 501) & (F.col("value") >= S.SHRUNK_FROM)), "answers")
-    return covered_set(membership_of(ev, "answers"), "answers", merging)
+    return covered_set(membership_of(ev, "answers"), "answers", merging, [501])
 
 
 @query(f"""

@@ -67,24 +67,38 @@ def csv_type(kinds: Column) -> Column:
     )
 
 
-def infer_csv_schema(cells: DataFrame) -> DataFrame:
-    """A2: ``column, position, type`` for an all-text frame, in column order."""
+def describe_csv(cells: DataFrame, report_type: str = "") -> DataFrame:
+    """A2 and D5 in one pass: ``row_count`` and ``columns`` in file order.
+
+    ``columns`` is an array of ``column, position, type``; ``cells`` is an all-text frame.
+    """
     # Kinds as one array: a wide report does not make one huge generated method.
     kinds = F.transform(F.array(*[F.col(_q(c)).cast("string") for c in cells.columns]), csv_cell_kind)
-    masks = cells.select(kinds.alias("_k")).agg(*[F.bit_or(F.col("_k")[i]).alias(f"c{i}") for i in range(len(cells.columns))])
-    pairs = [
+    folded = cells.select(kinds.alias("_k"), _is_data_row(cells, report_type).alias("_data")).agg(
+        F.count_if("_data").alias("row_count"),
+        *[F.bit_or(F.col("_k")[i]).alias(f"c{i}") for i in range(len(cells.columns))],
+    )
+    columns = [
         F.struct(F.lit(c).alias("column"), F.lit(i).cast("bigint").alias("position"), csv_type(F.col(f"c{i}")).alias("type"))
         for i, c in enumerate(cells.columns)
     ]
-    return masks.select(F.inline(F.array(*pairs)))
+    return folded.select("row_count", F.array(*columns).alias("columns"))
+
+
+def infer_csv_schema(cells: DataFrame) -> DataFrame:
+    """A2: ``column, position, type`` for an all-text frame, in column order."""
+    return describe_csv(cells).select(F.inline("columns"))
+
+
+def _is_data_row(cells: DataFrame, report_type: str) -> Column:
+    if report_type != "answers" or "student_id" not in cells.columns:
+        return F.lit(True)
+    return ~F.coalesce(F.col("student_id").cast("string").isin(*PSEUDO_HEADERS), F.lit(False))
 
 
 def data_row_count(cells: DataFrame, report_type: str) -> DataFrame:
     """Rows of a report without pseudo-headers; rows without a student id count."""
-    counted = F.lit(True)
-    if report_type == "answers" and "student_id" in cells.columns:
-        counted = ~F.coalesce(F.col("student_id").cast("string").isin(*PSEUDO_HEADERS), F.lit(False))
-    return cells.agg(F.count_if(counted).alias("row_count"))
+    return cells.agg(F.count_if(_is_data_row(cells, report_type)).alias("row_count"))
 
 
 def json_kind(value: Column) -> Column:

@@ -44,9 +44,8 @@ def ordered_columns(
     and ``maxes`` map a new column to the expression to accumulate, current row included.
     """
     lag, sums, maxes = dict(lag or {}), dict(sums or {}), dict(maxes or {})
-    group = [*keys, "_bucket"]
-    base = df.withColumn("_bucket", bucket)
-    within = Window.partitionBy(*group).orderBy(*order)
+    base = df.withColumn("_group", _group(keys, bucket))
+    within = Window.partitionBy("_group").orderBy(*order)
     upto = within.rowsBetween(Window.unboundedPreceding, 0)
 
     local: dict[str, Column] = {}
@@ -63,17 +62,14 @@ def ordered_columns(
         summary.append(F.max(value).alias(f"_of_{name}"))
     rows = base.withColumns(local)
 
-    chain = Window.partitionBy(*keys).orderBy("_bucket")
-    before = chain.rowsBetween(Window.unboundedPreceding, -1)
-    carried = [F.col(k).alias(f"_k{i}") for i, k in enumerate(group)]
+    chain, before = _chain()
+    carried = [F.col("_group")]
     if lag:
         carried.append(F.lag("_tail").over(chain).alias("_carry"))
     carried += [F.sum(f"_of_{n}").over(before).alias(f"_before_{n}") for n in sums]
     carried += [F.max(f"_of_{n}").over(before).alias(f"_before_{n}") for n in maxes]
-    heads = base.groupBy(*group).agg(*summary).select(*carried)
-
-    same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(group)]
-    joined = rows.join(heads, on=_all(same), how="inner")
+    heads = base.groupBy("_group").agg(*summary).select(*carried)
+    joined = rows.join(heads, "_group", "inner")
 
     out = [F.col(c) for c in df.columns]
     for name in lag:
@@ -96,9 +92,9 @@ def session_columns(
     summaries, so the rows are shuffled once whatever the number of columns.
     """
     limit = gap_seconds * 1_000_000
-    group = [*keys, "_bucket"]
-    base = df.withColumns({"_bucket": time_bucket(F.col(ts), bucket_seconds), "_at": F.unix_micros(F.col(ts).cast("timestamp"))})
-    within = Window.partitionBy(*group).orderBy(ts, tie)
+    group = _group(keys, time_bucket(F.col(ts), bucket_seconds))
+    base = df.withColumns({"_group": group, "_at": F.unix_micros(F.col(ts).cast("timestamp"))})
+    within = Window.partitionBy("_group").orderBy(ts, tie)
     upto = within.rowsBetween(Window.unboundedPreceding, 0)
     here = F.struct(F.col(event).alias("event"), F.col("_at").alias("at"))
     one = F.lit(1).cast("bigint")
@@ -109,9 +105,8 @@ def session_columns(
         "_start": F.max(F.when(F.col("_new"), F.col("_n"))).over(upto),
     })
 
-    chain = Window.partitionBy(*keys).orderBy("_bucket")
-    before = chain.rowsBetween(Window.unboundedPreceding, -1)
-    heads = rows.groupBy(*group).agg(
+    chain, before = _chain()
+    heads = rows.groupBy("_group").agg(
         F.min("_at").alias("_first"), F.max_by(here, F.struct(ts, tie)).alias("_last"), F.max("_n").alias("_rows"),
         F.max("_news").alias("_news"), F.max("_start").alias("_start"),
     )
@@ -123,12 +118,8 @@ def session_columns(
     })
     start = F.col("_rows_before") + F.coalesce("_start", F.when(F.col("_opens"), one))
     heads = heads.withColumn("_start_before", F.max(start).over(before))
-    heads = heads.select(
-        *[F.col(k).alias(f"_k{i}") for i, k in enumerate(group)], "_carry", "_opens", "_rows_before", "_news_before", "_start_before"
-    )
-
-    same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(group)]
-    joined = rows.join(heads, on=_all(same), how="inner")
+    heads = heads.select("_group", "_carry", "_opens", "_rows_before", "_news_before", "_start_before")
+    joined = rows.join(heads, "_group", "inner")
     first = F.col("_n") == 1
     prev = F.when(first, F.col("_carry")).otherwise(F.col("_prev"))
     began = F.coalesce(
@@ -144,8 +135,14 @@ def session_columns(
     )
 
 
-def _all(conditions: Sequence[Column]) -> Column:
-    result = conditions[0]
-    for c in conditions[1:]:
-        result = result & c
-    return result
+def _group(keys: Sequence[str], bucket: Column) -> Column:
+    """Key and bucket as one struct.  A struct equals another with NULLs in the same places,
+    so rows and summaries join by plain equality on the very column the rows are already
+    partitioned and sorted by, and the rows are not shuffled a second time."""
+    return F.struct(F.struct(*keys).alias("key"), bucket.alias("bucket"))
+
+
+def _chain():
+    """The buckets of a key in order, and all buckets before the current one."""
+    chain = Window.partitionBy("_group.key").orderBy("_group.bucket")
+    return chain, chain.rowsBetween(Window.unboundedPreceding, -1)

@@ -64,16 +64,12 @@ def membership_of(records: DataFrame, record_type: str) -> DataFrame:
     return ids.distinct()
 
 
-def covered_set(membership: DataFrame, record_type: str, merging: DataFrame | None = None) -> DataFrame:
-    """Identities some run covers; the sets of merging runs replace their old ones."""
-    keys = key_columns(record_type)
-    kept = membership.where(F.col("type") == record_type)
+def covered_set(membership: DataFrame, record_type: str, merging: DataFrame | None = None, runs: Sequence[int] = ()) -> DataFrame:
+    """Identities some run covers; the ``merging`` sets replace those of ``runs`` whole."""
+    kept = membership.where((F.col("type") == record_type) & ~F.col("run_id").isin(*runs))
     if merging is not None:
-        runs = merging.select("run_id").distinct()
-        kept = kept.join(runs, "run_id", "left_anti").select(*membership.columns).unionByName(
-            merging.where(F.col("type") == record_type).select(*membership.columns)
-        )
-    return normalize_identity(kept, record_type).select(*keys).distinct()
+        kept = kept.unionByName(merging.where(F.col("type") == record_type).select(*membership.columns))
+    return normalize_identity(kept, record_type).select(*key_columns(record_type)).distinct()
 
 
 @dataclass
@@ -91,16 +87,14 @@ def merge_store(
     segments: DataFrame,
     membership: DataFrame | None,
     record_type: str,
-    primary_run: int | None = None,
+    runs: Sequence[int],
     position: Sequence[str] = ("_position",),
-    runs: DataFrame | None = None,
 ) -> MergeResult:
-    """Merge one or many runs' segments into a store.
+    """Merge the segments of ``runs`` into a store; the first run is the primary one.
 
     Source records beat stored ones whatever their stamps, new identities are inserted, and
-    stored identities no membership covers are dropped.  Several runs in ``segments`` make
-    it a sweep of a backlog (I3); a run that was merged before is refreshed (I4).  ``runs``
-    (one ``run_id`` column) names merging runs whose new segment may be empty.
+    stored identities no membership covers are dropped.  Several runs make it a sweep of a
+    backlog (I3); a run that was merged before is refreshed (I4), also to nothing.
 
     Only identity columns are shuffled to decide what happens to stored records.  Their
     payload meets just the replaced and dropped identities in one anti join, which
@@ -108,20 +102,22 @@ def merge_store(
     """
     keys = list(key_columns(record_type))
     require_text_identity(segments, record_type)
-    segments = normalize_identity(segments, record_type)
+    segments = normalize_identity(segments, record_type).where(F.col("_run_id").isin(*runs))
     fresh = membership_of(segments, record_type)
-    source = dedup_runs(dedup_segment(segments, record_type, position), record_type)
+    if len(runs) == 1:
+        # One run decides by position alone, so a single shuffle on the identity is enough.
+        source = _winner(segments, keys, F.struct(*position))
+    else:
+        source = dedup_runs(dedup_segment(segments, record_type, position), record_type)
     source = source.drop("_position")
 
     if membership is None:
         others = None
         members = fresh
     else:
-        merging = fresh.select("run_id").distinct()
-        if runs is not None:
-            merging = merging.union(runs.select(F.col("run_id").cast("bigint"))).distinct()
+        # The run list is a plain filter, so it prunes membership folders.
         same_type = F.col("type") == record_type
-        others = membership.where(same_type).join(merging, "run_id", "left_anti").select(*fresh.columns)
+        others = membership.where(same_type & ~F.col("run_id").isin(*runs)).select(*fresh.columns)
         members = membership.where(~same_type).select(*fresh.columns).unionByName(others).unionByName(fresh)
 
     if store is None:
@@ -145,46 +141,32 @@ def merge_store(
         )
         merged = kept.unionByName(stamped.drop("_old"), allowMissingColumns=True)
 
-    counts = merge_counts(segments, merged, dropped, primary_run, runs)
+    counts = merge_counts(segments, merged, dropped, runs)
     return MergeResult(merged, dropped, members, counts)
 
 
-def merge_counts(
-    segments: DataFrame,
-    merged: DataFrame,
-    dropped: DataFrame,
-    primary_run: int | None,
-    runs: DataFrame | None = None,
-) -> DataFrame:
+def merge_counts(segments: DataFrame, merged: DataFrame, dropped: DataFrame, runs: Sequence[int]) -> DataFrame:
     """D3: fetched, new, updated and removed per merging run.
 
     ``fetched`` counts raw records with repeats, ``new`` and ``updated`` go to the run that
-    owns the winning record, ``removed`` only to the primary run.
+    owns the winning record, ``removed`` only to the primary, first, run.
     """
-    zero = F.lit(0).cast("bigint")
+    names = ("fetched", "new", "updated", "removed")
     run = F.col("_run_id").cast("bigint").alias("run_id")
-    parts = segments.groupBy(run).agg(F.count(F.lit(1)).alias("fetched")).select(
-        "run_id", "fetched", zero.alias("new"), zero.alias("updated"), zero.alias("removed")
-    )
+
+    def row(df: DataFrame, **values) -> DataFrame:
+        return df.select("run_id", *[values.get(n, F.lit(0)).cast("bigint").alias(n) for n in names])
+
+    one = segments.sparkSession.createDataFrame([(r,) for r in runs], "run_id bigint")
+    raw = segments.groupBy(run).agg(F.count(F.lit(1)).alias("n"))
     owned = merged.where(F.col("_status") != "kept").groupBy(run).agg(
-        F.count_if(F.col("_status") == "new").alias("new"),
-        F.count_if(F.col("_status") == "updated").alias("updated"),
-    ).select("run_id", zero.alias("fetched"), "new", "updated", zero.alias("removed"))
-    parts = parts.unionByName(owned)
-    if primary_run is not None:
-        parts = parts.unionByName(
-            dropped.agg(F.count(F.lit(1)).alias("removed")).select(
-                F.lit(primary_run).cast("bigint").alias("run_id"),
-                zero.alias("fetched"), zero.alias("new"), zero.alias("updated"), "removed",
-            )
-        )
-    if runs is not None:
-        parts = parts.unionByName(
-            runs.select(F.col("run_id").cast("bigint"), *[zero.alias(c) for c in ("fetched", "new", "updated", "removed")])
-        )
-    return parts.groupBy("run_id").agg(
-        *[F.sum(c).alias(c) for c in ("fetched", "new", "updated", "removed")]
+        F.count_if(F.col("_status") == "new").alias("new"), F.count_if(F.col("_status") == "updated").alias("updated")
     )
+    gone = dropped.agg(F.count(F.lit(1)).alias("n")).withColumn("run_id", F.lit(runs[0]))
+    parts = row(one).unionByName(row(raw, fetched=F.col("n"))).unionByName(
+        row(owned, new=F.col("new"), updated=F.col("updated"))
+    ).unionByName(row(gone, removed=F.col("n")))
+    return parts.groupBy("run_id").agg(*[F.sum(c).alias(c) for c in names])
 
 
 def run_view(store: DataFrame, membership: DataFrame, record_type: str, run_id: int) -> DataFrame:

@@ -30,8 +30,8 @@ from pyspark.sql import types as T
 
 from ..functions import report_type_from_slug
 from ..operators import (
-    attachment_index, attachment_refs, carry_provenance, data_row_count, dataset_summary, dataset_totals,
-    double_decode, drift_report, infer_csv_schema, infer_json_columns, membership_of, merge_store,
+    attachment_index, attachment_refs, carry_provenance, dataset_summary, dataset_totals, describe_csv,
+    double_decode, drift_report, infer_json_columns, membership_of, merge_store,
     newest_committed, recover_report_type, scan_run_attachments, unreferenced_files,
 )
 from ..sources import (
@@ -154,9 +154,9 @@ class Dataset:
         segments = parts[0]
         for p in parts[1:]:
             segments = segments.unionByName(p)
-        merging = self.spark.createDataFrame([(e["run_id"],) for e in waiting], "run_id bigint")
+        merging = [run_id, *(e["run_id"] for e in waiting if e["run_id"] != run_id)]
         old = self.spark.read.parquet(f"{self.root}/{current['path']}/records") if current else None
-        result = merge_store(old, segments, self._membership(entries), record_type, run_id, runs=merging)
+        result = merge_store(old, segments, self._membership(entries), record_type, merging)
         path = f"stores/{record_type}/v={version}"
         write_store(result.store, f"{self.root}/{path}/records", record_type)
         columns = self._write_columns(path)
@@ -260,11 +260,11 @@ class Dataset:
         path = f"{self.root}/{file}"
         multiline = has_multiline_cells(self.spark, path)
         cells = read_cells(self.spark, path, multiline=multiline)
-        schema = infer_csv_schema(cells).orderBy("position").collect()  # one row per column
+        found = describe_csv(cells, report_type).head()
         return {
-            "row_count": data_row_count(cells, report_type).head()[0],
-            "columns": {r["column"]: r["type"] for r in schema},
-            "column_order": [r["column"] for r in schema],
+            "row_count": found["row_count"],
+            "columns": {c["column"]: c["type"] for c in found["columns"]},
+            "column_order": [c["column"] for c in found["columns"]],
             "multiline": multiline,
         }
 

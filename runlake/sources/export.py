@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import json_value
+from ..session import work_dir
 
 MAX_ROWS = 1000  # fixed value: default result cap
 
@@ -33,29 +34,39 @@ def _as_text(df: DataFrame) -> DataFrame:
 
 
 def write_result(df: DataFrame, path: str, fmt: str = "jsonl") -> None:
-    """A result as ``csv``, ``jsonl`` or ``json`` files.
+    """A result as ``csv``, ``jsonl`` or ``json`` files, all written in parallel.
 
-    ``json`` gives one file with one array; its rows stream through a single writer, so it
-    is for results someone reads.  ``csv`` and ``jsonl`` are written in parallel.
+    The part files of ``json``, put together in name order, are one array.
     """
     if fmt == "csv":
         _as_text(df).write.mode("overwrite").option("header", True).option("escape", '"').option("emptyValue", "").csv(path)
     elif fmt == "jsonl":
         json_friendly(df).write.mode("overwrite").option("ignoreNullFields", False).json(path)
     elif fmt == "json":
-        row = F.to_json(F.struct("*"), {"ignoreNullFields": "false"})
-        # Commas follow the row order of the single output partition.
-        lines = json_friendly(df).select(row.alias("value")).coalesce(1)
-        lines = lines.withColumn("_n", F.monotonically_increasing_id())
-        lines = lines.select(F.when(F.col("_n") == 0, F.concat(F.lit("["), "value")).otherwise(F.concat(F.lit(","), "value")).alias("value"))
-        closing = df.sparkSession.createDataFrame([("]",)], "value string")
-        if not lines.head(1):
-            lines = lines.sparkSession.createDataFrame([("[",)], "value string")
-        lines.union(closing).coalesce(1).write.mode("overwrite").text(path)
+        _write_array(json_friendly(df), path)
     else:
         raise ValueError(f"unknown format {fmt!r}")
 
 
+def _write_array(df: DataFrame, path: str) -> None:
+    """One JSON array over many part files: opening, rows and closing in file order.
+
+    The rows are numbered in a written table first, so that the second pass over them sees
+    the same numbers even if executors are lost.
+    """
+    spark = df.sparkSession
+    staged = work_dir(spark, "array")
+    row = F.to_json(F.struct("*"), {"ignoreNullFields": "false"})
+    df.select(row.alias("value")).withColumn("n", F.monotonically_increasing_id()).write.parquet(staged)
+    rows = spark.read.parquet(staged)
+    first = rows.agg(F.min("n")).head()[0]
+    separator = F.when(F.col("n") == F.lit(first), "").otherwise(",")
+    body = rows.orderBy("n").select(F.concat(separator, "value").alias("value"))
+    spark.createDataFrame([("[",)], "value string").coalesce(1).union(body).union(
+        spark.createDataFrame([("]",)], "value string").coalesce(1)
+    ).write.mode("overwrite").text(path)
+
+
 def collect_capped(df: DataFrame, max_rows: int = MAX_ROWS) -> tuple[list[str], list[dict[str, Any]], bool, int]:
     """``columns, rows, truncated, row_count``: the first rows and the true count.
 

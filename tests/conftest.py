@@ -11,7 +11,7 @@ from runlake.session import build_session  # noqa: E402
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
     session = build_session(
-        master="local[4]", spark__ui__enabled="false", spark__sql__shuffle__partitions="4",
+        master="local[4]", spark__ui__enabled="false", spark__sql__shuffle__partitions="2",
         spark__sql__warehouse__dir=str(tmp_path_factory.mktemp("warehouse")),
         spark__checkpoint__dir=str(tmp_path_factory.mktemp("work")),
     )
