@@ -18,12 +18,12 @@ def list_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_text_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """``file, content`` of whole text files; a file that is not UTF-8 has no row.
+    """``file, path, content`` of whole text files; a file that is not UTF-8 has no row.
 
     Each file is one value, so a file must fit a task; many files spread over tasks.
     """
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
     text = F.decode(F.col("content"), "UTF-8")
     return found.where(F.is_valid_utf8(F.col("content").cast("string"))).select(
-        F.substring_index("path", "/", -1).alias("file"), text.alias("content")
+        F.substring_index("path", "/", -1).alias("file"), "path", text.alias("content")
     )

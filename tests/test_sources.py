@@ -78,7 +78,7 @@ def test_files(spark, tmp_path, rows):
     (tmp_path / "a/x.json").write_text("{é\n}")
     (tmp_path / "y.mp3").write_bytes(b"\xff\xfe\x00")
     assert rows(list_files(spark, str(tmp_path)), "file", "size") == [("x.json", 5), ("y.mp3", 3)]
-    assert rows(read_text_files(spark, str(tmp_path))) == [("x.json", "{é\n}")]
+    assert rows(read_text_files(spark, str(tmp_path)), "file", "content") == [("x.json", "{é\n}")]
 
 
 def result(spark):
