@@ -8,7 +8,7 @@ from .analysis import (
 )
 from .attachments import (
     attachment_content, attachment_index, attachment_index_refs, attachment_refs, attachment_states,
-    dedup_refs, pair_results, scan_run_attachments, select_refs, unreferenced_files,
+    dedup_refs, pair_results, pending_refs, scan_run_attachments, select_refs, unreferenced_files,
 )
 from .compare import compare_datasets, union_datasets
 from .decode import double_decode

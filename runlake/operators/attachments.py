@@ -88,6 +88,12 @@ def dedup_refs(refs: DataFrame) -> DataFrame:
     return refs.groupBy("source", "public_path").agg(first).select("source", "public_path", "_first.*").select(*refs.columns)
 
 
+def pending_refs(refs: DataFrame, files: DataFrame) -> DataFrame:
+    """References whose file is not there yet, which is where an interrupted fetch goes on."""
+    named = refs.withColumn("file", attachment_file("source", "public_path", F.col("name")))
+    return named.join(files.select("file").distinct(), "file", "left_anti")
+
+
 def attachment_index(refs: DataFrame, files: DataFrame) -> DataFrame:
     """One row per attachment file that exists.
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import identity_key, key_columns, normalized
@@ -17,27 +17,27 @@ from ..functions import identity_key, key_columns, normalized
 MEMBER_FIELDS = ("source_key", "remote_endpoint", "question_id", "history_id")
 
 
-def _winner(df: DataFrame, keys: Sequence[str], order: Column) -> DataFrame:
-    """One row per key, the one with the greatest ``order``.
+def _winner(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """One row per key, the greatest in ``order``.
 
-    An aggregate instead of a ranking window: each task keeps a single row per key before
-    the shuffle, so a key repeated in a third of all rows costs one row per task.
+    The rank filter sits right on the window, so each task keeps a single row per key
+    before the shuffle (WindowGroupLimit in the plan): a key repeated in a third of all
+    rows costs one row per task.  Measured twice as fast as ``max_by`` over whole rows.
     """
-    rest = [c for c in df.columns if c not in keys]
-    best = F.max_by(F.struct(*rest), order).alias("_best")
-    return df.groupBy(*keys).agg(best).select(*keys, "_best.*").select(*df.columns)
+    w = Window.partitionBy(*keys).orderBy(*[F.desc(c) for c in order])
+    return df.withColumn("_rank", F.row_number().over(w)).where("_rank = 1").drop("_rank")
 
 
 def dedup_segment(segment: DataFrame, record_type: str, position: Sequence[str] = ("_position",)) -> DataFrame:
     """Within one run's fetch the last record by position wins per identity."""
     keys = ["_run_id", *key_columns(record_type)]
-    return _winner(normalize_identity(segment, record_type), keys, F.struct(*position))
+    return _winner(normalize_identity(segment, record_type), keys, position)
 
 
 def dedup_runs(records: DataFrame, record_type: str) -> DataFrame:
     """Across runs merged together the greatest (``_fetched_at``, ``_run_id``) wins."""
     keys = key_columns(record_type)
-    return _winner(normalize_identity(records, record_type), keys, F.struct("_fetched_at", "_run_id"))
+    return _winner(normalize_identity(records, record_type), keys, ("_fetched_at", "_run_id"))
 
 
 def normalize_identity(df: DataFrame, record_type: str) -> DataFrame:
@@ -89,6 +89,7 @@ def merge_store(
     record_type: str,
     runs: Sequence[int],
     position: Sequence[str] = ("_position",),
+    stage: str | None = None,
 ) -> MergeResult:
     """Merge the segments of ``runs`` into a store; the first run is the primary one.
 
@@ -96,9 +97,12 @@ def merge_store(
     stored identities no membership covers are dropped.  Several runs make it a sweep of a
     backlog (I3); a run that was merged before is refreshed (I4), also to nothing.
 
-    Only identity columns are shuffled to decide what happens to stored records.  Their
-    payload meets just the replaced and dropped identities in one anti join, which
-    runtime re-planning turns into a broadcast when those measure small.
+    Only identity columns are shuffled to decide what happens to stored records; their
+    payload meets just the replaced and dropped identities, in one anti join.  With
+    ``stage``, a folder every executor can reach, the deduplicated source and those
+    identities are written there first: the source is computed once instead of at each use,
+    and the planner knows the size of the identities before it plans the join, so it
+    broadcasts them below the session's threshold and shuffles the payload only above it.
     """
     keys = list(key_columns(record_type))
     require_text_identity(segments, record_type)
@@ -106,10 +110,10 @@ def merge_store(
     fresh = membership_of(segments, record_type)
     if len(runs) == 1:
         # One run decides by position alone, so a single shuffle on the identity is enough.
-        source = _winner(segments, keys, F.struct(*position))
+        source = _winner(segments, keys, position)
     else:
         source = dedup_runs(dedup_segment(segments, record_type, position), record_type)
-    source = source.drop("_position")
+    source = _staged(source.drop("_position"), stage, "source")
 
     if membership is None:
         others = None
@@ -132,8 +136,8 @@ def merge_store(
         covered = source_ids
         if others is not None:
             covered = normalize_identity(others, record_type).select(*keys).unionByName(source_ids)
-        dropped = old_ids.join(covered, keys, "left_anti")
-        gone = source_ids.unionByName(dropped)
+        dropped = _staged(old_ids.join(covered, keys, "left_anti"), stage, "dropped")
+        gone = _staged(source_ids.unionByName(dropped), stage, "gone")
         kept = store.join(gone, keys, "left_anti").withColumn("_status", F.lit("kept"))
         seen = old_ids.withColumn("_old", F.lit(True))
         stamped = source.join(seen, keys, "left").withColumn(
@@ -145,6 +149,14 @@ def merge_store(
     return MergeResult(merged, dropped, members, counts)
 
 
+def _staged(df: DataFrame, stage: str | None, name: str) -> DataFrame:
+    """The frame itself, or with a stage its written copy."""
+    if stage is None:
+        return df
+    df.write.mode("overwrite").parquet(f"{stage}/{name}")
+    return df.sparkSession.read.parquet(f"{stage}/{name}")
+
+
 def merge_counts(segments: DataFrame, merged: DataFrame, dropped: DataFrame, runs: Sequence[int]) -> DataFrame:
     """D3: fetched, new, updated and removed per merging run.
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import warnings
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
@@ -22,6 +23,8 @@ def report_rows(df: DataFrame, report_type: str) -> DataFrame:
     without a student id; other types keep all rows."""
     if report_type != "answers":
         return df
+    if "student_id" not in df.columns:
+        return _no_students(df)
     return df.where(~F.col("student_id").cast("string").isin(*PSEUDO_HEADERS))
 
 
@@ -29,9 +32,16 @@ def report_prompts(df: DataFrame, report_type: str) -> DataFrame:
     """B2: only the pseudo-header rows, which only answers reports have."""
     if report_type != "answers":
         return df.where(F.lit(False))
+    if "student_id" not in df.columns:
+        return _no_students(df)
     return df.where(F.col("student_id").cast("string").isin(*PSEUDO_HEADERS))
 
 
+def _no_students(df: DataFrame) -> DataFrame:
+    warnings.warn("an answers report without a student_id column contributes no rows", stacklevel=3)
+    return df.where(F.lit(False))
+
+
 def quarantine(downloads: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Downloads split in those of a known report type and the rest."""
     known = F.coalesce(F.col("report_type").isin(*REPORT_TYPES), F.lit(False))

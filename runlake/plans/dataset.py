@@ -4,11 +4,13 @@ Layout below ``root`` (any file system Spark reads)::
 
     manifest/commit=N/            one JSON row per entry; the highest N is current
     segments/<type>/fetch=F/run_id=R/batch=B/
+    staging/<type>/               work tables of the merge under way
     stores/<type>/v=N/records/    identity, stamps, record text (parquet)
     stores/<type>/v=N/columns/    the same records as typed columns (parquet)
     membership/v=N/type=T/run_id=R/
     reports/report_<run>[_job_<id>].csv
     attachments/                  downloaded files
+    attachment_missing/run_id=R/  references that could not be fetched
     attachment_index/v=N/
 
 A merge writes the store, then the membership, then one manifest row set, and readers only
@@ -30,9 +32,9 @@ from pyspark.sql import types as T
 
 from ..functions import report_type_from_slug
 from ..operators import (
-    attachment_index, attachment_refs, carry_provenance, dataset_summary, dataset_totals, describe_csv,
-    double_decode, drift_report, infer_json_columns, membership_of, merge_store,
-    newest_committed, recover_report_type, scan_run_attachments, unreferenced_files,
+    attachment_index, attachment_refs, carry_provenance, dataset_summary, dataset_totals, dedup_refs,
+    describe_csv, double_decode, drift_report, infer_json_columns, membership_of, merge_store,
+    newest_committed, pending_refs, recover_report_type, scan_run_attachments, unreferenced_files,
 )
 from ..sources import (
     append_records, has_multiline_cells, list_files, read_cells, read_membership, read_segments,
@@ -156,7 +158,9 @@ class Dataset:
             segments = segments.unionByName(p)
         merging = [run_id, *(e["run_id"] for e in waiting if e["run_id"] != run_id)]
         old = self.spark.read.parquet(f"{self.root}/{current['path']}/records") if current else None
-        result = merge_store(old, segments, self._membership(entries), record_type, merging)
+        result = merge_store(
+            old, segments, self._membership(entries), record_type, merging, stage=f"{self.root}/staging/{record_type}"
+        )
         path = f"stores/{record_type}/v={version}"
         write_store(result.store, f"{self.root}/{path}/records", record_type)
         columns = self._write_columns(path)
@@ -323,6 +327,29 @@ class Dataset:
         self._commit(entries + [{"kind": "attachments", "version": version, "path": path, "count": count}], commit + 1)
         return unreferenced_files(refs, files)
 
+    def pending_attachments(self, run_id: int) -> DataFrame:
+        """References of a run that still have to be fetched, once per file."""
+        refs = dedup_refs(self.attachment_refs(run_id))
+        try:
+            files = list_files(self.spark, f"{self.root}/attachments")
+        except AnalysisException:
+            files = typed_empty(self.spark, {"file": "VARCHAR"})
+        return pending_refs(refs, files)
+
+    def record_attachments(self, run_id: int, paired: DataFrame, failed: DataFrame) -> None:
+        """Record the outcome of an attachment fetch (C7): how many came, and which did not.
+
+        The failures are a table of their own, as there is no bound on them.
+        """
+        path = f"attachment_missing/run_id={run_id}"
+        failed.select("doc_id", "name", "error").write.mode("overwrite").parquet(f"{self.root}/{path}")
+        types = sorted({t for t, r in self.frames().member_runs if r == run_id})
+        entry = {
+            "kind": "download", "type": "attachments", "run_id": run_id, "complete": True, "fetched_at": _now(), "scanned": types,
+            "path": path, "coverage": {"queried": None, "with_data": paired.count(), "empty": None, "missing": None},
+        }
+        self._update(lambda entries: _upsert(entries, entry))
+
     # ---- queries -------------------------------------------------------------------
 
     def frames(self) -> DatasetFrames:

@@ -58,12 +58,16 @@ def test_end_to_end(spark, ds, tmp_path, rows):
     ds.add_report(3, "reports/report_3.csv", "brand-new-type")
     ds.add_report(2, "reports/report_2_job_9.csv", "student-actions", job_id=9)
 
+    assert rows(ds.pending_attachments(612), "name", "doc_id") == [("f.json", "de3")]
     name = spark.range(1).select(attachment_file(F.lit("s"), F.lit("p/1"), F.lit("f.json"))).head()[0]
     files = tmp_path / "ds/attachments"
     files.mkdir()
     (files / name).write_text('{"v":1}')
     (files / "stray.bin").write_bytes(b"\xff")
+    assert ds.pending_attachments(612).count() == 0
     assert rows(ds.index_attachments(), "file") == [("stray.bin",)]
+    failed = spark.createDataFrame([("d9", "z", 1, "gone")], "doc_id string, name string, k bigint, error string")
+    ds.record_attachments(612, spark.range(3), failed)
 
     views = ds.register()
     assert set(views) == {
@@ -85,6 +89,9 @@ def test_end_to_end(spark, ds, tmp_path, rows):
     assert ("report", 3, "brand-new-type", True) in q("select type, run_id, report_type, complete from downloads")
     got = {(r.type, r.run_id, r.job_id): r for r in ds.summary().collect()}
     assert got["answers", 612, None].coverage.asDict() == {"queried": None, "with_data": 2, "empty": None, "missing": None}
+    fetched = got["attachments", 612, None]
+    assert fetched.coverage.with_data == 3 and fetched.complete
+    assert rows(spark.read.parquet(str(tmp_path / "ds/attachment_missing/run_id=612"))) == [("d9", "z", "gone")]
     assert rows(ds.totals()) == [("answers", 2), ("attachments", 1), ("report", 5)]
 
     # Files against manifest.

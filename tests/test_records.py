@@ -163,6 +163,28 @@ def _written(spark, df):
     return spark.read.parquet(path)
 
 
-def test_dedup_runs_combines_partial_results_before_the_shuffle(spark):
-    plan = dedup_runs(seg(spark, 1, [("e", "a")]), "answers")._jdf.queryExecution().executedPlan().toString()
-    assert plan.index("partial_max_by") > plan.index("Exchange")  # printed top down: partial below the exchange
+def test_dedup_keeps_one_row_per_key_and_task_before_the_shuffle(spark):
+    df = seg(spark, 1, [("e", "a")]).repartition(3)
+    for deduped in (dedup_runs(df, "answers"), dedup_segment(df, "answers")):
+        plan = deduped._jdf.queryExecution().executedPlan().toString()
+        # Printed top down: the partial limit is below the exchange on the identity.
+        assert plan.count("WindowGroupLimit") == 2 and plan.rindex("WindowGroupLimit") > plan.index("Exchange hashpartitioning")
+
+
+def test_staged_merge_knows_the_size_of_the_changes(spark, tmp_path):
+    many = seg(spark, 1, [(f"e{i}", "x" * 50) for i in range(2000)])
+    first = merge_store(None, many, None, "answers", [1])
+    store, members = _written(spark, first.store), _written(spark, first.membership)
+    small = seg(spark, 2, [("e1", "new")])
+    kept = merge_store(store, small, members, "answers", [2], stage=str(tmp_path / "a")).store.where("_status = 'kept'")
+    assert kept.count() == 1999
+    # Planned, before any runtime statistics: the stored payload is scanned and not shuffled.
+    plan = kept._jdf.queryExecution().sparkPlan().toString()
+    assert "BroadcastHashJoin" in plan
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10")
+    try:  # changes above the threshold are never broadcast
+        kept = merge_store(store, small, members, "answers", [2], stage=str(tmp_path / "b")).store.where("_status = 'kept'")
+        assert kept.count() == 1999
+        assert "Broadcast" not in kept._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

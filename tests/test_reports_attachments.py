@@ -34,6 +34,13 @@ def test_union_runs(spark, rows):
     assert union_runs({3: (usage, "brand-new-type")}) is None
 
 
+def test_answers_report_without_students_costs_only_its_rows(spark):
+    log = spark.createDataFrame([("x",)], "event string")
+    with pytest.warns(UserWarning, match="student_id"):
+        united = union_runs({1: (log, "answers"), 2: (log, "log")})
+    assert [tuple(r) for r in united.collect()] == [(2, "x")]
+
+
 def test_quarantine_and_recovery(spark, rows):
     d = spark.createDataFrame([(1, "answers"), (2, "brand-new"), (3, None), (4, "recovered")], "run_id int, report_type string")
     known, rest = quarantine(d)
