@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from runlake.functions import attachment_file, file_id12, sanitize_filename, state_markers, try_json
 from runlake.operators import (
     attachment_content, attachment_files_dimension, attachment_index, attachment_index_refs, attachment_states,
-    dedup_refs, membership_of, pair_results, scan_run_attachments, select_refs, unreferenced_files,
+    dedup_refs, membership_of, pair_results, pending_refs, scan_run_attachments, select_refs, unreferenced_files,
 )
 
 from . import shapes as S
@@ -210,3 +210,14 @@ def unreferenced_attachment_files(spark, sf):
         S.table(spark, sf, "pages").select(F.concat(F.substring(F.sha2("url", 256), 1, 12), F.lit("_old.json")))
     ).distinct()
     return unreferenced_files(refs.where("question_id <> 'q3'"), on_disk)
+
+
+@query(f"""
+WITH {S.REFS}
+SELECT doc_id, public_path, {S.FILE_NAME} AS file FROM refs
+WHERE {S.FILE_NAME} NOT IN (SELECT {S.FILE_NAME} FROM refs WHERE question_id <> 'q3')""")
+def pending_references(spark, sf):
+    """Where an interrupted attachment fetch goes on."""
+    refs = S.refs(spark, sf)
+    there = refs.where("question_id <> 'q3'").select(attachment_file("source", "public_path", F.col("name")).alias("file"))
+    return pending_refs(refs, there).select("doc_id", "public_path", "file")
