@@ -25,7 +25,8 @@ def attachment_refs(records: DataFrame, record_type: str, position: Column | Non
         identity.append(F.lit(None).cast("string").alias("history_id"))
     markers = state_markers(F.col("report_state"))
     entries = F.from_json(F.col("attachments"), ATTACHMENT_MAP)
-    rows = records.select(
+    # Records without attachments leave before their states are searched.
+    rows = records.where(F.col("attachments").isNotNull()).select(
         *identity,
         (position if position is not None else F.lit(0)).cast("bigint").alias("position"),
         F.coalesce(doc_id.cast("string"), F.lit("")).alias("doc_id"),

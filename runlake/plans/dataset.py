@@ -20,6 +20,7 @@ else, and repeating it is harmless because records merge by identity.
 
 from __future__ import annotations
 
+import re
 import warnings
 from collections.abc import Mapping, Sequence
 from datetime import datetime, timezone
@@ -77,9 +78,11 @@ class Dataset:
 
     def _current(self) -> tuple[int, DataFrame]:
         rows = self.spark.read.schema(MANIFEST_SCHEMA + ", commit bigint").json(f"{self.root}/manifest")
-        newest = rows.agg(F.max("commit")).head()[0]
-        if newest is None:
+        # The listing names the commits; only the newest one's file is read.
+        commits = [int(m.group(1)) for f in rows.inputFiles() if (m := re.search(r"/commit=(\d+)/", f))]
+        if not commits:
             raise FileNotFoundError(f"{self.root} has no manifest")
+        newest = max(commits)
         return newest, rows.where(F.col("commit") == newest)
 
     def _entries(self) -> tuple[int, list[dict[str, Any]]]:

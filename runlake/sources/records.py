@@ -84,14 +84,28 @@ def type_records(
     becomes NULL.  The column map is the schema; nothing is inferred at read time.
     """
     fields = {c: t for c, t in columns.items() if c not in keep}
+    taken = {c.lower() for c in keep}
+    alone = {c: t for c, t in fields.items() if sum(o.lower() == c.lower() for o in fields) == 1 and c.lower() not in taken}
     schema = T.StructType(
-        [T.StructField(c, T.VariantType() if t == "JSON" else T._parse_datatype_string(spark_type(t))) for c, t in fields.items()]
+        [T.StructField(c, T.VariantType() if t == "JSON" else T._parse_datatype_string(spark_type(t))) for c, t in alone.items()]
+    )
+    # Column names ignore case, JSON fields do not: fields that differ only in case are
+    # read by path, and each after the first gets a numbered column.
+    parsed = records.select(
+        *keep, F.from_json(F.col(record), schema).alias("_r"),
+        *([F.try_parse_json(record).alias("_v")] if len(alone) < len(fields) else []),
     )
-    parsed = records.select(*keep, F.from_json(F.col(record), schema).alias("_r"))
     out = []
     for c, t in fields.items():
-        value = F.col("_r").getField(c)
-        out.append((F.when(~F.is_variant_null(value), F.to_json(value)) if t == "JSON" else value).alias(c))
+        if c in alone:
+            value, name = F.col("_r").getField(c), c
+        else:
+            value = F.try_variant_get("_v", f"$['{c}']", "variant" if t == "JSON" else spark_type(t))
+            name, n = c, 2
+            while name.lower() in taken:
+                name, n = f"{c}__{n}", n + 1
+        taken.add(name.lower())
+        out.append((F.when(~F.is_variant_null(value), F.to_json(value)) if t == "JSON" else value).alias(name))
     return parsed.select(*keep, *out)
 
 

@@ -62,6 +62,14 @@ def test_typed_records(spark):
     ]
 
 
+def test_fields_that_differ_in_case_only(spark, tmp_path):
+    df = spark.createDataFrame([('{"Name":"a","name":5,"NAME":[1],"x":1}',)], "record string")
+    out = type_records(df, {"NAME": "JSON", "Name": "VARCHAR", "name": "BIGINT", "x": "BIGINT"})
+    out.write.parquet(str(tmp_path / "p"))
+    row = spark.read.parquet(str(tmp_path / "p")).head().asDict()
+    assert row == {"NAME": "[1]", "Name__2": "a", "name__3": 5, "x": 1}
+
+
 def test_typed_empty(spark):
     df = typed_empty(spark, {"a b": "JSON", "n": "DOUBLE", "t": "TIMESTAMP"})
     assert df.dtypes == [("a b", "string"), ("n", "double"), ("t", "timestamp")] and df.count() == 0
