@@ -13,6 +13,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 DAY_SECONDS = 86_400
 BLOCK_ROWS = 1_000_000
@@ -44,8 +45,8 @@ def ordered_columns(
     and ``maxes`` map a new column to the expression to accumulate, current row included.
     """
     lag, sums, maxes = dict(lag or {}), dict(sums or {}), dict(maxes or {})
-    base = df.withColumn("_group", _group(keys, bucket))
-    within = Window.partitionBy("_group").orderBy(*order)
+    base, group = _grouped(df, keys, bucket)
+    within = Window.partitionBy(*group).orderBy(*order)
     upto = within.rowsBetween(Window.unboundedPreceding, 0)
 
     local: dict[str, Column] = {}
@@ -62,14 +63,14 @@ def ordered_columns(
         summary.append(F.max(value).alias(f"_of_{name}"))
     rows = base.withColumns(local)
 
-    chain, before = _chain()
-    carried = [F.col("_group")]
+    chain, before = _chain(group)
+    carried = [F.col(c) for c in group]
     if lag:
         carried.append(F.lag("_tail").over(chain).alias("_carry"))
     carried += [F.sum(f"_of_{n}").over(before).alias(f"_before_{n}") for n in sums]
     carried += [F.max(f"_of_{n}").over(before).alias(f"_before_{n}") for n in maxes]
-    heads = base.groupBy("_group").agg(*summary).select(*carried)
-    joined = rows.join(heads, "_group", "inner")
+    heads = base.groupBy(*group).agg(*summary).select(*carried)
+    joined = rows.join(heads, group, "inner")
 
     out = [F.col(c) for c in df.columns]
     for name in lag:
@@ -89,12 +90,13 @@ def session_columns(
     A session starts at a key's first row and after each gap longer than ``gap_seconds``.
     Whether the first row of a bucket starts a session, how many sessions and rows came
     before it and where the session it continues began all follow from the bucket
-    summaries, so the rows are shuffled once whatever the number of columns.
+    summaries.  The rows are shuffled once; the summaries come from a second, narrow read
+    of key, time and event only.
     """
     limit = gap_seconds * 1_000_000
-    group = _group(keys, time_bucket(F.col(ts), bucket_seconds))
-    base = df.withColumns({"_group": group, "_at": F.unix_micros(F.col(ts).cast("timestamp"))})
-    within = Window.partitionBy("_group").orderBy(ts, tie)
+    base, group = _grouped(df, keys, time_bucket(F.col(ts), bucket_seconds))
+    base = base.withColumn("_at", F.unix_micros(F.col(ts).cast("timestamp")))
+    within = Window.partitionBy(*group).orderBy(ts, tie)
     upto = within.rowsBetween(Window.unboundedPreceding, 0)
     here = F.struct(F.col(event).alias("event"), F.col("_at").alias("at"))
     one = F.lit(1).cast("bigint")
@@ -105,8 +107,8 @@ def session_columns(
         "_start": F.max(F.when(F.col("_new"), F.col("_n"))).over(upto),
     })
 
-    chain, before = _chain()
-    heads = rows.groupBy("_group").agg(
+    chain, before = _chain(group)
+    heads = rows.groupBy(*group).agg(
         F.min("_at").alias("_first"), F.max_by(here, F.struct(ts, tie)).alias("_last"), F.max("_n").alias("_rows"),
         F.max("_news").alias("_news"), F.max("_start").alias("_start"),
     )
@@ -118,8 +120,8 @@ def session_columns(
     })
     start = F.col("_rows_before") + F.coalesce("_start", F.when(F.col("_opens"), one))
     heads = heads.withColumn("_start_before", F.max(start).over(before))
-    heads = heads.select("_group", "_carry", "_opens", "_rows_before", "_news_before", "_start_before")
-    joined = rows.join(heads, "_group", "inner")
+    heads = heads.select(*group, "_carry", "_opens", "_rows_before", "_news_before", "_start_before")
+    joined = rows.join(heads, group, "inner")
     first = F.col("_n") == 1
     prev = F.when(first, F.col("_carry")).otherwise(F.col("_prev"))
     began = F.coalesce(
@@ -135,14 +137,29 @@ def session_columns(
     )
 
 
-def _group(keys: Sequence[str], bucket: Column) -> Column:
-    """Key and bucket as one struct.  A struct equals another with NULLs in the same places,
-    so rows and summaries join by plain equality on the very column the rows are already
-    partitioned and sorted by, and the rows are not shuffled a second time."""
-    return F.struct(F.struct(*keys).alias("key"), bucket.alias("bucket"))
+def _grouped(df: DataFrame, keys: Sequence[str], bucket: Column) -> tuple[DataFrame, list[str]]:
+    """The frame with never-NULL columns for key and bucket, and their names, bucket last.
 
-
-def _chain():
+    Rows and summaries join by plain equality on the very columns the rows are already
+    partitioned and sorted by, so the rows are not shuffled a second time; a NULL key is a
+    key of its own.
+    """
+    fields = {f.name: f for f in df.schema.fields}
+    added: dict[str, Column] = {}
+    for i, k in enumerate(keys):
+        field, value = fields[k], F.col(k)
+        if field.nullable:
+            added[f"_null{i}"] = value.isNull()
+            if isinstance(field.dataType, T.NumericType):
+                value = F.coalesce(value, F.lit(0).cast(field.dataType))
+            else:
+                value = F.coalesce(value.cast("string"), F.lit(""))
+        added[f"_key{i}"] = value
+    added["_bucket"] = F.coalesce(bucket, F.lit(-1))
+    return df.withColumns(added), list(added)
+
+
+def _chain(group: Sequence[str]):
     """The buckets of a key in order, and all buckets before the current one."""
-    chain = Window.partitionBy("_group.key").orderBy("_group.bucket")
+    chain = Window.partitionBy(*group[:-1]).orderBy(group[-1])
     return chain, chain.rowsBetween(Window.unboundedPreceding, -1)
