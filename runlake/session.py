@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -43,13 +42,9 @@ def build_session(app: str = "runlake", master: str | None = None, **conf: str)
 def work_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh folder for written intermediate tables and stream checkpoints.
 
-    The base is the shared folder named by ``spark.checkpoint.dir``.  Only a local
-    session without that setting falls back to a temporary folder; on a cluster the
-    setting is required because executors must all see the folder.
+    The base is the shared folder named by ``spark.checkpoint.dir``, else the session's
+    warehouse, which every executor reaches as well.  Nothing deletes these folders while
+    results that read them may be in use; the base can be emptied between jobs.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-        base = tempfile.mkdtemp(prefix="runlake-")
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex[:12]}"
