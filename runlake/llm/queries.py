@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import configure
-from . import mixing
+from . import mixing, packing
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -63,3 +64,9 @@ SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target, CAST(times AS
 def op8_source_mix(spark, sf):
     """Words that a mix of weights 1, 2, 3 takes from each document."""
     return mixing.mixed_sizes(table(spark, sf, "documents"))
+
+
+@query()
+def op9_packed_sequences(spark, sf):
+    """All documents' token pieces packed into sequences of 2048."""
+    return packing.packed(table(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json"))
