@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+import uuid
+import zipfile
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import xxhash
@@ -17,6 +23,25 @@ GAPS = r"[\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give the executors this package, once per application; the driver need not have installed it there."""
+    context = spark.sparkContext
+    if context.applicationId not in SHIPPED:
+        SHIPPED.add(context.applicationId)
+        top = Path(__file__).resolve().parents[2]
+        # The driver serves this small file from its own disk until the application ends.
+        folder = tempfile.mkdtemp(prefix="runlake-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        archive = Path(folder, f"runlake-{uuid.uuid4().hex[:8]}.zip")
+        with zipfile.ZipFile(archive, "w") as out:
+            for file in sorted(top.glob("runlake/**/*.py")):
+                out.write(file, file.relative_to(top))
+        context.addPyFile(str(archive))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

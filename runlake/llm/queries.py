@@ -10,17 +10,27 @@ from pyspark.sql import functions as F
 
 from ..session import configure
 from . import mixing, packing
-from .common import table
+from .common import ship_package, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+def prepared(spark: SparkSession) -> SparkSession:
+    """The session with the library's settings, small Arrow batches (texts can be long) and this package on the executors."""
+    configure(spark).conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
+    ship_package(spark)
+    return spark
+
+
 def query(sql: str | None = None):
     """Register a function under its name, with the SQL that gives the same rows if there is one."""
 
     def register(fn):
-        QUERIES[fn.__name__] = lambda spark, sf_dir: fn(configure(spark), sf_dir)
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            return fn(prepared(spark), sf_dir)
+
+        QUERIES[fn.__name__] = run
         if sql is not None:
             ORACLES[fn.__name__] = sql.strip()
         return fn
