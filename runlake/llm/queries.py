@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import configure
-from . import mixing, packing
+from ..session import configure, work_dir
+from . import mixing, packing, urls, warc
 from .common import ship_package, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -80,3 +80,41 @@ def op8_source_mix(spark, sf):
 def op9_packed_sequences(spark, sf):
     """All documents' token pieces packed into sequences of 2048."""
     return packing.packed(table(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query()
+def op3_web_archive(spark, sf):
+    """Every page archived, then read back from the archives."""
+    path = work_dir(spark, "warc")
+    warc.write_warc(table(spark, sf, "pages"), path)
+    whole = warc.read_warc(spark, path, with_chunks=False).where("last")
+    page = lambda name: F.regexp_extract(name, r"^urn:page:(-?\d+)$", 1).try_cast("bigint")
+    revisit = F.col("record_type") == "revisit"
+    # A revisit has no payload of its own: its headers tell the size and digest of the full one.
+    return whole.select(
+        page("record_id").alias("page_id"),
+        F.when(revisit, F.col("declared_bytes")).otherwise(F.col("payload_bytes")).alias("payload_bytes"),
+        F.when(revisit, F.col("declared_digest")).otherwise(F.col("payload_digest")).alias("payload_digest"),
+        "record_type", page("refers_to").alias("refers_to"),
+    )
+
+
+URL_RULES = (("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block"))
+
+
+@query(r"""
+WITH parts AS (
+  SELECT page_id, translate(coalesce(regexp_extract(url, '://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    coalesce(regexp_extract(url, '://([^/?#]*)([^?#]*)', 2), '') AS path
+  FROM pages),
+rules(rule, rule_host, rule_path, rule_verdict) AS (VALUES
+  ('com/', 'com', '/', 'allow'), ('example.com/en/', 'example.com', '/en/', 'block'),
+  ('www.example.com/en/', 'www.example.com', '/en/', 'allow'), ('net/es/', 'net', '/es/', 'block'), ('net/fr/', 'net', '/fr/', 'block')),
+fitting AS (
+  SELECT p.*, (SELECT max(struct_pack(n := length(r.rule), rule := r.rule, verdict := r.rule_verdict)) FROM rules r
+    WHERE (p.host = r.rule_host OR p.host LIKE '%.' || r.rule_host) AND starts_with(p.path, r.rule_path)) AS best
+  FROM parts p)
+SELECT page_id, host, path, best.rule AS rule, coalesce(best.verdict, 'allow') AS verdict FROM fitting""")
+def op5_url_filter(spark, sf):
+    """Every page's url judged by five rules."""
+    return urls.judged(spark, table(spark, sf, "pages"), URL_RULES)
