@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import configure, work_dir
-from . import mixing, packing, urls, warc
+from . import mixing, packing, quality_classifier, quality_rules, urls, warc
 from .common import ship_package, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -118,3 +118,15 @@ SELECT page_id, host, path, best.rule AS rule, coalesce(best.verdict, 'allow') A
 def op5_url_filter(spark, sf):
     """Every page's url judged by five rules."""
     return urls.judged(spark, table(spark, sf, "pages"), URL_RULES)
+
+
+@query()
+def op7_quality_rules(spark, sf):
+    """Counts and verdict of the quality rules for every document."""
+    return quality_rules.judged(table(spark, sf, "documents"))
+
+
+@query()
+def op10_quality_classifier(spark, sf):
+    """Score and verdict of the weakly supervised classifier for every document."""
+    return quality_classifier.classified(table(spark, sf, "documents"))
