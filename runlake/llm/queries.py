@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import configure, work_dir
-from . import mixing, packing, quality_classifier, quality_rules, urls, warc
+from . import mixing, near_dedup, packing, quality_classifier, quality_rules, urls, warc
 from .common import ship_package, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -130,3 +130,9 @@ def op7_quality_rules(spark, sf):
 def op10_quality_classifier(spark, sf):
     """Score and verdict of the weakly supervised classifier for every document."""
     return quality_classifier.classified(table(spark, sf, "documents"))
+
+
+@query()
+def op2_near_duplicates(spark, sf):
+    """Near-duplicate class of every document: shingles of four words, similarity 0.8."""
+    return near_dedup.near_duplicates(table(spark, sf, "documents"))
