@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import configure, work_dir
-from . import mixing, near_dedup, packing, quality_classifier, quality_rules, urls, warc
+from . import fingerprints, mixing, near_dedup, packing, quality_classifier, quality_rules, urls, warc
 from .common import ship_package, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -136,3 +136,9 @@ def op10_quality_classifier(spark, sf):
 def op2_near_duplicates(spark, sf):
     """Near-duplicate class of every document: shingles of four words, similarity 0.8."""
     return near_dedup.near_duplicates(table(spark, sf, "documents"))
+
+
+@query()
+def op6_fingerprints(spark, sf):
+    """Fingerprints of every document and of its edited text, and their likeness."""
+    return fingerprints.fingerprinted(table(spark, sf, "documents"))
