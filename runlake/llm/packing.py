@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
+from tokenizers.pre_tokenizers import ByteLevel
 
 from .common import Memo, texts, written
 
@@ -29,6 +30,8 @@ END_ID = 0
 LEAST_BUCKETS = 1024
 PIECES_PER_BUCKET = 20_000
 MARKS = ".,;:!?"
+# Below this, lower-casing and composing letters are settled character by character, but for one letter.
+FIRST_NOT_LATIN, DOTTED = "\u0250", "\u0130"
 
 
 def _as_bytes(ids: list[int]) -> bytes:
@@ -41,18 +44,28 @@ def token_memo(path: str) -> Memo:
 
     The tokenizer drops white space and treats what stands between it independently, so a text's ids
     are those of its words in turn.  Letters and closing marks are independent in the same way, which
-    lets ``word`` and ``word,`` share an entry.
+    lets ``word`` and ``word,`` share an entry.  Words of Latin letters go straight to the model after
+    lower-casing, as none of the other steps changes them; all else takes the whole tokenizer.
     """
     tokenizer = Tokenizer.from_file(path)
+    lowers = tokenizer.normalizer is not None and tokenizer.normalizer.normalize_str("AÉ") == "aé"
+    model, as_units = tokenizer.model, ByteLevel(add_prefix_space=False, use_regex=False)
 
     def encode(word: bytes) -> bytes:
         text = word.decode()
         core = text.rstrip(MARKS)
-        if core and core != text and core.isalpha():
-            return memo[core.encode()] + memo[text[len(core):].encode()]
+        if core.isalpha():
+            if core != text:
+                return memo[core.encode()] + memo[text[len(core):].encode()]
+            if lowers and max(core) < FIRST_NOT_LATIN and DOTTED not in core:
+                lower = core.lower()
+                if lower != core:
+                    return memo[lower.encode()]
+                unit = core if core.isascii() else as_units.pre_tokenize_str(core)[0][0]
+                return _as_bytes([token.id for token in model.tokenize(unit)])
         return _as_bytes(tokenizer.encode(text, add_special_tokens=False).ids)
 
-    memo = Memo(encode, 1_000_000)
+    memo = Memo(encode, 1_500_000)
     return memo
 
 
