@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import configure, work_dir
-from . import fingerprints, mixing, near_dedup, packing, quality_classifier, quality_rules, urls, warc
+from . import fingerprints, mixing, near_dedup, packing, quality_classifier, quality_rules, toxicity, urls, warc
 from .common import ship_package, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -142,3 +142,9 @@ def op2_near_duplicates(spark, sf):
 def op6_fingerprints(spark, sf):
     """Fingerprints of every document and of its edited text, and their likeness."""
     return fingerprints.fingerprinted(table(spark, sf, "documents"))
+
+
+@query()
+def op4_toxicity(spark, sf):
+    """Toxicity score of every document, learnt from the labels that are not held out."""
+    return toxicity.scored(table(spark, sf, "documents"), table(spark, sf, "labels"))
