@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import configure, work_dir
-from . import fingerprints, mixing, near_dedup, packing, quality_classifier, quality_rules, toxicity, urls, warc
+from . import fingerprints, html_text, mixing, near_dedup, packing, quality_classifier, quality_rules, toxicity, urls, warc
 from .common import ship_package, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -148,3 +148,9 @@ def op6_fingerprints(spark, sf):
 def op4_toxicity(spark, sf):
     """Toxicity score of every document, learnt from the labels that are not held out."""
     return toxicity.scored(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
+@query()
+def op1_main_text(spark, sf):
+    """Main text of every page."""
+    return html_text.extracted(table(spark, sf, "pages"))
