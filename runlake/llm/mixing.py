@@ -148,7 +148,8 @@ def mixed(
     The texts are not shuffled: the plan, a row per source, joins the scan.
     """
     _, plan = mixing_plan(docs, text, source, key, weights, cap, seed)
-    plan = plan.select("_source", "repeats", "threshold")
-    tagged = docs.withColumns({"_source": _source_key(F.col(source)), "_hash": _document_hash(F.col(key), F.col(text), seed)})
-    times = tagged.join(plan, "_source").withColumn("_times", _times(cap))
-    return times.where("_times > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int")))).select(*docs.columns)
+    tagged = docs.select(
+        F.struct("*").alias("_doc"), _source_key(F.col(source)).alias("_source"), _document_hash(F.col(key), F.col(text), seed).alias("_hash")
+    )
+    taken = tagged.join(plan, "_source").where(_times(cap) > 0).select("_doc", F.explode(F.sequence(F.lit(1), _times(cap).cast("int"))))
+    return taken.select("_doc.*")

@@ -27,10 +27,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, shingle_hashes, texts, written
+from .common import GAPS, mix64, shingle_hashes, texts, written
 from .components import components
 
-WIDTH, PERCENT = 4, 80
+WIDTH, PERCENT = 5, 80
 SIDE, ROWS = 12, 3
 # Shingles of a block of a large group; a pair of blocks meets in one task.
 FEW_SHINGLES, MANY_SHINGLES = 1 << 17, 1 << 20
@@ -201,40 +201,60 @@ def _settled(sets: DataFrame, links: DataFrame, percent: int) -> DataFrame:
     return meet.groupBy("group", "fb", "mb").applyInPandas(lambda b: block_links(b, percent), "u bigint, v bigint")
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """Per row ``key, n_shingles, component_id, kept``; ``component_id`` is the smallest key reachable by links.
-
-    Texts link if ``100 * shared >= percent * union`` of their shingle sets.  Null, empty and blank
-    texts have an empty set, link with nothing and are components of their own.  Rows that repeat a
-    key are documents like any other and all of them are kept if the key is the smallest; null keys
-    count only where a component has no other, and then every row is kept.  An empty table gives no rows.
-    """
+def resolved(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """Per row ``key, row, n, component``; ``component`` is a class id, null for rows without shingles."""
     rows = written(_sketches(docs, text, key, width), "sketches")
-    nodes = written(rows.where("n > 0").groupBy("digest").agg(
-        F.min("row").alias("node"), F.min("key").alias("low"), F.count("*").alias("copies"), F.first("subs").alias("subs"),
-    ), "nodes")
+    nodes = written(rows.where("n > 0").groupBy("digest").agg(F.min("row").alias("node"), F.first("subs").alias("subs")), "nodes")
     pairs = written(_candidates(nodes.select("node", "subs")), "pairs")
-    classes = nodes.select("digest", "node", "low", F.col("node").alias("root"))
+    classes = nodes.select("digest", F.col("node").alias("component"))
     if not pairs.isEmpty():
         groups = components(pairs.select(F.col("node").alias("u"), F.col("leader").alias("v"))).withColumnRenamed("root", "group")
         best = pairs.groupBy("node").agg(F.max(F.struct("central", "leader")).alias("best")).select("node", "best.leader")
         wanted = written(groups.join(best, "node", "left"), "wanted")
-        fetched = _fetched(docs, wanted, text, key, width).dropDuplicates(["node"]) if _repeats(nodes, rows) else _fetched(docs, wanted, text, key, width)
-        sets = written(fetched, "sets")
+        fetched = _fetched(docs, wanted, text, key, width)
+        sets = written(fetched.dropDuplicates(["node"]) if _repeats(rows) else fetched, "sets")
         links = written(_leader_links(sets, percent), "links")
         links = written(links.union(_settled(sets.drop("leader"), links, percent)), "links")
         if not links.isEmpty():
-            classes = nodes.select("digest", "node", "low").join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    lowest = classes.groupBy("root").agg(F.min("low").alias("component"))
-    classes = classes.join(lowest, "root").select("digest", "component")
-    alone = rows.where("n = 0").select("key", "n", F.col("key").alias("component"))
-    linked = rows.where("n > 0").join(classes, "digest").select("key", "n", "component")
-    return linked.union(alone).select(
-        F.col("key").alias(key), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.col("key").eqNullSafe(F.col("component")).alias("kept"),
+            classes = nodes.select("digest", "node").join(components(links), "node", "left").select("digest", F.coalesce("root", "node").alias("component"))
+    alone = rows.where("n = 0").select("key", "row", "n", F.lit(None).cast("bigint").alias("component"))
+    return rows.where("n > 0").join(classes, "digest").select("key", "row", "n", "component").union(alone)
+
+
+def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """Per row ``key, n_shingles, component_id, kept``; ``component_id`` is the smallest key reachable by links.
+
+    Texts link if ``100 * shared >= percent * union`` of their shingle sets.  Null, empty and blank
+    texts have an empty set, link with nothing and are components of their own.  Rows that repeat a
+    key are documents like any other and all of them are kept if the key is the smallest; null keys
+    count only where a component has no other, and then every row is kept.  An empty table gives no rows.
+    """
+    found = written(resolved(docs, text, key, width, percent), "resolved")
+    lowest = found.where("component IS NOT NULL").groupBy("component").agg(F.min("key").alias("low"))
+    low = F.when(F.col("component").isNull(), F.col("key")).otherwise(F.col("low"))
+    return found.join(lowest, "component", "left").select(
+        F.col("key").alias(key), F.col("n").alias("n_shingles"), low.alias("component_id"), F.col("key").eqNullSafe(low).alias("kept")
     )
 
 
-def _repeats(nodes: DataFrame, rows: DataFrame) -> bool:
+def deduplicated(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """One document of each component, that of the smallest key, all columns; texts without shingles all stay.
+
+    What goes is a list of row ids.  The texts move only if that is too long to broadcast, or if rows
+    repeat both key and text, of which one stays.
+    """
+    found = written(resolved(docs, text, key, width, percent), "resolved")
+    first = F.min(F.struct(F.col("key").isNull().alias("last"), "key", "row")).alias("first")
+    kept = found.where("component IS NOT NULL").groupBy("component").agg(first)
+    gone = written(found.join(kept, "component").where("row <> first.row").select(F.col("row").alias("_row")).distinct(), "gone")
+    marked = docs.select(F.struct("*").alias("_doc"), F.xxhash64(F.col(key), F.col(text)).alias("_row")).join(gone, "_row", "left_anti")
+    if _repeats(found.where("component IS NOT NULL")):
+        has_words = F.length(F.regexp_replace(F.coalesce(F.col(f"_doc.`{text}`"), F.lit("")), GAPS, "")) > 0
+        marked = marked.where(has_words).dropDuplicates(["_row"]).union(marked.where(~has_words))
+    return marked.select("_doc.*")
+
+
+def _repeats(rows: DataFrame) -> bool:
     """Whether some row id occurs twice: only then may a fetched node have several rows."""
     return not rows.groupBy("row").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
 

@@ -162,4 +162,5 @@ def classified(docs: DataFrame, text: str = "text", key: str = "doc_id", train_r
 def kept(docs: DataFrame, text: str = "text", key: str = "doc_id", train_rows: int = TRAIN_ROWS) -> DataFrame:
     """The documents that the classifier keeps, all columns."""
     weights = fit(docs, text, key, train_rows)
-    return docs.withColumn("_score", scored(text, weights)).where(F.col("_score") >= KEEP_FROM).select(*docs.columns)
+    found = docs.select(F.struct("*").alias("_doc"), scored(text, weights).alias("_score"))
+    return found.where(F.col("_score") >= KEEP_FROM).select("_doc.*")

@@ -68,6 +68,6 @@ def kept(docs: DataFrame, text: str = "text") -> tuple[DataFrame, LabelModel]:
     p = F.col("_profile")
     votes = rules(p)
     model, posteriors = learn(docs.select(profiled(text).alias("_profile")).select(pattern(votes).alias("pattern")), len(votes))
-    judged_rows = docs.withColumn("_profile", profiled(text))
+    judged_rows = docs.select(F.struct("*").alias("_doc"), profiled(text).alias("_profile"))
     good = posterior_of(pattern(votes), posteriors) >= KEEP_FROM
-    return judged_rows.where(~base_failed(p) & good).select(*docs.columns), model
+    return judged_rows.where(~base_failed(p) & good).select("_doc.*"), model

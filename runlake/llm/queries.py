@@ -135,7 +135,7 @@ def op10_quality_classifier(spark, sf):
 @query()
 def op2_near_duplicates(spark, sf):
     """Near-duplicate class of every document: shingles of four words, similarity 0.8."""
-    return near_dedup.near_duplicates(table(spark, sf, "documents"))
+    return near_dedup.near_duplicates(table(spark, sf, "documents"), width=4)
 
 
 @query()
