@@ -27,13 +27,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import GAPS, mix64, shingle_hashes, texts, written
+from .common import GAPS, bit_filter, in_filter, mix64, shingle_hashes, texts, written
 from .components import components
 
 WIDTH, PERCENT = 5, 80
 SIDE, ROWS = 12, 3
 # Shingles of a block of a large group; a pair of blocks meets in one task.
-FEW_SHINGLES, MANY_SHINGLES = 1 << 17, 1 << 20
+FEW_SHINGLES, MANY_SHINGLES = 1 << 16, 1 << 18
 
 _RANDOM = np.random.default_rng(2718281828)
 FACTORS = _RANDOM.integers(0, 1 << 63, 2 * SIDE * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -105,18 +105,20 @@ def _candidates(nodes: DataFrame) -> DataFrame:
 
 
 def _fetched(docs: DataFrame, wanted: DataFrame, text: str, key: str, width: int) -> DataFrame:
-    """``wanted`` (with ``node``, the id of a row) and the shingle set of that row's text."""
-    rows = _rows(docs, text, key).select(F.col("row").alias("node"), "text").join(wanted, "node")
-    # Rows of one id have one text, so any of them will do; most ids have one row.
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in wanted.schema)
+    """``wanted`` (with ``node``, the id of a row) and the shingle set of that row's text.
+
+    A bitmap of the wanted ids goes to the scan, so only their sets (and a few more) move, no texts.
+    """
+    spread = docs.sparkSession.sparkContext.broadcast(bit_filter(wanted, "node"))
 
     def shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, found in texts(batches, "text"):
-            sets = pa.array([shingle_hashes(_words(x), width).view(np.int64) for x in found], pa.list_(pa.int64()))
-            kept = [batch.column(i) for i, name in enumerate(batch.schema.names) if name != "text"]
-            yield pa.RecordBatch.from_arrays([*kept, sets], names=[*(n for n in batch.schema.names if n != "text"), "shingles"])
+        for batch in batches:
+            batch = batch.filter(pa.array(in_filter(spread.value, batch.column(0).to_numpy())))
+            sets = [shingle_hashes(_words(x), width).view(np.int64) for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "shingles"])
 
-    return rows.select(*wanted.columns, "text").mapInArrow(shingle, f"{fields}, shingles array<bigint>")
+    rows = _rows(docs, text, key).select(F.col("row").alias("node"), "text")
+    return rows.mapInArrow(shingle, "node bigint, shingles array<bigint>").join(wanted, "node").select(*wanted.columns, "shingles")
 
 
 def _similar(shared: int | np.ndarray, n: int, m: int | np.ndarray, percent: int):
