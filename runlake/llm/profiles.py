@@ -18,16 +18,17 @@ WINDOW = 3
 
 COUNTS = (
     "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_letters", "n_upper", "n_top_word", "n_letterless",
+    "n_marks", "n_echoes",
 )
 
 
 @cache
 def _kinds() -> np.ndarray:
-    """Bits of every code point: 1 letter, 2 upper case, 4 symbol, 8 ASCII white space."""
+    """Bits of every code point: 1 letter, 2 upper case, 4 symbol, 8 ASCII white space, 16 no letter, digit or space."""
     flags = np.zeros(0x110000, np.uint8)
     for point in range(0x110000):
         c = chr(point)
-        flags[point] = c.isalpha() | c.isupper() << 1
+        flags[point] = c.isalpha() | c.isupper() << 1 | (not (c.isalnum() or c.isspace())) << 4
     for c in SYMBOLS:
         flags[ord(c)] |= 4
     for c in SPACES:
@@ -60,14 +61,15 @@ def profile(text: str | None) -> tuple[int, ...]:
     """:data:`COUNTS` of a text; null is empty.
 
     A dup line has a word and equals an earlier line; a top word is the most frequent one; a
-    letterless word has no letter.
+    letterless word has no letter; marks are neither letters, digits nor space; an echo is a word that
+    equals the one before it.
     """
     text = text or ""
     words = text.encode().split()
     points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
     flags = _kinds()[points]
-    kinds = np.bincount(flags, minlength=16)
-    bit = lambda b: int(sum(kinds[k] for k in range(16) if k & b))
+    kinds = np.bincount(flags, minlength=32)
+    bit = lambda b: int(sum(kinds[k] for k in range(32) if k & b))
     lines = [line for line in text.split("\n") if line.strip(SPACES)]
     # A word begins where white space ends; it has a letter if the letters counted so far grow within it.
     space = (flags & 8).astype(bool)
@@ -77,7 +79,7 @@ def profile(text: str | None) -> tuple[int, ...]:
     top = max(Counter(words).values(), default=0)
     return (
         len(words), len(points) - bit(8), bit(4), len(lines) - len(set(lines)), repeated_words(hashes), len(lines), bit(1), bit(2), top,
-        int((letters == 0).sum()),
+        int((letters == 0).sum()), bit(16), int((hashes[1:] == hashes[:-1]).sum()),
     )
 
 

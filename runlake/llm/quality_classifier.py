@@ -26,17 +26,19 @@ SLOTS = 1 << 14
 # The only bounded sample: the documents of lowest hash, about this many, train the scorer.
 TRAIN_ROWS = 12_000
 KEEP_FROM = 0.5
-EPOCHS, BATCH, RATE, DECAY = 12, 256, 0.3, 1e-5
+# Shares of a shorter text say nothing: all labellers abstain.
+LEAST_VOTED = 20
+STEPS, BATCH, RATE, DECAY = 600, 256, 0.3, 1e-5
 
 
 def labellers(p: Column) -> list[Column]:
     """Overlapping votes on a profile of :data:`COUNTS`."""
-    share = lambda part, whole: p[part] / F.when(p[whole] > 0, p[whole])
+    share = lambda part, whole: F.when(p["n_words"] >= LEAST_VOTED, p[part] / F.when(p[whole] > 0, p[whole]))
     symbols, dense = share("n_symbols", "n_words"), share("n_symbols", "word_chars")
     letters, upper = share("n_letters", "word_chars"), share("n_upper", "n_letters")
-    letterless, top = share("n_letterless", "n_words"), F.when(p["n_words"] >= 20, share("n_top_word", "n_words"))
-    repeats = F.when(p["n_words"] >= 20, share("n_repeat_words", "n_words"))
-    lines = F.when(p["n_lines"] >= 4, share("n_dup_lines", "n_lines"))
+    letterless, echoes = share("n_letterless", "n_words"), share("n_echoes", "n_words")
+    marks, lines = share("n_marks", "word_chars"), F.when(p["n_lines"] >= 4, share("n_dup_lines", "n_lines"))
+    repeats = share("n_repeat_words", "n_words")
     return [
         vote(symbols, symbols < 0.02, symbols > 0.3),
         vote(dense, dense < 0.005, dense > 0.08),
@@ -44,8 +46,9 @@ def labellers(p: Column) -> list[Column]:
         vote(upper, upper < 0.1, upper > 0.5),
         vote(letterless, letterless < 0.05, letterless > 0.3),
         vote(repeats, repeats < 0.1, repeats > 0.5),
-        vote(top, top < 0.1, top > 0.3),
+        vote(echoes, echoes < 0.03, echoes > 0.25),
         vote(lines, lines < 0.05, lines > 0.4),
+        vote(marks, marks < 0.07, marks > 0.18),
     ]
 
 
@@ -70,11 +73,11 @@ def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     p = dict(zip(COUNTS, profile(text), strict=True))
     share = lambda part, whole: p[part] / p[whole] if p[whole] else 0.0
     traits = {
-        "repeats": share("n_repeat_words", "n_words"), "top": share("n_top_word", "n_words") if p["n_words"] >= 20 else 0.0,
+        "repeats": share("n_repeat_words", "n_words"), "echoes": share("n_echoes", "n_words"), "marks": share("n_marks", "word_chars"),
         "lines": share("n_dup_lines", "n_lines") if p["n_lines"] >= 4 else 0.0, "letters": 1 - share("n_letters", "word_chars"),
         "upper": share("n_upper", "n_letters"), "symbols": min(1.0, share("n_symbols", "n_words")), "letterless": share("n_letterless", "n_words"),
     }
-    for name, value in traits.items():
+    for name, value in traits.items() if p["n_words"] >= LEAST_VOTED else ():
         # One feature for each tenth that the share reaches, so weights add up along the share.
         for step in range(1, int(value * 10) + 1):
             slots[xxhash.xxh3_64_intdigest(f"{name} {step}".encode()) % SLOTS] += 0.3
@@ -85,23 +88,22 @@ def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
 def train(rows: list[tuple[np.ndarray, np.ndarray, float]], seed: int = 7) -> np.ndarray:
     """Logistic weights for posterior labels by averaged stochastic gradient steps; no rows give zeros."""
     weights, squares, total = np.zeros(SLOTS), np.full(SLOTS, 1e-6), np.zeros(SLOTS)
-    random, steps = np.random.default_rng(seed), 0
-    for epoch in range(EPOCHS if rows else 0):
-        order = random.permutation(len(rows))
-        for at in range(0, len(rows), BATCH):
-            picked = [rows[i] for i in order[at : at + BATCH]]
-            sizes = [len(s) for s, _, _ in picked]
-            slots, values = np.concatenate([s for s, _, _ in picked]), np.concatenate([v for _, v, _ in picked])
-            owner = np.repeat(np.arange(len(picked)), sizes)
-            z = np.bincount(owner, weights[slots] * values, len(picked))
-            error = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - np.array([y for _, _, y in picked])
-            gradient = np.bincount(slots, error[owner] * values, SLOTS) / len(picked) + DECAY * weights
-            squares += gradient**2
-            weights -= RATE * gradient / np.sqrt(squares) * (1.0 if epoch else 0.5)
-            if epoch >= EPOCHS // 2:
-                total += weights
-                steps += 1
-    return total / max(steps, 1)
+    random, order = np.random.default_rng(seed), np.empty(0, np.int64)
+    for step in range(STEPS if rows else 0):
+        if len(order) < min(BATCH, len(rows)):
+            order = random.permutation(len(rows))
+        picked, order = [rows[i] for i in order[:BATCH]], order[BATCH:]
+        sizes = [len(s) for s, _, _ in picked]
+        slots, values = np.concatenate([s for s, _, _ in picked]), np.concatenate([v for _, v, _ in picked])
+        owner = np.repeat(np.arange(len(picked)), sizes)
+        z = np.bincount(owner, weights[slots] * values, len(picked))
+        error = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - np.array([y for _, _, y in picked])
+        gradient = np.bincount(slots, error[owner] * values, SLOTS) / len(picked) + DECAY * weights
+        squares += gradient**2
+        weights -= RATE * gradient / np.sqrt(squares)
+        if step >= STEPS // 2:
+            total += weights
+    return total / max(STEPS - STEPS // 2, 1)
 
 
 def score_of(weights: np.ndarray) -> Callable[[str | None], float]:

@@ -15,6 +15,8 @@ from .weak import LabelModel, learn, pattern, posterior_of, vote
 
 LEAST_WORDS = 50
 KEEP_FROM = 0.5
+# Shares of a shorter text say nothing: all rules abstain.
+LEAST_VOTED = 20
 
 
 def base_failed(p: Column) -> Column:
@@ -23,12 +25,16 @@ def base_failed(p: Column) -> Column:
 
 
 def rules(p: Column) -> list[Column]:
-    """Votes on a profile: shares are of words, code points in words, letters or lines."""
-    share = lambda part, whole: p[part] / F.when(p[whole] > 0, p[whole])
+    """Votes on a profile: shares are of words, code points in words, letters or lines.
+
+    Every kind of junk is in sight of two rules at least, so a single odd trait does not reject.
+    """
+    share = lambda part, whole: F.when(p["n_words"] >= LEAST_VOTED, p[part] / F.when(p[whole] > 0, p[whole]))
     symbols, repeats = share("n_symbols", "n_words"), share("n_repeat_words", "n_words")
     lines, length = F.when(p["n_lines"] >= 4, share("n_dup_lines", "n_lines")), share("word_chars", "n_words")
     letters, upper = share("n_letters", "word_chars"), share("n_upper", "n_letters")
-    top, letterless = F.when(p["n_words"] >= 20, share("n_top_word", "n_words")), share("n_letterless", "n_words")
+    echoes, letterless = share("n_echoes", "n_words"), share("n_letterless", "n_words")
+    marks = share("n_marks", "word_chars")
     return [
         vote(symbols, symbols < 0.02, symbols > 0.2),
         vote(repeats, repeats < 0.15, repeats > 0.4),
@@ -36,8 +42,9 @@ def rules(p: Column) -> list[Column]:
         vote(length, length.between(3.5, 9), (length < 2.5) | (length > 14)),
         vote(letters, letters > 0.9, letters < 0.75),
         vote(upper, upper < 0.12, upper > 0.4),
-        vote(top, top < 0.12, top > 0.25),
+        vote(echoes, echoes < 0.05, echoes > 0.2),
         vote(letterless, letterless < 0.08, letterless > 0.25),
+        vote(marks, marks < 0.08, marks > 0.15),
     ]
 
 

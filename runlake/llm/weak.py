@@ -19,6 +19,9 @@ MOST_VOTERS = 9
 # Where the estimates start, and what they are drawn to by PULL documents: junk has many kinds, so a
 # voter finds only some of it, but rarely rejects a good document.
 START_PRIOR, START_GOOD, START_BAD, PULL = 0.8, 0.97, 0.4, 4.0
+# Bounds: a voter seldom rejects a good document; one bad vote does not outweigh all others; and a good
+# vote does not clear junk of a kind that the voter does not see.
+LEAST_SURE, MOST_SURE, MOST_SEEN = 0.98, 0.99, 0.5
 
 
 @dataclass(frozen=True)
@@ -49,8 +52,8 @@ def fit_label_model(votes: np.ndarray, counts: np.ndarray, rounds: int = 200) ->
         right_bad = ((votes < 0) * bad[:, None]).sum(0) + PULL * START_BAD
         new = LabelModel(
             float(np.clip((good.sum() + PULL * START_PRIOR) / (counts.sum() + PULL), 0.02, 0.98)),
-            tuple(np.clip(right_good / ((cast * good[:, None]).sum(0) + PULL), 0.02, 0.998).tolist()),
-            tuple(np.clip(right_bad / ((cast * bad[:, None]).sum(0) + PULL), 0.02, 0.998).tolist()),
+            tuple(np.clip(right_good / ((cast * good[:, None]).sum(0) + PULL), LEAST_SURE, MOST_SURE).tolist()),
+            tuple(np.clip(right_bad / ((cast * bad[:, None]).sum(0) + PULL), 0.02, MOST_SEEN).tolist()),
         )
         if np.allclose(new.right_on_good + new.right_on_bad, model.right_on_good + model.right_on_bad, atol=1e-7):
             return new
