@@ -23,7 +23,7 @@ from .records import (
     membership_summary, merge_counts, merge_store, normalize_identity, order_by_identity, run_view,
 )
 from .reports import (
-    answers_long, attach_learner, learners, quarantine, recover_report_type, report_prompts, report_rows,
+    answers_long, answers_long_of_runs, attach_learner, learners, quarantine, recover_report_type, report_prompts, report_rows,
     reports_to_answers, union_by_name, union_runs,
 )
 

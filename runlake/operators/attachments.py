@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import attachment_file, file_id12, is_text_content_type, key_columns, state_markers, try_json
+from ..functions import attachment_file, file_id12, identity_key, is_text_content_type, key_columns, state_markers, try_json
 from .ordered import BLOCK_ROWS, ordered_columns, position_bucket
 from .records import run_view
 
@@ -79,7 +79,9 @@ def select_refs(
 
 
 def _scan_order() -> Column:
-    return F.struct("position", "name", "doc_id")
+    """Scan position, then the record's identity, so that without positions the order is that of the store."""
+    identity = identity_key("source_key", "remote_endpoint", "question_id", "history_id")
+    return F.struct("position", identity.alias("identity"), "name", "doc_id", "content_type")
 
 
 def dedup_refs(refs: DataFrame) -> DataFrame:

@@ -85,8 +85,11 @@ def union_by_name(frames: Sequence[DataFrame]) -> DataFrame:
 def union_runs(runs: Mapping[int, tuple[DataFrame, str]], prompts: bool = False) -> DataFrame | None:
     """The ``reports`` or ``report_prompts`` union over ``run -> (rows, report type)``.
 
-    Runs of unknown type are left out; ``run_id`` is always a bigint.
+    Runs of unknown type are left out with a warning; ``run_id`` is always a bigint.
     """
+    unknown = sorted((run, rtype) for run, (_, rtype) in runs.items() if rtype not in REPORT_TYPES)
+    if unknown and not prompts:
+        warnings.warn(f"report runs of unknown type contribute no rows: {unknown}", stacklevel=2)
     pick = report_prompts if prompts else report_rows
     frames = [
         pick(df, rtype).select(F.lit(run).cast("bigint").alias("run_id"), "*")
@@ -124,16 +127,35 @@ def answers_long(
     return reports.select(*carry, F.inline(F.array(*rows)))
 
 
+def answers_long_of_runs(
+    runs: Mapping[int, DataFrame], fields: Sequence[str] = ("answer",), carry: Sequence[str] = ("student_id",)
+) -> DataFrame:
+    """C5 over many runs: each report is melted on its own columns, then the long forms are united.
+
+    A run pays for its own questions only, and its N is never read with another run's columns.
+    """
+    melted = [answers_long(df, fields, carry).select(F.lit(run).cast("bigint").alias("run_id"), "*") for run, df in runs.items()]
+    return union_by_name(melted)
+
+
 def reports_to_answers(long: DataFrame, answers: DataFrame) -> DataFrame:
     """C5, second half: report cells joined to their stored answer records."""
     return long.where(F.col("remote_endpoint").isNotNull()).join(answers, ["remote_endpoint", "question_id"], "inner")
 
 
 def learners(reports: DataFrame, ids: Sequence[str] = ("user_id",)) -> DataFrame:
-    """Endpoint to person, once per endpoint, from the positional endpoint columns."""
+    """Endpoint to person, once per endpoint, from the positional endpoint columns.
+
+    Of several rows that name an endpoint the one with most ids counts, then that of the latest run,
+    then the greatest ids.
+    """
     names = [c for c in reports.columns if ENDPOINT.match(c)]
     endpoint = F.explode(F.array(*[F.col(c).cast("string") for c in names])).alias("remote_endpoint")
-    return reports.select(endpoint, *ids).where(F.col("remote_endpoint").isNotNull()).distinct()
+    run = F.col("run_id").cast("bigint") if "run_id" in reports.columns else F.lit(0).cast("bigint")
+    known = reduce(lambda a, b: a + b, [F.col(c).isNotNull().cast("int") for c in ids])
+    named = reports.select(endpoint, F.struct(known.alias("_known"), run.alias("_run"), *ids).alias("_who"))
+    best = named.where(F.col("remote_endpoint").isNotNull()).groupBy("remote_endpoint").agg(F.max("_who").alias("_who"))
+    return best.select("remote_endpoint", *[F.col("_who").getField(c).alias(c) for c in ids])
 
 
 def attach_learner(answers: DataFrame, reports: DataFrame, ids: Sequence[str] = ("user_id",)) -> DataFrame:

@@ -4,23 +4,27 @@ Layout below ``root`` (any file system Spark reads)::
 
     manifest/commit=N/            one JSON row per entry; the highest N is current
     segments/<type>/fetch=F/run_id=R/batch=B/
-    staging/<type>/               work tables of the merge under way
-    stores/<type>/v=N/records/    identity, stamps, record text (parquet)
-    stores/<type>/v=N/columns/    the same records as typed columns (parquet)
-    membership/v=N/type=T/run_id=R/
+    staging/<type>/id=I/                work tables of the merge under way
+    stores/<type>/v=N/id=I/records/     identity, stamps, record text (parquet)
+    stores/<type>/v=N/id=I/columns/     the same records as typed columns (parquet)
+    membership/v=N_<type>/id=I/type=T/run_id=R/
+    runs/v=N_<type>/id=I/               which runs that membership is about, empty ones too
     reports/report_<run>[_job_<id>].csv
-    attachments/                  downloaded files
-    attachment_missing/run_id=R/  references that could not be fetched
-    attachment_index/v=N/
-
-A merge writes the store, then the membership, then one manifest row set, and readers only
-follow the manifest.  A merge that dies in between leaves unreferenced files and nothing
-else, and repeating it is harmless because records merge by identity.
+    attachments/                        downloaded files
+    attachment_missing/run_id=R/        references that could not be fetched
+    attachment_index/v=N/id=I/
+
+A merge writes into folders of its own id, then commits one manifest file that must not exist
+yet, and readers only follow the manifest.  Of two writers that start from one commit the second
+finds the number taken: it removes what it wrote and merges anew on top of the first.  A merge
+that dies leaves unreferenced folders and nothing else; :meth:`Dataset.drift` names them and
+:meth:`Dataset.vacuum` removes them.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
 import warnings
 from collections.abc import Mapping, Sequence
 from datetime import datetime, timezone
@@ -41,6 +45,7 @@ from ..sources import (
     append_records, has_multiline_cells, list_files, read_cells, read_membership, read_segments,
     read_text_files, scan_report_csv, type_records, typed_empty, with_identity, write_membership, write_store,
 )
+from ..sources.storage import Storage
 from .views import DatasetFrames, ReportRun, register_views
 
 MANIFEST_SCHEMA = """
@@ -53,15 +58,21 @@ merge_counts struct<fetched:bigint,new:bigint,updated:bigint,removed:bigint>,
 history_mode string, complete boolean, fetched_at timestamp, scanned array<string>, row_count bigint,
 columns map<string,string>, column_order array<string>, multiline boolean, recovered boolean, merged_as bigint
 """
+ATTEMPTS = 5
 DECODED = ("report_state", "report_state_raw", "interactive_state_raw", "_decode_error")
 
 
+class CommitConflict(RuntimeError):
+    """Another writer committed first; the dataset is as that writer left it."""
+
+
 class Dataset:
     """One dataset folder.  Entries are plain dicts with the fields of the manifest."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
         self.root = root.rstrip("/")
+        self.storage = Storage(spark, self.root)
 
     # ---- manifest ------------------------------------------------------------------
 
@@ -93,14 +104,20 @@ class Dataset:
     def _commit(self, entries: Sequence[Mapping[str, Any]], commit: int) -> None:
         schema = T._parse_datatype_string(MANIFEST_SCHEMA)
         rows = [tuple(e.get(f.name) for f in schema.fields) for e in entries]
+        lines = self.spark.createDataFrame(rows, schema).coalesce(1).toJSON().collect()  # provenance, never data
         # One file, so a commit appears whole; an existing commit number is a lost race.
-        self.spark.createDataFrame(rows, schema).coalesce(1).write.mode("errorifexists").json(
-            f"{self.root}/manifest/commit={commit}"
-        )
+        if not self.storage.create(f"{self.root}/manifest/commit={commit}/manifest.json", "\n".join(lines) + "\n"):
+            raise CommitConflict(f"commit {commit} of {self.root} exists already")
 
     def _update(self, change) -> None:
-        commit, entries = self._entries()
-        self._commit(change(entries), commit + 1)
+        """Apply a small change to the newest manifest, again if another writer was faster."""
+        for attempt in range(ATTEMPTS):
+            commit, entries = self._entries()
+            try:
+                return self._commit(change(entries), commit + 1)
+            except CommitConflict:
+                if attempt == ATTEMPTS - 1:
+                    raise
 
     def downloads(self) -> DataFrame:
         return self.manifest().where("kind = 'download'")
@@ -113,12 +130,18 @@ class Dataset:
         stamp_at = F.current_timestamp() if fetched_at is None else fetched_at
         append_records(rows, self._segment(record_type, fetch), stamp_at, run_id, batch)
 
-    def finish_fetch(self, record_type: str, run_id: int, fetch: str, queried: int | None = None) -> None:
-        """All pages are in; the fetch waits for a merge.  It replaces an older waiting one."""
+    def finish_fetch(self, record_type: str, run_id: int, fetch: str, queried: int | None = None, late: bool = False) -> None:
+        """All pages are in; the fetch waits for a merge.  It replaces an older waiting one.
+
+        A fetch that was merged stays known, so that a replay can be told.  With ``late``, pages came
+        to it afterwards: it waits again, and the next merge takes all its pages.
+        """
 
         def change(entries):
-            # A finished fetch stays known after its merge, so that a replay can be told.
-            if any(_is(e, "segment", record_type, run_id) and e["fetch"] == fetch for e in entries):
+            known = [e for e in entries if _is(e, "segment", record_type, run_id) and e["fetch"] == fetch]
+            if known and late:
+                return [{**e, "merged_as": None} if e in known else e for e in entries]
+            if known:
                 return entries
             kept = [e for e in entries if not (_is(e, "segment", record_type, run_id) and e["merged_as"] is None)]
             segment = {"kind": "segment", "type": record_type, "run_id": run_id, "fetch": fetch, "count": queried}
@@ -144,8 +167,21 @@ class Dataset:
     def merge(self, record_type: str, run_id: int, sweep: bool = True) -> dict[str, int] | None:
         """Merge a run's waiting fetch, and with ``sweep`` all other waiting ones.
 
-        Returns the counts of ``run_id``, or None when it has nothing to merge.
+        Returns the counts of ``run_id``, or None when it has nothing to merge.  A writer that finds
+        another commit in its way starts again from that; if it merged the fetch, its counts are returned.
         """
+        for attempt in range(ATTEMPTS):
+            try:
+                counts = self._merge(record_type, run_id, sweep)
+            except CommitConflict:
+                if attempt == ATTEMPTS - 1:
+                    raise
+                continue
+            if counts is None and attempt:
+                return next((e["merge_counts"] for e in self._entries()[1] if _is(e, "download", record_type, run_id)), None)
+            return counts
+
+    def _merge(self, record_type: str, run_id: int, sweep: bool) -> dict[str, int] | None:
         commit, entries = self._entries()
         waiting = [e for e in entries if e["kind"] == "segment" and e["type"] == record_type and e["merged_as"] is None]
         if not any(e["run_id"] == run_id for e in waiting):
@@ -153,7 +189,7 @@ class Dataset:
         if not sweep:
             waiting = [e for e in waiting if e["run_id"] == run_id]
         current = next((e for e in entries if e["kind"] == "store" and e["type"] == record_type), None)
-        version = (current["version"] if current else 0) + 1
+        version, own = (current["version"] if current else 0) + 1, f"id={uuid.uuid4().hex[:12]}"
 
         parts = [read_segments(self.spark, self._segment(record_type, e["fetch"]), [e["run_id"]]) for e in waiting]
         segments = parts[0]
@@ -162,15 +198,17 @@ class Dataset:
         merging = [run_id, *(e["run_id"] for e in waiting if e["run_id"] != run_id)]
         old = self.spark.read.parquet(f"{self.root}/{current['path']}/records") if current else None
         result = merge_store(
-            old, segments, self._membership(entries), record_type, merging, stage=f"{self.root}/staging/{record_type}"
+            old, segments, self._membership(entries), record_type, merging, stage=f"{self.root}/staging/{record_type}/{own}"
         )
-        path = f"stores/{record_type}/v={version}"
+        path, members = f"stores/{record_type}/v={version}/{own}", f"membership/v={version}_{record_type}/{own}"
+        runs = f"runs/v={version}_{record_type}/{own}"
         write_store(result.store, f"{self.root}/{path}/records", record_type)
         columns = self._write_columns(path)
         fresh = membership_of(segments, record_type)
-        write_membership(fresh, f"{self.root}/membership/v={version}_{record_type}")
+        write_membership(fresh, f"{self.root}/{members}")
         counts, total = self._merge_counts(path, segments, current, waiting, run_id)
-        covered = self._with_data(f"membership/v={version}_{record_type}")
+        covered = self._with_data(members)
+        self.spark.createDataFrame([(r,) for r in counts], "run_id bigint").coalesce(1).write.json(f"{self.root}/{runs}")
 
         done = []
         for e in entries:
@@ -191,10 +229,17 @@ class Dataset:
         done.append({"kind": "store", "type": record_type, "version": version, "path": path, "count": total, "columns": columns})
         done += [
             {"kind": "membership", "type": record_type, "run_id": r, "version": version, "count": covered.get(r, (0, 0))[0],
-             "path": f"membership/v={version}_{record_type}/type={record_type}/run_id={r}"}
+             "path": f"{members}/type={record_type}/run_id={r}"}
             for r in counts
         ]
-        self._commit(done, commit + 1)
+        try:
+            self._commit(done, commit + 1)
+        except CommitConflict:
+            for folder in (path, members, runs):
+                self.storage.delete(f"{self.root}/{folder}")
+            raise
+        finally:
+            self.storage.delete(f"{self.root}/staging/{record_type}/{own}")
         return counts[run_id]
 
     def _write_columns(self, path: str) -> dict[str, str]:
@@ -204,7 +249,9 @@ class Dataset:
         columns = dict(sorted((r["column"], r["type"]) for r in found))
         stamped = {"_fetched_at", "_run_id", *DECODED}
         typed = type_records(records, {c: t for c, t in columns.items() if c not in stamped}, keep=sorted(stamped))
-        typed.write.mode("overwrite").parquet(f"{self.root}/{path}/columns")
+        # Complete columns are in use and stay; an unfinished folder is named by no commit.
+        if not self.storage.exists(f"{self.root}/{path}/columns/_SUCCESS"):
+            typed.write.mode("overwrite").parquet(f"{self.root}/{path}/columns")
         return columns
 
     def _merge_counts(self, path, segments, current, waiting, primary) -> tuple[dict[int, dict[str, int]], int]:
@@ -318,26 +365,29 @@ class Dataset:
 
     def index_attachments(self) -> DataFrame:
         """Rebuild the index over the files present; returns G6, the unreferenced ones."""
-        commit, entries = self._entries()
+        entries = self._entries()[1]
         refs = self.attachment_refs()
-        files = list_files(self.spark, f"{self.root}/attachments").select("file", "size")
+        files = self._attachments().select("file", "size")
         old = next((e for e in entries if e["kind"] == "attachments"), None)
         version = (old["version"] if old else 0) + 1
-        path = f"attachment_index/v={version}"
-        attachment_index(refs, files).write.mode("overwrite").parquet(f"{self.root}/{path}")
+        path = f"attachment_index/v={version}/id={uuid.uuid4().hex[:12]}"
+        attachment_index(refs, files).write.parquet(f"{self.root}/{path}")
         count = self.spark.read.parquet(f"{self.root}/{path}").count()
-        entries = [e for e in entries if e["kind"] != "attachments"]
-        self._commit(entries + [{"kind": "attachments", "version": version, "path": path, "count": count}], commit + 1)
+        entry = {"kind": "attachments", "version": version, "path": path, "count": count}
+        self._update(lambda entries: [e for e in entries if e["kind"] != "attachments"] + [entry])
         return unreferenced_files(refs, files)
 
+    def _attachments(self) -> DataFrame:
+        """The attachment files there are; none without a folder."""
+        try:
+            return list_files(self.spark, f"{self.root}/attachments")
+        except AnalysisException:
+            return typed_empty(self.spark, {"file": "VARCHAR", "path": "VARCHAR", "size": "BIGINT"})
+
     def pending_attachments(self, run_id: int) -> DataFrame:
         """References of a run that still have to be fetched, once per file."""
         refs = dedup_refs(self.attachment_refs(run_id))
-        try:
-            files = list_files(self.spark, f"{self.root}/attachments")
-        except AnalysisException:
-            files = typed_empty(self.spark, {"file": "VARCHAR"})
-        return pending_refs(refs, files)
+        return pending_refs(refs, self._attachments())
 
     def record_attachments(self, run_id: int, paired: DataFrame, failed: DataFrame) -> None:
         """Record the outcome of an attachment fetch (C7): how many came, and which did not.
@@ -367,7 +417,7 @@ class Dataset:
             downloads=self.downloads(),
             reports=[self._report(e) for e in reports],
             attachments=None if index is None else self.spark.read.parquet(f"{self.root}/{index['path']}"),
-            texts=None if index is None else read_text_files(self.spark, f"{self.root}/attachments"),
+            texts=None if index is None or not self.storage.exists(f"{self.root}/attachments") else read_text_files(self.spark, f"{self.root}/attachments"),
         )
 
     def register(self) -> list[str]:
@@ -388,7 +438,8 @@ class Dataset:
     def drift(self) -> DataFrame:
         """G5 over the report files of this dataset and the memberships of its manifest."""
         rows = self.manifest()
-        named = rows.where("kind in ('store', 'membership')").select(
+        # A run without records has a membership without files.
+        named = rows.where("kind = 'store' or kind = 'membership' and count <> 0").select(
             F.concat_ws(" ", "kind", F.concat_ws("/", "type", F.col("run_id").cast("string"))).alias("subject"),
             F.col("path").alias("file"), F.lit(False).alias("download"),
         )
@@ -397,62 +448,121 @@ class Dataset:
         csvs = csvs.select("subject", F.substring_index("_f", "/", -1).alias("file"), "download")
         return drift_report(named.unionByName(csvs), rows.where("kind = 'download'"), listed)
 
+    def _versions(self, top: str) -> list[str]:
+        """Folders ``<top>/v=.../id=...`` by path below the root."""
+        return [f"{top}/{v}/{i}" for v in self.storage.names(f"{self.root}/{top}", "v=") for i in self.storage.names(f"{self.root}/{top}/{v}", "id=")]
+
+    def _store_folders(self) -> list[str]:
+        return [f for t in self.storage.names(f"{self.root}/stores") for f in self._versions(f"stores/{t}")]
+
+    def _member_folders(self) -> list[str]:
+        return [
+            f"{v}/{t}/{r}" for v in self._versions("membership")
+            for t in self.storage.names(f"{self.root}/{v}", "type=") for r in self.storage.names(f"{self.root}/{v}/{t}", "run_id=")
+        ]
+
+    def _report_files(self) -> list[str]:
+        return [n for n in self.storage.names(f"{self.root}/reports", "report_") if re.fullmatch(r"report_\d+(_job_\d+)?\.csv", n)]
+
     def _folders(self) -> DataFrame:
-        """Store and membership folders that hold files, and the CSV files, as ``file``."""
-        found = list_files(self.spark, self.root)
-        below = F.regexp_extract("path", r"/(stores/[^/]+/v=\d+|membership/v=[^/]+/type=[^/]+/run_id=\d+)/", 1)
-        csv = F.regexp_extract("path", r"/reports/(report_\d+(?:_job_\d+)?\.csv)$", 1)
-        name = F.coalesce(F.nullif(below, F.lit("")), F.nullif(csv, F.lit("")))
-        return found.select(name.alias("file"), "size").where(F.col("file").isNotNull()).groupBy("file").agg(F.sum("size").alias("size"))
+        """Store and membership folders and report files, as ``file``: a row per version, run and report."""
+        names = [*self._store_folders(), *self._member_folders(), *self._report_files()]
+        return self.spark.createDataFrame([(n,) for n in names], "file string")
+
+    def vacuum(self, keep: int = 1) -> list[str]:
+        """Remove stores, memberships, run lists, indexes and commits that the newest ``keep`` commits do not name.
+
+        Work folders of merges go too, so none may be under way.  Segments stay, since a late page
+        merges its whole fetch again.  Returns the folders that went.
+        """
+        commits = sorted(int(n.removeprefix("commit=")) for n in self.storage.names(f"{self.root}/manifest", "commit="))
+        kept = commits[-max(keep, 1):]
+        rows = self.spark.read.schema(MANIFEST_SCHEMA + ", commit bigint").json(f"{self.root}/manifest").where(F.col("commit").isin(kept))
+        named = {r["path"].partition("/type=")[0] for r in rows.where("path is not null").select("path").distinct().collect()}
+        named |= {p.replace("membership/", "runs/", 1) for p in named if p.startswith("membership/")}
+        found = [*self._store_folders(), *(f for top in ("membership", "runs", "attachment_index") for f in self._versions(top))]
+        gone = [f for f in found if f not in named]
+        gone += [f"staging/{t}" for t in self.storage.names(f"{self.root}/staging")] + [f"manifest/commit={c}" for c in commits if c not in kept]
+        for folder in gone:
+            self.storage.delete(f"{self.root}/{folder}")
+        return gone
 
     # ---- recovery ------------------------------------------------------------------
 
     def reindex(self) -> None:
         """Rebuild the manifest from the files alone.
 
-        The newest store version with a membership of the same version is adopted (D14),
-        report types come from CSV shape (B5), and what an earlier manifest still knows is
-        carried over (C10).
+        A store version counts if its records, membership and run list are complete.  The newest of
+        them is adopted (D14), and of each run the newest membership up to it, be it empty.  Fetches on
+        disk whose run is in no run list wait for a merge.  Report types come from CSV shape (B5), what an
+        earlier manifest still knows is carried over (C10), and the attachment index is built anew.
         """
         try:
             commit, prior_rows = self._current()
             prior = [r.asDict(recursive=True) for r in prior_rows.drop("commit").collect()]
         except (AnalysisException, FileNotFoundError):
             commit, prior = 0, []
-        found = self._folders().select("file")
-        stores = found.select(
-            F.regexp_extract("file", r"^stores/([^/]+)/v=\d+$", 1).alias("type"),
-            F.regexp_extract("file", r"^stores/[^/]+/v=(\d+)$", 1).try_cast("bigint").alias("version"),
-        ).where("version is not null")
-        pattern = r"^membership/v=(\d+)_[^/]+/type=([^/]+)/run_id=(\d+)$"
-        members = found.select(
-            F.regexp_extract("file", pattern, 2).alias("type"), F.regexp_extract("file", pattern, 3).try_cast("bigint").alias("run_id"),
-            F.regexp_extract("file", pattern, 1).try_cast("bigint").alias("version"), F.col("file").alias("path"),
-        ).where("version is not null")
-        adopted = newest_committed(stores, members, ["type"]).where("version > 0").collect()
-        newest = members.groupBy("type", "run_id").agg(F.max_by(F.struct("version", "path"), "version").alias("m")).select(
-            "type", "run_id", "m.version", "m.path"
-        ).collect()
-        csvs = [r["file"] for r in found.where(F.col("file").endswith(".csv")).orderBy("file").collect()]
+        whole = self._complete_versions({e["path"] for e in prior if e["kind"] == "store"})
+        versions = self.spark.createDataFrame([(t, v) for t, v in whole], "type string, version bigint")
+        adopted = {r["type"]: r["version"] for r in newest_committed(versions, versions, ["type"]).where("version > 0").collect()}
+        newest: dict[tuple[str, int], tuple[int, str]] = {}
+        for (t, v), own in sorted(whole.items()):
+            if v <= adopted[t]:
+                for r in self.spark.read.schema("run_id bigint").json(f"{self.root}/runs/v={v}_{t}/{own}").collect():
+                    newest[t, r["run_id"]] = (v, f"membership/v={v}_{t}/{own}/type={t}/run_id={r['run_id']}")
+        csvs = self._report_files()
 
         entries = [e for e in prior if e["kind"] in ("dataset", "attachments", "segment")] or [
             {"kind": "dataset", "name": self.root.rsplit("/", 1)[-1], "created_at": _now()}
         ]
-        for r in adopted:
-            path = f"stores/{r['type']}/v={r['version']}"
+        entries += self._fetches_on_disk(prior, newest)
+        for t, v in sorted(adopted.items()):
+            path = f"stores/{t}/v={v}/{whole[t, v]}"
             columns = self._write_columns(path)
             count = self.spark.read.parquet(f"{self.root}/{path}/records").count()
-            entries.append({"kind": "store", "type": r["type"], "version": r["version"], "path": path, "count": count, "columns": columns})
+            entries.append({"kind": "store", "type": t, "version": v, "path": path, "count": count, "columns": columns})
         rebuilt = []
-        for r in sorted(newest):
-            entries.append({"kind": "membership", "type": r["type"], "run_id": r["run_id"], "version": r["version"], "path": r["path"]})
-            rebuilt.append({"kind": "download", "type": r["type"], "run_id": r["run_id"], "complete": True, "recovered": True, "fetched_at": _now()})
+        for (t, run), (v, path) in sorted(newest.items()):
+            count = self.spark.read.schema("type string").json(f"{self.root}/{path}").count() if self.storage.exists(f"{self.root}/{path}") else 0
+            entries.append({"kind": "membership", "type": t, "run_id": run, "version": v, "path": path, "count": count})
+            rebuilt.append({"kind": "download", "type": t, "run_id": run, "complete": True, "recovered": True, "fetched_at": _now()})
         known = {(e["type"], e["run_id"], e["job_id"]): e for e in prior if e["kind"] == "download"}
         for name in csvs:
             rebuilt.append(self._recover_csv(name, known))
         carried = self._carry(rebuilt, [e for e in prior if e["kind"] == "download"])
         entries += carried + [e for e in prior if e["kind"] == "download" and e["type"] == "attachments"]
         self._commit(entries, commit + 1)
+        if adopted and (self.storage.exists(f"{self.root}/attachments") or any(e["kind"] == "attachments" for e in entries)):
+            self.index_attachments()
+
+    def _complete_versions(self, named: set[str]) -> dict[tuple[str, int], str]:
+        """The folder id of every version whose store, membership and run list were written to the end.
+
+        Of several with one number (a writer died before it could clear away what it lost), that which a
+        manifest names counts, else the latest.
+        """
+        found: dict[tuple[str, int], tuple[bool, int, str]] = {}
+        for path in self._store_folders():
+            _, record_type, version, own = path.split("/")
+            v = int(version.removeprefix("v="))
+            parts = (f"{path}/records", f"membership/v={v}_{record_type}/{own}", f"runs/v={v}_{record_type}/{own}")
+            if all(self.storage.exists(f"{self.root}/{p}/_SUCCESS") for p in parts):
+                rank = (path in named, self.storage.modified(f"{self.root}/{parts[2]}/_SUCCESS"), own)
+                found[record_type, v] = max(found.get((record_type, v), (False, 0, "")), rank)
+        return {key: own for key, (_, _, own) in found.items()}
+
+    def _fetches_on_disk(self, prior, newest) -> list[dict[str, Any]]:
+        """Segments no manifest knows; they wait for a merge unless their run was merged."""
+        known = {(e["type"], e["run_id"], e["fetch"]) for e in prior if e["kind"] == "segment"}
+        entries = []
+        for t in self.storage.names(f"{self.root}/segments"):
+            for fetch in self.storage.names(f"{self.root}/segments/{t}", "fetch="):
+                for run in self.storage.names(f"{self.root}/segments/{t}/{fetch}", "run_id="):
+                    run_id = int(run.removeprefix("run_id="))
+                    if (t, run_id, fetch.removeprefix("fetch=")) not in known:
+                        merged_as = newest.get((t, run_id), (None,))[0]
+                        entries.append({"kind": "segment", "type": t, "run_id": run_id, "fetch": fetch.removeprefix("fetch="), "merged_as": merged_as})
+        return entries
 
     def _recover_csv(self, name: str, known: Mapping[tuple, Mapping[str, Any]]) -> dict[str, Any]:
         stem = name[len("report_") : -len(".csv")]

@@ -39,6 +39,22 @@ def read_cells(spark: SparkSession, path: str, dialect: Mapping[str, str] = DIAL
     return _reader(spark, dialect, multiline).csv(path)
 
 
+def failed_casts(
+    spark: SparkSession, path: str, columns: Mapping[str, str], order: Sequence[str], dialect: Mapping[str, str] = DIALECT,
+    multiline: bool | None = None,
+) -> DataFrame:
+    """``column, type, failed``: cells with text that the recorded type cannot hold, for columns that have any.
+
+    :func:`scan_report_csv` gives NULL for these; this says how many there are.
+    """
+    cells = _cells(spark, path, columns, order, dialect, multiline)
+    failed = [
+        F.struct(F.lit(c).alias("column"), F.lit(columns[c]).alias("type"), F.count_if(F.nullif(F.col(f"`{c}`"), F.lit("")).isNotNull() & _typed(F.col(f"`{c}`"), columns[c]).isNull()).alias("failed"))
+        for c in cells.columns
+    ]
+    return cells.agg(F.array(*failed).alias("_f")).select(F.inline("_f")).where("failed > 0")
+
+
 def _typed(cell: Column, name: str) -> Column:
     value = F.nullif(cell, F.lit(""))
     target = spark_type(name)
@@ -59,11 +75,18 @@ def scan_report_csv(
     ``order`` is the recorded file order; columns missing from it follow sorted by name.
     Nothing is inferred at read time.
     """
+    cells = _cells(spark, path, columns, order, dialect, multiline)
+    return cells.select(
+        F.lit(run_id).cast("bigint").alias("run_id"), *[_typed(F.col(f"`{c}`"), columns[c]).alias(c) for c in cells.columns]
+    )
+
+
+def _cells(
+    spark: SparkSession, path: str, columns: Mapping[str, str], order: Sequence[str], dialect: Mapping[str, str], multiline: bool | None
+) -> DataFrame:
+    """All cells as text under the recorded names, by position."""
     names = list(dict.fromkeys([c for c in order if c in columns])) + sorted(set(columns) - set(order))
     schema = T.StructType([T.StructField(c, T.StringType()) for c in names])
     if multiline is None:
         multiline = has_multiline_cells(spark, path, dialect["quote"])
-    cells = _reader(spark, dialect, multiline).schema(schema).csv(path)
-    return cells.select(
-        F.lit(run_id).cast("bigint").alias("run_id"), *[_typed(F.col(f"`{c}`"), columns[c]).alias(c) for c in names]
-    )
+    return _reader(spark, dialect, multiline).schema(schema).csv(path)

@@ -25,10 +25,13 @@ def read_record_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
 def record_lines(lines: DataFrame) -> DataFrame:
     """Lines (``value, file_path, file_block_start``) as ``record`` and ``_position``.
 
-    Positions compare like places in the files: by file, by split, then by line.
+    Positions compare like places in the files: by file, by split, then by line.  Files are ordered
+    by name with runs of digits as numbers, so page 10 comes after page 2.
     """
+    parts = F.regexp_extract_all("file_path", F.lit(r"(\d+|\D+)"))
+    natural = F.array_join(F.transform(parts, lambda x: F.when(x.rlike(r"^\d{1,19}$"), F.lpad(x, 20, "0")).otherwise(x)), "")
     position = F.struct(
-        F.col("file_path").alias("file"), F.col("file_block_start").alias("block"),
+        natural.alias("file"), F.col("file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("line"),
     )
     return lines.select(F.col("value").alias("record"), position.alias("_position")).where(F.trim("record") != "")

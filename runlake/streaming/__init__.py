@@ -1,5 +1,5 @@
 """Incremental ingest on Structured Streaming."""
 
-from .ingest import ingest_pages, merge_stream, store_batches
+from .ingest import ingest_pages, merge_stream
 
-__all__ = ["ingest_pages", "merge_stream", "store_batches"]
+__all__ = ["ingest_pages", "merge_stream"]

@@ -7,23 +7,12 @@ record harmless.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 
 from ..plans import Dataset
 from ..sources import record_lines
 
 
-def store_batches(stream: DataFrame, path: str, checkpoint: str) -> None:
-    """Write what a stream has now as one folder per micro-batch, and return when done."""
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
-
-    stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(
-        availableNow=True
-    ).start().awaitTermination()
-
-
 def _pages(spark: SparkSession, landing: str, pages_per_batch: int) -> DataFrame:
     """Landed NDJSON pages as a stream of lines with their file and split."""
     lines = spark.readStream.schema("value string").option("maxFilesPerTrigger", pages_per_batch).text(landing)
@@ -32,27 +21,34 @@ def _pages(spark: SparkSession, landing: str, pages_per_batch: int) -> DataFrame
 
 def ingest_pages(
     dataset: Dataset, record_type: str, run_id: int, landing: str, checkpoint: str,
-    fetch: str = "1", queried: int | None = None, pages_per_batch: int = 100,
-) -> None:
+    fetch: str = "1", queried: int | None = None, pages_per_batch: int = 100, fetched_at: Column | None = None,
+) -> bool:
     """Take all pages landed so far into a run's fetch; run it again to resume.
 
-    The fetch is then finished and waits for a merge.
+    The fetch is then finished and waits for a merge, again if pages came after it was merged.
+    Returns whether there were new pages.
     """
+    new = []
 
     def append(batch: DataFrame, batch_id: int) -> None:
-        dataset.add_page(record_type, run_id, record_lines(batch), fetch, f"{batch_id:09d}")
+        dataset.add_page(record_type, run_id, record_lines(batch), fetch, f"{batch_id:09d}", fetched_at)
+        new.append(batch_id)
 
     _pages(dataset.spark, landing, pages_per_batch).writeStream.foreachBatch(append).option(
         "checkpointLocation", checkpoint
     ).trigger(availableNow=True).start().awaitTermination()
-    dataset.finish_fetch(record_type, run_id, fetch, queried)
+    dataset.finish_fetch(record_type, run_id, fetch, queried, late=bool(new))
+    return bool(new)
 
 
 def merge_stream(
     dataset: Dataset, record_type: str, run_id: int, landing: str, checkpoint: str, fetch: str = "1", pages_per_batch: int = 100,
+    fetched_at: Column | None = None,
 ) -> dict[str, int] | None:
-    """Ingest what landed, then merge it; a fetch that was merged before is left alone."""
-    if dataset.is_merged(record_type, run_id, fetch):
-        return None
-    ingest_pages(dataset, record_type, run_id, landing, checkpoint, fetch, pages_per_batch=pages_per_batch)
+    """Ingest what landed, then merge it.
+
+    Pages that land after a merge of the fetch open it again, and all its pages are merged with the
+    late ones last.  A replay that brings no new page does nothing.
+    """
+    ingest_pages(dataset, record_type, run_id, landing, checkpoint, fetch, pages_per_batch=pages_per_batch, fetched_at=fetched_at)
     return dataset.merge(record_type, run_id)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from runlake.functions import attachment_file
 from runlake.plans import Dataset, DatasetFrames, register_views, sql
+from runlake.plans.dataset import CommitConflict
 from runlake.plans.views import view_prefixes
 from runlake.sources import read_record_lines
 from runlake.streaming import ingest_pages, merge_stream
@@ -150,6 +151,11 @@ def test_reindex(ds, tmp_path, rows):
     ds.add_report(6, "reports/report_6.csv", "student-assignment-usage", filter_labels=["class: A"])
     # A store version without a membership of its own never committed.
     shutil.copytree(tmp_path / "ds/stores/answers/v=2", tmp_path / "ds/stores/answers/v=3")
+    # Nor did one whose membership was cut off.
+    for top in ("membership", "runs"):
+        shutil.copytree(tmp_path / f"ds/{top}/v=2_answers", tmp_path / f"ds/{top}/v=4_answers")
+    shutil.copytree(tmp_path / "ds/stores/answers/v=2", tmp_path / "ds/stores/answers/v=4")
+    next((tmp_path / "ds/membership/v=4_answers").glob("id=*/_SUCCESS")).unlink()
     ds.reindex()
     m = {(r.kind, r.type, r.run_id): r for r in ds.manifest().collect()}
     assert m["store", "answers", None].version == 2 and m["store", "answers", None]["count"] == 2
@@ -177,14 +183,94 @@ def test_streamed_pages_resume_and_replay(spark, ds, tmp_path, rows):
     assert counts == {"fetched": 4, "new": 3, "updated": 0, "removed": 0}
     assert rows(ds.frames().stores["answers"], "remote_endpoint", "score") == [("e1", 1), ("e2", 3), ("e4", 4)]
     assert merge_stream(ds, "answers", 7, str(landing), str(tmp_path / "ck")) is None
+    # A page that lands after the merge opens the fetch again and wins.
+    (landing / "page003.jsonl").write_text(json.dumps(rec("e1", 9)) + "\n" + json.dumps(rec("e5", 5)) + "\n")
+    counts = merge_stream(ds, "answers", 7, str(landing), str(tmp_path / "ck"))
+    assert counts == {"fetched": 6, "new": 1, "updated": 3, "removed": 0}
+    assert rows(ds.frames().stores["answers"], "remote_endpoint", "score") == [("e1", 9), ("e2", 3), ("e4", 4), ("e5", 5)]
+    assert merge_stream(ds, "answers", 7, str(landing), str(tmp_path / "ck")) is None
+
+
+def test_pages_are_ordered_by_number(ds, tmp_path, rows):
+    landing = tmp_path / "landing"
+    landing.mkdir()
+    for n in (10, 9, 2):
+        (landing / f"page-{n}.jsonl").write_text(json.dumps(rec("e1", n)) + "\n")
+    merge_stream(ds, "answers", 7, str(landing), str(tmp_path / "ck"))
+    assert rows(ds.frames().stores["answers"], "score") == [(10,)]
+
+
+def test_two_writers_from_one_commit(spark, ds, tmp_path, rows, monkeypatch):
+    """The second finds the commit taken, clears away what it wrote and merges on top of the first."""
+    fetch(ds, tmp_path, 1, "1", rec("e1", 1))
+    fetch(ds, tmp_path, 2, "1", rec("e2", 2))
+    other, commit = Dataset(spark, ds.root), Dataset._commit
+    raced = []
+
+    def slow(self, entries, number):
+        if self is ds and not raced:
+            raced.append(number)
+            assert other.merge("answers", 2, sweep=False)["new"] == 1
+        commit(self, entries, number)
+
+    monkeypatch.setattr(Dataset, "_commit", slow)
+    assert ds.merge("answers", 1, sweep=False) == {"fetched": 1, "new": 1, "updated": 0, "removed": 0}
+    assert raced and rows(other.frames().stores["answers"], "remote_endpoint") == [("e1",), ("e2",)]
+    assert len(list((tmp_path / "ds/stores/answers").glob("v=*/id=*"))) == 2 and not list((tmp_path / "ds/staging").glob("*/id=*"))
+    assert not [d for d in ds.drift().collect() if d.code == "MISSING_FILE"]
+    with pytest.raises(CommitConflict):
+        ds._commit([], raced[0])
+
+
+def test_vacuum_and_drift(ds, tmp_path, rows):
+    for run, n in ((1, 1), (2, 2), (1, 3)):
+        fetch(ds, tmp_path, run, str(n), rec(f"e{n}", n))
+        ds.merge("answers", run)
+    orphans = [r.subject for r in ds.drift().collect() if r.code == "ORPHAN_FILE"]
+    assert len([o for o in orphans if o.startswith("stores/answers/v=")]) == 2 and len([o for o in orphans if o.startswith("membership/v=1_")]) == 1
+    before = rows(ds.frames().stores["answers"], "remote_endpoint", "score")
+    gone = ds.vacuum()
+    assert {g.split("/")[0] for g in gone} >= {"stores", "membership", "manifest"}
+    assert rows(ds.frames().stores["answers"], "remote_endpoint", "score") == before
+    assert ds.drift().count() == 0 and ds.vacuum() == []
+    fetch(ds, tmp_path, 4, "1", rec("e4", 4))
+    assert ds.merge("answers", 4)["new"] == 1
+
+
+def test_reindex_keeps_empty_refreshes_and_waiting_fetches(ds, tmp_path, rows):
+    fetch(ds, tmp_path, 1, "1", rec("e1", 1), rec("e2", 1))
+    ds.merge("answers", 1)
+    fetch(ds, tmp_path, 2, "1", rec("e2", 2))
+    ds.merge("answers", 2)
+    fetch(ds, tmp_path, 1, "2")
+    assert ds.merge("answers", 1)["removed"] == 1
+    fetch(ds, tmp_path, 3, "1", rec("e3", 3))  # landed, not merged
+    shutil.move(tmp_path / "ds/manifest", tmp_path / "old_manifest")
+    ds.reindex()
+    assert rows(ds.frames().membership, "run_id", "remote_endpoint") == [(2, "e2")]
+    fetch(ds, tmp_path, 4, "1", rec("e4", 4))
+    assert ds.merge("answers", 4)["new"] == 1
+    assert rows(ds.frames().stores["answers"], "remote_endpoint") == [("e2",), ("e3",), ("e4",)]
+
+
+def test_attachment_index_without_a_folder_and_after_reindex(ds, tmp_path, rows):
+    attachments = {"f.json": {"publicPath": "p/1", "contentType": "application/json"}}
+    fetch(ds, tmp_path, 1, "1", rec("e2", 1, attachments=attachments), rec("e1", 1, attachments={"g.json": attachments["f.json"]}))
+    ds.merge("answers", 1)
+    assert ds.index_attachments().count() == 0
+    files = tmp_path / "ds/attachments"
+    files.mkdir()
+    for name in ("f.json", "g.json"):
+        file = ds.spark.range(1).select(attachment_file(F.lit("s"), F.lit("p/1"), F.lit(name))).head()[0]
+        (files / file).write_text("{}")
+    ds.reindex()
+    assert rows(ds.frames().attachments, "name") == [("g.json",)]  # the first record in identity order names the file
 
 
 def test_view_prefixes():
     assert view_prefixes([(None, "main")]) == [""]
     assert view_prefixes([("a", "main"), (None, "fall")]) == ["a__", "fall__"]
-    with pytest.raises(ValueError, match="reserved"):
-        view_prefixes([(None, "main"), (None, "fall")])
-    with pytest.raises(ValueError, match="collides"):
+    with pytest.raises(ValueError, match="share a view prefix"):
         view_prefixes([("School", "x"), (None, "school")])
 
 
