@@ -4,29 +4,40 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from runlake.functions import rfc3339
-from runlake.operators import attachment_index, membership_of, merge_store
-from runlake.plans import DatasetFrames, ReportRun, register_views, sql
+from runlake.functions import ANSWER_KEY, rfc3339
+from runlake.operators import attachment_index
+from runlake.plans import Dataset, DatasetFrames, ReportRun, register_views, sql
 from runlake.session import work_dir
 from runlake.sources import collect_capped, json_friendly, write_result
-from runlake.streaming import store_batches
+from runlake.streaming import merge_stream
 
 from . import shapes as S
-from .record_queries import OUT, POS, _all_runs
+from .record_queries import _all_runs
 from .registry import query
 
 
+def _records(e):
+    """Events as landing lines, in event order."""
+    record = F.struct(*ANSWER_KEY, "event_id", "value")
+    return e.repartitionByRange(F.col("event_id")).sortWithinPartitions("event_id").select(F.to_json(record).alias("value"))
+
+
 @query(f"""
-WITH {S.EV}, {S.last_per_run('d1', 'ev')}, {S.newest('d2', 'd1')}
-SELECT {S.KEYS}, _run_id AS run_id, event_id, value FROM d2""")
+WITH {S.EV}
+SELECT {S.KEYS}, _run_id AS run_id, event_id, value FROM ev
+QUALIFY row_number() OVER (PARTITION BY {S.KEYS} ORDER BY _run_id DESC, event_id % 5 = 4 DESC, event_id DESC) = 1""")
 def streamed_merge(spark, sf):
-    """Events taken in as a stream, then merged; same store as the batch merge."""
-    source = S.table(spark, sf, "events")
-    stream = spark.readStream.schema(source.schema).option("pathGlobFilter", "events.parquet").parquet(sf)
-    landed = work_dir(spark, "stream")
-    store_batches(S.ev_of(stream), f"{landed}/segments", f"{landed}/checkpoint")
-    segments = spark.read.parquet(f"{landed}/segments").drop("batch")
-    return merge_store(None, segments, None, "answers", [500, 501, 502], POS).store.selectExpr(*OUT)
+    """All events land as pages in two parts, each streamed into its run and merged; late pages win."""
+    e = S.ev(spark, sf)
+    ds = Dataset.create(spark, work_dir(spark, "dataset"), "fall")
+    landed, checkpoint = work_dir(spark, "landing"), work_dir(spark, "checkpoint")
+    for late in (False, True):
+        for run in (500, 501, 502):
+            part = e.where((F.col("_run_id") == run) & ((F.col("event_id") % 5 == 4) == F.lit(late)))
+            _records(part).write.mode("append").text(f"{landed}/{run}")
+            merge_stream(ds, "answers", run, f"{landed}/{run}", f"{checkpoint}/{run}", fetched_at=F.timestamp_seconds(F.lit(run)))
+    store = ds.frames().stores["answers"]
+    return store.select(*ANSWER_KEY, F.col("_run_id").alias("run_id"), "event_id", "value")
 
 
 def _frames(spark, sf):

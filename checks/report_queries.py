@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from runlake.functions import filter_labels, is_text_content_type, report_type_from_slug, state_text, try_number
 from runlake.operators import (
-    answers_long, attach_learner, correct_counts, data_row_count, double_decode, infer_csv_schema,
+    answers_long, answers_long_of_runs, attach_learner, correct_counts, data_row_count, double_decode, infer_csv_schema,
     infer_json_columns, quarantine, recover_report_type, report_prompts, report_rows, reports_to_answers,
     union_runs,
 )
@@ -35,13 +35,15 @@ def reports_union(spark, sf):
     return union_runs(_runs(spark, sf))
 
 
-@query(f"""
-WITH {S.RUN_1}
-SELECT CAST(1 AS BIGINT) AS run_id, * FROM run1 WHERE student_id IN ('Prompt', 'Correct answer')
-  AND (SELECT count(*) FROM customer) > 0""")
+@query("""
+SELECT CAST(1 AS BIGINT) AS run_id, CASE c_custkey % 50 WHEN 0 THEN 'Prompt' ELSE 'Correct answer' END AS student_id, CAST(c_acctbal AS VARCHAR) AS res_1_q1_answer
+FROM customer WHERE c_custkey % 50 IN (0, 1)""")
 def reports_prompts(spark, sf):
-    """B2."""
-    return union_runs(_runs(spark, sf), prompts=True)
+    """B2: pseudo-header rows strewn among the customers."""
+    key = F.col("c_custkey")
+    student = F.when(key % 50 == 0, "Prompt").when(key % 50 == 1, "Correct answer").otherwise(key.cast("string"))
+    report = S.table(spark, sf, "customer").select(student.alias("student_id"), F.col("c_acctbal").cast("string").alias("res_1_q1_answer"))
+    return union_runs({1: (report, "answers"), 2: (S.report_run_2(spark, sf), "usage")}, prompts=True)
 
 
 @query(f"WITH {S.RUN_1} SELECT * FROM run1 WHERE student_id NOT IN ('Prompt', 'Correct answer')")
@@ -260,3 +262,38 @@ def numeric_answers(spark, sf):
     """Prompt text among numbers."""
     number = try_number(F.col("res_1_q1_answer"))
     return S.report_run_1(spark, sf).agg(F.count(number).alias("numbers"), F.round(F.sum(number), 2).alias("total"))
+
+
+@query("""
+SELECT CAST(1 AS BIGINT) AS run_id, CAST(c_custkey AS VARCHAR) AS student_id, CAST(1 AS BIGINT) AS n, 'u' || c_custkey AS remote_endpoint, 'q1' AS question_id, c_mktsegment AS answer FROM customer
+UNION ALL SELECT 2, CAST(s_suppkey AS VARCHAR), 1, 's' || s_suppkey, 'q9', s_name FROM supplier
+UNION ALL SELECT 3, CAST(p_partkey AS VARCHAR), x.n, CASE x.n WHEN 1 THEN 'p' || p_partkey END, 'q' || x.n, CASE x.n WHEN 1 THEN p_brand ELSE p_type END FROM part, (VALUES (1), (2)) x(n)""")
+def reports_long_of_runs(spark, sf):
+    """C5 over three runs with different positional columns."""
+    text = lambda c: F.col(c).cast("string")
+    return answers_long_of_runs({
+        1: S.table(spark, sf, "customer").select(
+            text("c_custkey").alias("student_id"), F.concat(F.lit("u"), "c_custkey").alias("res_1_remote_endpoint"), F.col("c_mktsegment").alias("res_1_q1_answer")),
+        2: S.table(spark, sf, "supplier").select(
+            text("s_suppkey").alias("student_id"), F.concat(F.lit("s"), "s_suppkey").alias("res_1_remote_endpoint"), F.col("s_name").alias("res_1_q9_answer")),
+        3: S.table(spark, sf, "part").select(
+            text("p_partkey").alias("student_id"), F.concat(F.lit("p"), "p_partkey").alias("res_1_remote_endpoint"),
+            F.col("p_brand").alias("res_1_q1_answer"), F.col("p_type").alias("res_2_q2_answer")),
+    })
+
+
+@query(f"""
+WITH {S.EV}, {S.last_per_run('d1', 'ev')}, {S.newest('d2', 'd1')},
+named AS (
+  SELECT 'u' || (o_custkey % 200) AS remote_endpoint, CAST(o_orderkey % 3 AS BIGINT) AS run_id, CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE o_custkey END AS learner FROM orders),
+best AS (SELECT * FROM named QUALIFY row_number() OVER (PARTITION BY remote_endpoint ORDER BY learner IS NOT NULL DESC, run_id DESC, learner DESC) = 1)
+SELECT {S.KEYS}, event_id, learner FROM d2 LEFT JOIN best USING (remote_endpoint)""")
+def learners_of_repeated_endpoints(spark, sf):
+    """An endpoint that many rows name, with and without an id, has one learner."""
+    store, _ = _all_runs(spark, sf)
+    key = F.col("o_orderkey")
+    reports = S.table(spark, sf, "orders").select(
+        F.concat(F.lit("u"), (F.col("o_custkey") % 200).cast("string")).alias("res_1_remote_endpoint"), (key % 3).alias("run_id"),
+        F.when(key % 4 != 0, F.col("o_custkey")).alias("learner"),
+    )
+    return attach_learner(store, reports, ["learner"]).select("source_key", "remote_endpoint", "question_id", "event_id", "learner")

@@ -58,15 +58,15 @@ def membership_files(spark, sf):
 
 @query("""
 SELECT event_id, CAST(500 + event_id % 3 AS BIGINT) AS run_id, CAST(1700000000 + event_id % 3 AS BIGINT) AS fetched
-FROM events WHERE event_id % 3 <> 1""")
+FROM events""")
 def segments_appended(spark, sf):
-    """Two runs' records stamped and appended, one of them delivered twice."""
+    """Three runs' records stamped and appended, one of them delivered twice."""
     path = work_dir(spark, "segments")
     e = S.table(spark, sf, "events").select("event_id", "event_type", F.col("event_id").alias("_position"))
-    for run, batch in ((0, "1"), (2, "1"), (2, "1")):
+    for run, batch in ((0, "1"), (1, "7"), (2, "1"), (2, "1")):
         at = F.timestamp_millis(F.lit(1_700_000_000_900 + run * 1000))
         append_records(e.where(F.col("event_id") % 3 == run), path, at, 500 + run, batch)
-    return read_segments(spark, path, [500, 502]).select(
+    return read_segments(spark, path, [500, 501, 502]).select(
         "event_id", F.col("_run_id").alias("run_id"), F.unix_seconds("_fetched_at").alias("fetched")
     )
 
@@ -81,16 +81,14 @@ def store_written(spark, sf):
     return read_store(spark, path).selectExpr(*OUT)
 
 
-@query("""SELECT lang, source, sum(length(text) + 1)::BIGINT AS chars FROM documents GROUP BY ALL""")
+@query("""SELECT doc_id // 50 AS part, sum(length(text) + 1)::BIGINT AS chars FROM documents GROUP BY ALL""")
 def text_files_read(spark, sf):
-    """Documents written as text files, read back as whole files."""
+    """Documents written as text files of at most 50, read back as whole files."""
     path = work_dir(spark, "texts")
-    d = S.table(spark, sf, "documents")
-    name = F.concat_ws("-", "lang", "source")
-    d.select("text", name.alias("part")).repartition("part").write.partitionBy("part").text(path)
+    part = F.floor(F.col("doc_id") / 50).alias("part")
+    S.table(spark, sf, "documents").select("text", part).repartition("part").write.partitionBy("part").text(path)
     content = read_text_files(spark, path + "/*").select("path", F.length("content").alias("n"))
-    part = F.split(F.regexp_extract("path", r"part=([^/]+)/", 1), "-")
-    return content.groupBy(part[0].alias("lang"), part[1].alias("source")).agg(F.sum("n").alias("chars"))
+    return content.groupBy(F.regexp_extract("path", r"part=(\d+)/", 1).cast("bigint").alias("part")).agg(F.sum("n").alias("chars"))
 
 
 def _dataset(spark, sf) -> Dataset:
@@ -146,3 +144,75 @@ def dataset_reindexed(spark, sf):
     rows = ds.manifest().where("kind in ('store', 'membership')")
     sizes = ds.frames().membership.groupBy("run_id").count().withColumnRenamed("count", "ids")
     return rows.join(sizes, "run_id", "left").select("kind", "run_id", "version", F.coalesce("ids", "count").alias("n"))
+
+
+def _landed(ds, spark, sf, run, fetch, part):
+    """A run's events, landed and waiting for a merge."""
+    path = work_dir(spark, "landing")
+    record = F.struct(*ANSWER_KEY, "event_id", "value")
+    one = part.where(F.col("_run_id") == run).repartitionByRange(F.col("event_id")).sortWithinPartitions("event_id")
+    one.select(F.to_json(record).alias("value")).write.text(path)
+    ds.add_page("answers", run, read_record_lines(spark, path), fetch, "1", F.timestamp_seconds(F.lit(run)))
+    ds.finish_fetch("answers", run, fetch)
+
+
+class _Overtaken(Dataset):
+    """A writer before whose first commit another one commits."""
+
+    other = None
+
+    def _commit(self, entries, commit):
+        other, self.other = self.other, None
+        if other:
+            other()
+        super()._commit(entries, commit)
+
+
+@query(f"""
+WITH {S.EV}
+SELECT {S.KEYS}, _run_id AS run_id, event_id, value FROM ev WHERE _run_id IN (500, 501)
+QUALIFY row_number() OVER (PARTITION BY {S.KEYS} ORDER BY _run_id, event_id DESC) = 1""")
+def concurrent_merges(spark, sf):
+    """Two writers merge from one commit; the loser merges again, on top of the winner."""
+    e = S.ev(spark, sf)
+    ds = Dataset.create(spark, work_dir(spark, "dataset"), "fall")
+    for run in (500, 501):
+        _landed(ds, spark, sf, run, "1", e)
+    loser = _Overtaken(spark, ds.root)
+    loser.other = lambda: ds.merge("answers", 501, sweep=False)
+    loser.merge("answers", 500, sweep=False)
+    return ds.frames().stores["answers"].select(*ANSWER_KEY, F.col("_run_id").alias("run_id"), "event_id", "value")
+
+
+@query(f"""
+WITH {S.EV}
+SELECT 'store' AS kind, CAST(NULL AS BIGINT) AS run_id, count(DISTINCT ({S.KEYS})) AS n FROM ev WHERE _run_id = 501
+UNION ALL SELECT 'membership', 500, 0
+UNION ALL SELECT 'membership', 501, count(DISTINCT ({S.KEYS})) FROM ev WHERE _run_id = 501""")
+def reindex_after_empty_refresh(spark, sf):
+    """A run refreshed to nothing stays empty when the manifest is rebuilt."""
+    e = S.ev(spark, sf)
+    ds = Dataset.create(spark, work_dir(spark, "dataset"), "fall")
+    for run, fetch, part in ((500, "1", e), (501, "1", e), (500, "2", e.where(F.lit(False)))):
+        _landed(ds, spark, sf, run, fetch, part)
+        ds.merge("answers", run)
+    ds.reindex()
+    return ds.manifest().where("kind in ('store', 'membership')").select("kind", "run_id", F.col("count").alias("n"))
+
+
+@query(f"""
+WITH {FLOW}
+SELECT 'before' AS phase, 'stores' AS what, CAST(1 AS BIGINT) AS orphans, count(*) AS records FROM flow
+UNION ALL SELECT 'before', 'membership', 1, count(*) FROM flow
+UNION ALL SELECT 'after', 'none', 0, count(*) FROM flow""")
+def drift_at_rest(spark, sf):
+    """G5 and the vacuum: superseded folders are orphans, then gone, and the store stays as it is."""
+    ds = _dataset(spark, sf)
+    found = {}
+    for phase in ("before", "after"):
+        orphans = ds.drift().where("code = 'ORPHAN_FILE'").groupBy(F.substring_index("subject", "/", 1).alias("what")).count().collect()
+        found[phase] = [(r["what"], r["count"]) for r in orphans] or [("none", 0)]
+        if phase == "before":
+            ds.vacuum()
+    one = spark.createDataFrame([(p, w, n) for p, rows in found.items() for w, n in rows], "phase string, what string, orphans bigint")
+    return one.withColumn("records", F.lit(ds.frames().stores["answers"].count()).cast("bigint"))

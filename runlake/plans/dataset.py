@@ -478,10 +478,13 @@ class Dataset:
         commits = sorted(int(n.removeprefix("commit=")) for n in self.storage.names(f"{self.root}/manifest", "commit="))
         kept = commits[-max(keep, 1):]
         rows = self.spark.read.schema(MANIFEST_SCHEMA + ", commit bigint").json(f"{self.root}/manifest").where(F.col("commit").isin(kept))
-        named = {r["path"].partition("/type=")[0] for r in rows.where("path is not null").select("path").distinct().collect()}
-        named |= {p.replace("membership/", "runs/", 1) for p in named if p.startswith("membership/")}
+        named = {r["path"] for r in rows.where("path is not null").select("path").distinct().collect()}
+        # A membership goes by run; what else its version wrote goes with the last of its runs.
+        versions = {p.partition("/type=")[0] for p in named if p.startswith("membership/")}
+        named |= versions | {p.replace("membership/", "runs/", 1) for p in versions}
         found = [*self._store_folders(), *(f for top in ("membership", "runs", "attachment_index") for f in self._versions(top))]
         gone = [f for f in found if f not in named]
+        gone += [f for f in self._member_folders() if f not in named and f.partition("/type=")[0] in versions]
         gone += [f"staging/{t}" for t in self.storage.names(f"{self.root}/staging")] + [f"manifest/commit={c}" for c in commits if c not in kept]
         for folder in gone:
             self.storage.delete(f"{self.root}/{folder}")

@@ -233,6 +233,8 @@ def test_vacuum_and_drift(ds, tmp_path, rows):
     assert {g.split("/")[0] for g in gone} >= {"stores", "membership", "manifest"}
     assert rows(ds.frames().stores["answers"], "remote_endpoint", "score") == before
     assert ds.drift().count() == 0 and ds.vacuum() == []
+    ds.reindex()
+    assert rows(ds.frames().stores["answers"], "remote_endpoint", "score") == before
     fetch(ds, tmp_path, 4, "1", rec("e4", 4))
     assert ds.merge("answers", 4)["new"] == 1
 
