@@ -97,8 +97,8 @@ def merge_store(
     stored identities no membership covers are dropped.  Several runs make it a sweep of a
     backlog (I3); a run that was merged before is refreshed (I4), also to nothing.
 
-    Only identity columns are shuffled to decide what happens to stored records; their
-    payload meets just the replaced and dropped identities, in one anti join.  With
+    Identities are shuffled once, into a row of flags each, which decides what happens to
+    them; the payload meets just the replaced and dropped ones, in one anti join.  With
     ``stage``, a folder every executor can reach, the deduplicated source and those
     identities are written there first: the source is computed once instead of at each use,
     and the planner knows the size of the identities before it plans the join, so it
@@ -124,29 +124,39 @@ def merge_store(
         others = membership.where(same_type & ~F.col("run_id").isin(*runs)).select(*fresh.columns)
         members = membership.where(~same_type).select(*fresh.columns).unionByName(others).unionByName(fresh)
 
+    if store is not None:
+        store = normalize_identity(store.drop("_status") if "_status" in store.columns else store, record_type)
+    decided = _staged(_decisions(keys, source, store, others), stage, "decided")
+    dropped = decided.where(F.col("_old") & ~F.col("_source") & ~F.col("_other")).select(*keys)
     if store is None:
         merged = source.withColumn("_status", F.lit("new"))
-        dropped = source.select(*keys).where(F.lit(False))
     else:
-        if "_status" in store.columns:
-            store = store.drop("_status")
-        store = normalize_identity(store, record_type)
-        old_ids = store.select(*keys)
-        source_ids = source.select(*keys)
-        covered = source_ids
-        if others is not None:
-            covered = normalize_identity(others, record_type).select(*keys).unionByName(source_ids)
-        dropped = _staged(old_ids.join(covered, keys, "left_anti"), stage, "dropped")
-        gone = _staged(source_ids.unionByName(dropped), stage, "gone")
+        gone = decided.where(F.col("_old") & (F.col("_source") | ~F.col("_other"))).select(*keys)
         kept = store.join(gone, keys, "left_anti").withColumn("_status", F.lit("kept"))
-        seen = old_ids.withColumn("_old", F.lit(True))
-        stamped = source.join(seen, keys, "left").withColumn(
-            "_status", F.when(F.col("_old"), "updated").otherwise("new")
-        )
-        merged = kept.unionByName(stamped.drop("_old"), allowMissingColumns=True)
+        status = decided.where("_source").select(*keys, F.when(F.col("_old"), "updated").otherwise("new").alias("_status"))
+        merged = kept.unionByName(source.join(status, keys), allowMissingColumns=True)
 
-    counts = merge_counts(segments, merged, dropped, runs)
-    return MergeResult(merged, dropped, members, counts)
+    return MergeResult(merged, dropped, members, merge_counts(segments, decided, runs))
+
+
+def _decisions(keys: Sequence[str], source: DataFrame, store: DataFrame | None, others: DataFrame | None) -> DataFrame:
+    """One row per identity: is it stored (``_old``), delivered (``_source``, by ``_run``), covered by another run.
+
+    All that a merge decides follows from these flags, so identities are shuffled once.
+    """
+
+    def flagged(df: DataFrame, flag: str, run) -> DataFrame:
+        flags = [F.lit(f == flag).alias(f) for f in ("_old", "_source", "_other")]
+        return df.select(*[F.coalesce(k, F.lit("")).alias(k) for k in keys], *flags, run.cast("bigint").alias("_run"))
+
+    no_run = F.lit(None)
+    parts = [flagged(source, "_source", F.col("_run_id"))]
+    parts += [flagged(store, "_old", no_run)] if store is not None else []
+    parts += [flagged(others, "_other", no_run)] if others is not None else []
+    every = parts[0]
+    for part in parts[1:]:
+        every = every.unionByName(part)
+    return every.groupBy(*keys).agg(*[F.bool_or(f).alias(f) for f in ("_old", "_source", "_other")], F.max("_run").alias("_run"))
 
 
 def _staged(df: DataFrame, stage: str | None, name: str) -> DataFrame:
@@ -157,27 +167,28 @@ def _staged(df: DataFrame, stage: str | None, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(f"{stage}/{name}")
 
 
-def merge_counts(segments: DataFrame, merged: DataFrame, dropped: DataFrame, runs: Sequence[int]) -> DataFrame:
+def merge_counts(segments: DataFrame, decided: DataFrame, runs: Sequence[int]) -> DataFrame:
     """D3: fetched, new, updated and removed per merging run.
 
     ``fetched`` counts raw records with repeats, ``new`` and ``updated`` go to the run that
     owns the winning record, ``removed`` only to the primary, first, run.
     """
     names = ("fetched", "new", "updated", "removed")
-    run = F.col("_run_id").cast("bigint").alias("run_id")
 
     def row(df: DataFrame, **values) -> DataFrame:
         return df.select("run_id", *[values.get(n, F.lit(0)).cast("bigint").alias(n) for n in names])
 
     one = segments.sparkSession.createDataFrame([(r,) for r in runs], "run_id bigint")
-    raw = segments.groupBy(run).agg(F.count(F.lit(1)).alias("n"))
-    owned = merged.where(F.col("_status") != "kept").groupBy(run).agg(
-        F.count_if(F.col("_status") == "new").alias("new"), F.count_if(F.col("_status") == "updated").alias("updated")
+    raw = segments.groupBy(F.col("_run_id").cast("bigint").alias("run_id")).agg(F.count(F.lit(1)).alias("n"))
+    # Identities without a delivered record have no run of their own; their removal is the primary's.
+    owner = F.when(F.col("_source"), F.col("_run")).otherwise(F.lit(runs[0])).cast("bigint").alias("run_id")
+    owned = decided.groupBy(owner).agg(
+        F.count_if(F.col("_source") & ~F.col("_old")).alias("new"), F.count_if(F.col("_source") & F.col("_old")).alias("updated"),
+        F.count_if(F.col("_old") & ~F.col("_source") & ~F.col("_other")).alias("removed"),
     )
-    gone = dropped.agg(F.count(F.lit(1)).alias("n")).withColumn("run_id", F.lit(runs[0]))
     parts = row(one).unionByName(row(raw, fetched=F.col("n"))).unionByName(
-        row(owned, new=F.col("new"), updated=F.col("updated"))
-    ).unionByName(row(gone, removed=F.col("n")))
+        row(owned, new=F.col("new"), updated=F.col("updated"), removed=F.col("removed"))
+    )
     return parts.groupBy("run_id").agg(*[F.sum(c).alias(c) for c in names])
 
 
