@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from runlake.functions import ANSWER_KEY
 from runlake.operators import describe_csv, membership_of, union_runs
-from runlake.plans import Dataset, register_views, sql
+from runlake.plans import Dataset, list_datasets, register_views, sql
 from runlake.session import work_dir
 from runlake.sources import (
     append_records, read_cells, read_membership, read_record_lines, read_segments, read_store, read_text_files,
@@ -216,3 +216,19 @@ def drift_at_rest(spark, sf):
             ds.vacuum()
     one = spark.createDataFrame([(p, w, n) for p, rows in found.items() for w, n in rows], "phase string, what string, orphans bigint")
     return one.withColumn("records", F.lit(ds.frames().stores["answers"].count()).cast("bigint"))
+
+
+@query(f"""
+WITH {S.EV}
+SELECT CASE _run_id WHEN 500 THEN 'fall' ELSE 'spring' END AS name, count(DISTINCT ({S.KEYS})) AS answers, CAST(0 AS BIGINT) AS history,
+  CAST(0 AS BIGINT) AS report, CAST(0 AS BIGINT) AS attachments, true AS has_files FROM ev WHERE _run_id IN (500, 501) GROUP BY _run_id""")
+def datasets_listed(spark, sf):
+    """D7 over several datasets at rest."""
+    e, roots = S.ev(spark, sf), []
+    for name, run in (("fall", 500), ("spring", 501)):
+        ds = Dataset.create(spark, work_dir(spark, "dataset"), name)
+        _landed(ds, spark, sf, run, "1", e)
+        ds.merge("answers", run)
+        roots.append(ds.root)
+    listed = list_datasets(spark, roots)
+    return listed.select("name", "answers", "history", "report", "attachments", (F.col("size_bytes") > 0).alias("has_files"))

@@ -37,7 +37,7 @@ from pyspark.sql import types as T
 
 from ..functions import report_type_from_slug
 from ..operators import (
-    attachment_index, attachment_refs, carry_provenance, dataset_summary, dataset_totals, dedup_refs,
+    attachment_index, attachment_refs, carry_provenance, dataset_listing, dataset_summary, dataset_totals, dedup_refs,
     describe_csv, double_decode, drift_report, infer_json_columns, membership_of, merge_store,
     newest_committed, pending_refs, recover_report_type, scan_run_attachments, unreferenced_files,
 )
@@ -595,6 +595,22 @@ class Dataset:
         return [r.asDict(recursive=True) for r in rows]
 
 
+def list_datasets(spark: SparkSession, roots: Sequence[str], now: Column | None = None) -> DataFrame:
+    """One row per dataset folder, from each one's newest manifest, by ``ref``."""
+    found = [Dataset(spark, root) for root in roots]
+    if not found:
+        raise ValueError("no dataset folders given")
+    rows = [ds.manifest().withColumn("ref", F.lit(ds.root)) for ds in found]
+    every = rows[0]
+    for more in rows[1:]:
+        every = every.unionByName(more)
+    stores = every.where("kind = 'store'").select("ref", "type", "count")
+    attachments = every.where("kind = 'attachments'").select("ref", F.lit("attachments").alias("type"), "count")
+    totals = dataset_totals(stores.unionByName(attachments), every.where("kind = 'download'"), every.where(F.lit(False)), by=["ref"])
+    sizes = spark.createDataFrame([(ds.root, ds.storage.size(ds.root)) for ds in found], "ref string, size bigint")
+    return dataset_listing(every.where("kind = 'dataset'").select("ref", "name", "created_at"), totals, sizes, F.current_timestamp() if now is None else now)
+
+
 def _now() -> datetime:
     return datetime.now(timezone.utc).replace(microsecond=0)
 

@@ -34,6 +34,10 @@ class Storage:
     def modified(self, path: str) -> int:
         return self._fs.getFileStatus(self._path(path)).getModificationTime()
 
+    def size(self, path: str) -> int:
+        """Bytes of all files below a folder."""
+        return self._fs.getContentSummary(self._path(path)).getLength()
+
     def delete(self, path: str) -> None:
         self._fs.delete(self._path(path), True)
 
