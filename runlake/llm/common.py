@@ -76,7 +76,7 @@ def hash60(text: Column) -> Column:
 class Memo(dict):
     """A bounded memo of ``fn``; it starts anew when ``limit`` entries are there, so memory stays bounded."""
 
-    def __init__(self, fn, limit: int = 400_000):
+    def __init__(self, fn, limit: int = 150_000):
         super().__init__()
         self.fn, self.limit = fn, limit
 

@@ -65,7 +65,7 @@ def token_memo(path: str) -> Memo:
                 return _as_bytes([token.id for token in model.tokenize(unit)])
         return _as_bytes(tokenizer.encode(text, add_special_tokens=False).ids)
 
-    memo = Memo(encode, 1_500_000)
+    memo = Memo(encode, 800_000)
     return memo
 
 
