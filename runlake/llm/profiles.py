@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections import Counter
 from functools import cache
 
 import numpy as np
@@ -17,7 +16,7 @@ SPACES = " \t\n\x0b\x0c\r"
 WINDOW = 3
 
 COUNTS = (
-    "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_letters", "n_upper", "n_top_word", "n_letterless",
+    "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_letters", "n_upper", "n_letterless",
     "n_marks", "n_echoes",
 )
 
@@ -60,9 +59,8 @@ def repeated_words(hashes: np.ndarray, width: int = WINDOW) -> int:
 def profile(text: str | None) -> tuple[int, ...]:
     """:data:`COUNTS` of a text; null is empty.
 
-    A dup line has a word and equals an earlier line; a top word is the most frequent one; a
-    letterless word has no letter; marks are neither letters, digits nor space; an echo is a word that
-    equals the one before it.
+    A dup line has a word and equals an earlier line; a letterless word has no letter; marks are
+    neither letters, digits nor space; an echo is a word that equals the one before it.
     """
     text = text or ""
     words = text.encode().split()
@@ -76,9 +74,8 @@ def profile(text: str | None) -> tuple[int, ...]:
     starts = np.flatnonzero(~space & np.concatenate(([True], space[:-1]))) if len(points) else np.empty(0, np.int64)
     letters = np.add.reduceat((flags & 1).astype(np.int64), starts) if len(starts) else np.empty(0, np.int64)
     hashes = word_hashes(words)
-    top = max(Counter(words).values(), default=0)
     return (
-        len(words), len(points) - bit(8), bit(4), len(lines) - len(set(lines)), repeated_words(hashes), len(lines), bit(1), bit(2), top,
+        len(words), len(points) - bit(8), bit(4), len(lines) - len(set(lines)), repeated_words(hashes), len(lines), bit(1), bit(2),
         int((letters == 0).sum()), bit(16), int((hashes[1:] == hashes[:-1]).sum()),
     )
 

@@ -8,7 +8,6 @@ it also judges documents on which the labellers abstain.
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Callable
 
@@ -52,24 +51,29 @@ def labellers(p: Column) -> list[Column]:
     ]
 
 
-def _shape(word: bytes) -> int:
-    """Slot of a word's shape: runs of upper case, lower case and digits as A, a, 0; other characters, once each run."""
-    text = word.decode()
-    kinds = "".join("0" if c.isdigit() else "A" if c.isupper() else "a" if c.isalpha() else c for c in text)
-    short = re.sub(r"(.)\1+", r"\1", kinds)[:24]
-    return xxhash.xxh3_64_intdigest(b"shape " + short.encode()) % SLOTS
+def _shape(shape: bytes) -> int:
+    """Slot of a word's shape."""
+    return xxhash.xxh3_64_intdigest(b"shape " + shape[:24]) % SLOTS
 
 
-SHAPES = Memo(_shape)
+SHAPES = Memo(_shape, 100_000)
+# Upper-case ASCII letters are A, digits 0, lower-case and all other letters a; other characters stay.
+KINDS = bytes(65 if 65 <= b <= 90 else 48 if 48 <= b <= 57 else 97 if 97 <= b <= 122 or b >= 128 else b for b in range(256))
+
+
+def shapes(text: str) -> list[bytes]:
+    """Shapes of a text's words: kinds of characters, each run of one kind once."""
+    kinds = np.frombuffer(text.encode().translate(KINDS), np.uint8)
+    return kinds[np.concatenate(([True], kinds[1:] != kinds[:-1]))].tobytes().split() if len(kinds) else []
 
 
 def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """Hashed slots and values: shares of word shapes, and steps of traits."""
     text = text or ""
-    words = text.encode().split()
     slots: Counter[int] = Counter()
-    for slot, n in Counter(map(SHAPES.__getitem__, words)).items():
-        slots[slot] += n / len(words)
+    found = Counter(shapes(text))
+    for shape, n in found.items():
+        slots[SHAPES[shape]] += n / found.total()
     p = dict(zip(COUNTS, profile(text), strict=True))
     share = lambda part, whole: p[part] / p[whole] if p[whole] else 0.0
     traits = {

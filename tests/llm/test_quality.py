@@ -50,6 +50,11 @@ def test_profile_by_definition():
         assert p[COUNTS.index("n_letterless")] == sum(not any(c.isalpha() for c in w) for w in re.findall(r"[^\x20\x09-\x0D]+", text or ""))
 
 
+def test_shapes():
+    assert quality_classifier.shapes("The\tCAT's \u00c9t\u00e9, 1234-5!!!\n\n|") == [b"Aa", b"A'a", b"a,", b"0-0!", b"|"]
+    assert quality_classifier.shapes("") == quality_classifier.shapes(" \n") == []
+
+
 def test_label_model_finds_accuracies():
     r = np.random.default_rng(1)
     truth = r.random(20_000) < 0.8
