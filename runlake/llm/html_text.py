@@ -3,12 +3,16 @@
 A page is read into text lines, one a block, each with where it stands: in the page's declared
 article, in a landmark (menu, footer, advert, form, ...), or elsewhere.  Pages of a host are ordered
 by URL path; each is aligned with its nearest neighbour by a longest common subsequence of lines, and
-lines that both share belong to the site, so they go.  A landmark's lines count as shared by the kind
-of landmark, as sites fill them anew for each page; all others by their text.  Lines of a declared
-article are the page's own, however often the passage occurs elsewhere.  Landmark lines without a
-counterpart go as well.
-
-The pages themselves move once, to meet their decisions; what is sorted and aligned is a hash a line.
+lines that both share belong to the site, so they go, be they in a declared article or not.  Only a
+passage of the declared article stays although it is shared, if the site at large does not have it:
+it is on fewer than ``SITE_PAGES`` different pages of the host, or on less than ``SITE_SHARE`` of them.
+A landmark's lines count as shared by the kind of landmark, as sites fill them anew for each page; all
+others by their text.  Landmark lines without a counterpart go as well; all other lines stay.  A page
+without a different neighbour on its host has nothing to be compared with: its text is the declared
+article if it has one, else all but its landmarks.
+
+The pages' lines outside landmarks move once, to meet their decisions; what is sorted and aligned is a
+hash a line.
 """
 
 from __future__ import annotations
@@ -25,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import bit_filter, in_filter, written
 from .urls import url_parts
 
 ARTICLE, MAIN, BODY, LANDMARK = 3, 2, 1, 0
@@ -51,7 +55,10 @@ ARTICLE_WORDS = frozenset(("article-body", "articlebody", "article-content", "en
 
 TAG = re.compile(r"<!--|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
-MIRROR_SHARE = 0.8
+# A shared line of a declared article is the site's if so many different pages of the host have it, and so large a share of them.
+SITE_PAGES, SITE_SHARE = 3, 0.05
+# The lines of the site meet the pages in so many parts, as a large host may have one on each of its pages.
+PARTS = 16
 
 
 def _kind(tag: str, attributes: str) -> int | None:
@@ -141,24 +148,24 @@ def _sign(attributes: str) -> str:
     return re.sub(r"\d+", "", " ".join(m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(attributes) if m[1].lower() in ("class", "id", "role")))
 
 
-def open_lines(lines: list[tuple[int, str, str]]) -> list[int]:
-    """Positions of lines that differencing decides on: all but those of the declared article."""
-    own = _own_place(lines)
-    return [i for i, (place, _, _) in enumerate(lines) if place != own]
-
-
-def _own_place(lines: list[tuple[int, str, str]]) -> int:
-    """The place of the declared article, else of the declared main part, else one that no line has."""
+def line_kinds(lines: list[tuple[int, str, str]]) -> list[int]:
+    """``ARTICLE`` for lines of the declared article, or without one of the declared main part; ``LANDMARK``; ``BODY`` for others."""
     best = max((place for place, _, _ in lines), default=BODY)
-    return best if best > BODY else -1
+    return [ARTICLE if place == best > BODY else min(place, BODY) for place, _, _ in lines]
 
 
 def line_keys(lines: list[tuple[int, str, str]]) -> np.ndarray:
-    """A hash for each open line: of the landmark, or of the text."""
-    keys = [f"<{lines[i][1]}>" if lines[i][0] == LANDMARK else lines[i][2] for i in open_lines(lines)]
+    """A hash for each line: of the landmark, or of the text."""
+    keys = [f"<{landmark}>" if place == LANDMARK else text for place, landmark, text in lines]
     return np.array([xxhash.xxh3_64_intdigest(k.encode("utf-8", "surrogatepass")) for k in keys], np.uint64).view(np.int64)
 
 
+def text_digest(lines: list[tuple[int, str, str]]) -> int:
+    """A hash of all text outside landmarks; mirrors of a page have the same one."""
+    text = "\n".join(t for place, _, t in lines if place != LANDMARK)
+    return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass"))
+
+
 def common_lines(a: np.ndarray, b: np.ndarray) -> list[int]:
     """Positions in ``a`` of a longest common subsequence with ``b``.
 
@@ -223,40 +230,38 @@ def _row_id() -> Column:
 
 
 def _keyed(pages: DataFrame) -> DataFrame:
-    """``row, host, path, digest, keys``: each distinct page's open lines as hashes."""
+    """``row, host, path, digest, keys, kinds``: each page's lines as hashes, and the kind of each."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lines = [page_lines(x) for x in batch.column(3).to_pylist()]
-            digests = [xxhash.xxh3_64_intdigest("\n".join(t for _, _, t in page).encode("utf-8", "surrogatepass")) for page in lines]
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:3], pa.array(np.array(digests, np.uint64).view(np.int64)), pa.array([line_keys(x) for x in lines], pa.list_(pa.int64()))],
-                names=["row", "host", "path", "digest", "keys"],
-            )
+            digests = np.array([text_digest(x) for x in lines], np.uint64).view(np.int64)
+            keys, kinds = pa.array([line_keys(x) for x in lines], pa.list_(pa.int64())), pa.array([line_kinds(x) for x in lines], pa.list_(pa.int8()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(digests), keys, kinds], names=["row", "host", "path", "digest", "keys", "kinds"])
 
     found = url_parts(pages).select(_row_id().alias("row"), "host", "path", "html")
-    return found.mapInArrow(read, "row bigint, host string, path string, digest bigint, keys array<bigint>")
+    return found.mapInArrow(read, "row bigint, host string, path string, digest bigint, keys array<bigint>, kinds array<tinyint>")
 
 
-def _neighbours(keyed: DataFrame) -> DataFrame:
-    """Every page with its neighbours in the order of host and path.
+def _ordered(keyed: DataFrame) -> DataFrame:
+    """The distinct pages in the order of host and path, sorted by range, so a host of any size spreads."""
+    ordered = keyed.dropDuplicates(["row"]).repartitionByRange("host", "path", "row").sortWithinPartitions("host", "path", "row")
+    return written(ordered.select("host", "path", "row", "digest", "keys", "kinds", F.spark_partition_id().alias("part")), "ordered")
 
-    The rows are sorted by range, so a host of any size spreads; neighbours across the edge of a range
-    come from a table of a row per range.
-    """
+
+def _neighbours(ordered: DataFrame) -> DataFrame:
+    """Every page with its neighbours; those across the edge of a range come from a table of a row per range."""
     columns = ["host", "path", "row", "digest", "keys"]
-    ordered = keyed.dropDuplicates(["row"]).repartitionByRange("host", "path", "row").sortWithinPartitions("host", "path", "row")
-    ordered = written(ordered.select(*columns, F.spark_partition_id().alias("part")), "ordered")
     edges = ordered.groupBy("part").agg(F.min(F.struct(*columns)).alias("first"), F.max(F.struct(*columns)).alias("last"))
     by_part = Window.orderBy("part")
     edges = written(edges.select("part", F.lag("last").over(by_part).alias("_before"), F.lead("first").over(by_part).alias("_after")), "edges")
     inside = Window.partitionBy("part").orderBy("host", "path", "row")
-    near = ordered.select(*columns, "part", F.lag(F.struct(*columns)).over(inside).alias("prev"), F.lead(F.struct(*columns)).over(inside).alias("next"))
+    near = ordered.select(*columns, "kinds", "part", F.lag(F.struct(*columns)).over(inside).alias("prev"), F.lead(F.struct(*columns)).over(inside).alias("next"))
     near = near.join(edges, "part").withColumns({"prev": F.coalesce("prev", "_before"), "next": F.coalesce("next", "_after")})
     # A neighbour of another host, or a mirror of the page, has nothing to tell.
     useful = lambda other: (F.col(f"{other}.host") == F.col("host")) & (F.col(f"{other}.digest") != F.col("digest"))
     each = [F.when(useful(x), F.col(f"{x}.{c}")).alias(f"{x}_{c}") for x in ("prev", "next") for c in ("path", "keys")]
-    return near.select("row", "keys", "path", *each).where("prev_keys IS NOT NULL OR next_keys IS NOT NULL")
+    return near.select("row", "host", "keys", "kinds", "path", *each).where("prev_keys IS NOT NULL OR next_keys IS NOT NULL")
 
 
 def nearest(path: str, before: str | None, after: str | None) -> bool:
@@ -266,54 +271,93 @@ def nearest(path: str, before: str | None, after: str | None) -> bool:
 
 
 def _shared(near: DataFrame) -> DataFrame:
+    """``row, host, n_shared, left, asked``: what the nearest neighbour shares, by position among the lines outside landmarks.
+
+    ``left`` are lines outside the declared article; ``asked`` those in it, with their keys.
+    """
+
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            shared = []
-            for keys, path, before, before_keys, after, after_keys in zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True):
+            sizes, left, asked = [], [], []
+            for keys, kinds, path, before, before_keys, after, after_keys in zip(*(c.to_pylist() for c in batch.columns[2:]), strict=True):
                 partner = before_keys if nearest(path, before, after) else after_keys
-                shared.append(common_lines(np.array(keys, np.int64), np.array(partner, np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shared, pa.list_(pa.int32()))], names=["row", "shared"])
+                shared = common_lines(np.array(keys, np.int64), np.array(partner, np.int64))
+                at = (np.cumsum(np.array(kinds, np.int64) != LANDMARK) - 1).tolist()
+                sizes.append(len(shared))
+                left.append([at[i] for i in shared if kinds[i] == BODY])
+                asked.append([{"at": at[i], "key": keys[i]} for i in shared if kinds[i] == ARTICLE])
+            kind = pa.list_(pa.struct([("at", pa.int32()), ("key", pa.int64())]))
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:2], pa.array(sizes, pa.int32()), pa.array(left, pa.list_(pa.int32())), pa.array(asked, kind)],
+                names=["row", "host", "n_shared", "left", "asked"],
+            )
+
+    return near.mapInArrow(align, "row bigint, host string, n_shared int, left array<int>, asked array<struct<at: int, key: bigint>>")
+
+
+def _site_lines(ordered: DataFrame, asked: DataFrame) -> DataFrame:
+    """``host, key`` of the asked lines that the site at large has; mirrors count as one page."""
+    bits = ordered.sparkSession.sparkContext.broadcast(bit_filter(asked, "key"))
+
+    def few(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            flat = batch.column(2).flatten().to_numpy(zero_copy_only=False)
+            owner = np.repeat(np.arange(batch.num_rows), batch.column(2).value_lengths().to_numpy(zero_copy_only=False))
+            hit = in_filter(bits.value, flat) if len(flat) else np.zeros(0, bool)
+            at = pa.array(owner[hit])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(flat[hit])], names=["host", "digest", "key"])
+
+    said = ordered.select("host", "digest", "keys").mapInArrow(few, "host string, digest bigint, key bigint").distinct()
+    sizes = ordered.select("host", "digest").distinct().groupBy("host").agg(F.count("*").alias("pages"))
+    found = said.groupBy("host", "key").agg(F.count("*").alias("n")).where(F.col("n") >= SITE_PAGES)
+    return found.join(sizes, "host").where(F.col("n") >= SITE_SHARE * F.col("pages")).select("host", "key")
 
-    return near.mapInArrow(align, "row bigint, shared array<int>")
 
+def _decisions(ordered: DataFrame) -> DataFrame:
+    """``row, n_shared, left, gone``: what goes of each page that has a different neighbour."""
+    shared = written(_shared(_neighbours(ordered)), "shared")
+    asked = shared.select("row", "host", F.explode("asked").alias("_asked")).select("row", "host", "_asked.at", "_asked.key")
+    part = F.pmod("row", F.lit(PARTS)).alias("part")
+    site = written(_site_lines(ordered, asked), "site").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(PARTS - 1).cast("long"))))
+    gone = asked.withColumn("part", part).join(site, ["host", "key", "part"]).groupBy("row").agg(F.collect_list("at").alias("gone"))
+    return shared.select("row", "n_shared", "left").join(gone, "row", "left")
 
-def main_text(html: str | None, shared: list[int] | None) -> tuple[str, int, int]:
-    """Text, number of lines, and number of lines that the neighbour shares.
 
-    Without a declared article, a page that shares nearly all its text is a mirror of its neighbour and
-    keeps it.
+def main_text(texts: list[str], own: list[bool], left: list[int] | None, gone: list[int] | None = None) -> str:
+    """The text of a page from its lines outside landmarks.
+
+    ``left`` are the shared lines outside the declared article, null without a neighbour; ``gone`` are those in it that the site has.
     """
-    lines = page_lines(html)
-    decided = open_lines(lines)
-    gone = {decided[i] for i in (shared if shared is not None else []) if i < len(decided)}
-    own = _own_place(lines)
-    if own < 0:
-        body = [i for i, (place, _, _) in enumerate(lines) if place != LANDMARK]
-        size = lambda rows: sum(len(lines[i][2]) for i in rows)
-        kept = [i for i in body if i not in gone]
-        if size(body) and size(kept) < (1 - MIRROR_SHARE) * size(body):
-            kept = body
-    else:
-        kept = [i for i, (place, _, _) in enumerate(lines) if place == own]
-    return "\n\n".join(lines[i][2] for i in kept), len(lines), len(gone)
+    if left is None:
+        return "\n\n".join(t for t, x in zip(texts, own, strict=True) if x or not any(own))
+    leave = {*left}.union([] if gone is None else gone)
+    return "\n\n".join(t for i, t in enumerate(texts) if i not in leave)
 
 
 def extracted(pages: DataFrame, key: str = "page_id") -> DataFrame:
     """Per row ``key, url, text, n_chars, n_lines, n_shared``.
 
     A null or empty page has an empty text; a null url has an empty host and path like any without
-    ``://``.  Rows of equal url and html share one decision, equal keys do not matter, and a page
-    without a different neighbour on its host loses its landmarks only.  An empty table gives no rows.
+    ``://``.  Rows of equal url and html share one decision, and equal keys do not matter.  An
+    empty table gives no rows.
     """
     plain = pages.select(F.col(key).alias("_key"), "url", "html")
-    shared = written(_shared(_neighbours(_keyed(plain))), "shared")
-
-    @F.pandas_udf("text string, n_lines int, n_shared int")
-    def text_of(html: pd.Series, rows: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([main_text(h, r) for h, r in zip(html, rows, strict=True)], columns=["text", "n_lines", "n_shared"])
-
-    met = plain.withColumn("row", _row_id()).join(shared, "row", "left").withColumn("_found", text_of("html", "shared"))
-    text = F.col("_found.text")
+    decisions = written(_decisions(_ordered(_keyed(plain))), "decisions")
+
+    @F.pandas_udf("texts array<string>, own array<boolean>, n_lines int")
+    def read(html: pd.Series) -> pd.DataFrame:
+        found = []
+        for lines in map(page_lines, html):
+            inside = [(text, kind == ARTICLE) for (_, _, text), kind in zip(lines, line_kinds(lines), strict=True) if kind != LANDMARK]
+            found.append(([t for t, _ in inside], [x for _, x in inside], len(lines)))
+        return pd.DataFrame(found, columns=["texts", "own", "n_lines"])
+
+    @F.pandas_udf("string")
+    def text_of(texts: pd.Series, own: pd.Series, left: pd.Series, gone: pd.Series) -> pd.Series:
+        return pd.Series([main_text(*x) for x in zip(texts, own, left, gone, strict=True)], dtype=object)
+
+    pages = plain.select("_key", "url", _row_id().alias("row"), read("html").alias("_page")).select("_key", "url", "row", "_page.*")
+    met = pages.join(decisions, "row", "left").withColumn("text", text_of("texts", "own", "left", "gone"))
     return met.select(
-        F.col("_key").alias(key), "url", text.alias("text"), F.char_length(text).cast("long").alias("n_chars"), "_found.n_lines", "_found.n_shared"
+        F.col("_key").alias(key), "url", "text", F.char_length("text").cast("long").alias("n_chars"), "n_lines", F.coalesce("n_shared", F.lit(0)).alias("n_shared")
     )

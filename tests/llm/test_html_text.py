@@ -55,6 +55,22 @@ def test_shared_lines_go_on_the_nearest_page_only(pages_of, rows):
     assert "mirror" in text[8] and "mirror" in text[9]
 
 
+def test_differencing_decides_in_declared_articles(pages_of, rows, monkeypatch):
+    article = lambda i, *more: page(f"<p>story {i}</p>" + "".join(f"<p>{x}</p>" for x in more), article=True)
+    pages = pages_of(
+        [(i, f"http://s.com/{i}", article(i, "Read more stories of ours", *(["a passage quoted once"] if i in (2, 3) else []))) for i in range(6)]
+        + [(9, "http://one.com/", article(9, "Read more stories of ours"))]
+        + [(i, f"http://mirror.com/{i}", article(7, "Read more stories of ours")) for i in range(20, 24)]
+    )
+    found = {i: t for i, t in rows(H.extracted(pages), "page_id", "text")}
+    assert [found[i] for i in (0, 1, 4, 5)] == [f"story {i}" for i in (0, 1, 4, 5)]  # site lines go, in the article and beside it
+    assert found[2] == "story 2\n\na passage quoted once" and found[3] == "story 3\n\na passage quoted once"
+    # Nothing to be compared with: the declared article, whole.
+    assert found[9] == "story 9\n\nRead more stories of ours" and {found[i] for i in range(20, 24)} == {"story 7\n\nRead more stories of ours"}
+    monkeypatch.setattr(H, "common_lines", lambda a, b: [])
+    assert {i for i, t in rows(H.extracted(pages), "page_id", "text") if t != found[i]} == set(range(6))
+
+
 def test_odd_pages(pages_of, rows):
     long = "<article>" + "".join(f"<p>line {i}" for i in range(20_000)) + "</article>"
     found = rows(H.extracted(pages_of([
