@@ -128,3 +128,10 @@ def test_block_means_by_definition():
         blocks = [x[i : i + T.BLOCK] for i in range(0, n, T.BLOCK)]
         want = max(b.sum() / max(len(b), T.LEAST_BLOCK) for b in blocks), x.sum() / max(n, T.LEAST_BLOCK)
         assert T.block_means(x) == pytest.approx(want)
+
+
+def test_rare_toxic_pairs_count_whatever_the_size(ready):
+    texts = [(f"you are fool{i % 50} x{i % 7}", 1, i % 2) for i in range(3000)] + [(f"a wet{i % 5} paper bag", 0, i % 2) for i in range(300)]
+    texts += [("soggy paper", 1, i % 2) for i in range(5)] + [(w, 0, i % 2) for i in range(50) for w in ("soggy", "fine paper")]
+    model = {r["key"] for r in T.scoring_table(ready.createDataFrame(texts, "text string, toxic int, half int")).collect()}
+    assert int(T.pair_keys(T.tokens("soggy paper"))[0]) in model
