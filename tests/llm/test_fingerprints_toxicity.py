@@ -135,3 +135,15 @@ def test_rare_toxic_pairs_count_whatever_the_size(ready):
     texts += [("soggy paper", 1, i % 2) for i in range(5)] + [(w, 0, i % 2) for i in range(50) for w in ("soggy", "fine paper")]
     model = {r["key"] for r in T.scoring_table(ready.createDataFrame(texts, "text string, toxic int, half int")).collect()}
     assert int(T.pair_keys(T.tokens("soggy paper"))[0]) in model
+
+
+def test_both_classes_have_pairs_of_their_own(ready):
+    texts = [("wet paper", 1, 0), ("wet stone", 1, 1)] * 4 + [(f"wet {w}", 0, i % 2) for i in range(40) for w in ("stone", "leaf")]
+    texts += [(f"dry {w}", x, i % 2) for i in range(20) for x, w in ((1, "leaf"), (0, "paper"))]
+    frame = ready.createDataFrame(texts, "text string, toxic int, half int")
+    of = lambda text: tuple(int(x) for x in T.tokens(text))
+    counts = {(r["v"], r["w"]): r.asDict() for r in T._gathered(frame).collect()}
+    pair, rest = counts[of("wet stone")], counts[of("wet")[0], 0]
+    assert [pair[x] for x in T.SLOTS] == [0, 20, 4, 20] and (pair["f_t"], pair["f_o"]) == (1, 1)
+    # Ordinary pairs are counted though no toxic text has them, and make the ordinary backoff.
+    assert [rest[x] for x in T.SLOTS] == [0, 20, 0, 20] and (rest["f_t"], rest["f_o"]) == (0, 1)
