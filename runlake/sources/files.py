@@ -18,15 +18,16 @@ def list_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_text_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """``file, path, content`` of whole text files; a file that is not UTF-8 has no row.
+    """``file, path, content, reason`` of whole text files; a file that is not UTF-8 has no row.
 
     Each file is one value, so a file must fit a task; many files spread over tasks.  A file above
-    the reader's limit (``spark.sql.sources.binaryFile.maxLength``) is no text for a view and has no
-    row; the condition on its length reaches the scan, so it is never opened.
+    the reader's limit (``spark.sql.sources.binaryFile.maxLength``) is never opened, so it may be text
+    or not: it has a row of null content and a reason.
     """
     limit = int(spark.conf.get("spark.sql.sources.binaryFile.maxLength", str(2**31 - 1)))
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).where(F.col("length") <= limit)
-    text = F.decode(F.col("content"), "UTF-8")
-    return found.where(F.is_valid_utf8(F.col("content").cast("string"))).select(
-        F.substring_index("path", "/", -1).alias("file"), "path", text.alias("content")
-    )
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    name, small = F.substring_index("path", "/", -1).alias("file"), F.col("length") <= limit
+    text, none = F.decode(F.col("content"), "UTF-8"), F.lit(None).cast("string")
+    read = found.where(small).where(F.is_valid_utf8(F.col("content").cast("string"))).select(name, "path", text.alias("content"), none.alias("reason"))
+    why = F.concat(F.col("length").cast("string"), F.lit(f" bytes, more than the limit of {limit}"))
+    return read.unionByName(found.where(~small).select(name, "path", none.alias("content"), why.alias("reason")))

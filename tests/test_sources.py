@@ -81,6 +81,17 @@ def test_files(spark, tmp_path, rows):
     assert rows(read_text_files(spark, str(tmp_path)), "file", "content") == [("x.json", "{é\n}")]
 
 
+def test_text_files_above_the_limit_have_a_reason(spark, tmp_path, rows):
+    (tmp_path / "small.txt").write_text("abc")
+    (tmp_path / "large.txt").write_text("abcdefgh")
+    spark.conf.set("spark.sql.sources.binaryFile.maxLength", "5")
+    try:
+        found = rows(read_text_files(spark, str(tmp_path)), "file", "content", "reason")
+    finally:
+        spark.conf.unset("spark.sql.sources.binaryFile.maxLength")
+    assert found == [("large.txt", None, "8 bytes, more than the limit of 5"), ("small.txt", "abc", None)]
+
+
 def result(spark):
     return spark.createDataFrame(
         [(1, 1.5, float("nan"), Decimal("0.10"), Decimal(2) ** 70, datetime(2024, 1, 1, 0, 0, 1, 500000, tzinfo=timezone.utc), date(2024, 1, 2), bytearray(b"hi"), None, 'a "q", b', True),
