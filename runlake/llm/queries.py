@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import configure, work_dir
-from . import fingerprints, html_text, mixing, near_dedup, packing, quality_classifier, quality_rules, toxicity, urls, warc
-from .common import ship_package, table
+from . import filter_audit, fingerprints, html_text, mixing, near_dedup, packing, periodic_runs, quality_classifier, quality_rules, toxicity, urls, warc
+from .common import WORD, n_words, ship_package, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -154,3 +154,75 @@ def op4_toxicity(spark, sf):
 def op1_main_text(spark, sf):
     """Main text of every page."""
     return html_text.extracted(table(spark, sf, "pages"))
+
+
+AUDIT_ORDERS = r"""
+filters(f, bit) AS (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)),
+orders AS (
+  SELECT a.f || b.f || c.f || d.f || e.f AS filter_order, [a.bit, b.bit, c.bit, d.bit, e.bit] AS bits
+  FROM filters a, filters b, filters c, filters d, filters e
+  WHERE a.f NOT IN (b.f, c.f, d.f, e.f) AND b.f NOT IN (c.f, d.f, e.f) AND c.f NOT IN (d.f, e.f) AND d.f <> e.f),
+steps AS (
+  SELECT filter_order, s AS step, bits[s] AS bit, CAST(coalesce(list_sum(bits[1:s - 1]), 0) AS INTEGER) AS earlier
+  FROM orders, (SELECT unnest([1, 2, 3, 4, 5]) AS s))
+"""
+
+
+@query(rf"""
+WITH texts AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents),
+words AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w, min(doc_id) OVER (PARTITION BY t) AS first_id FROM texts),
+masked AS (
+  SELECT part, doc_id, CAST(
+      (CASE WHEN len(w) < 200 THEN 1 ELSE 0 END) + (CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 2 ELSE 0 END)
+    + (CASE WHEN 100 * len(regexp_extract_all(t, '[A-Z]')) > 2 * length(t) THEN 4 ELSE 0 END)
+    + (CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 8 ELSE 0 END) + (CASE WHEN doc_id > first_id THEN 16 ELSE 0 END) AS INTEGER) AS mask
+  FROM words),
+counts AS (
+  SELECT part, mask, count(*) AS n, count(*) FILTER (WHERE quality = 1) AS good, count(*) FILTER (WHERE toxic = 1) AS toxic
+  FROM masked LEFT JOIN labels USING (doc_id) GROUP BY part, mask), {AUDIT_ORDERS},
+audit AS (
+  SELECT part, filter_order, step, bit, sum(CASE WHEN mask & (earlier | bit) = 0 THEN n ELSE 0 END) AS kept,
+    sum(CASE WHEN mask & bit > 0 AND mask & earlier = 0 THEN n ELSE 0 END) AS removed,
+    sum(CASE WHEN mask & bit > 0 AND mask & earlier > 0 THEN n ELSE 0 END) AS redundant,
+    sum(CASE WHEN mask = bit THEN n ELSE 0 END) AS unique_fails,
+    sum(CASE WHEN mask & bit > 0 AND mask & earlier = 0 THEN good ELSE 0 END) AS good_lost,
+    sum(CASE WHEN mask & bit > 0 AND mask & earlier = 0 THEN toxic ELSE 0 END) AS toxic_lost
+  FROM counts, steps GROUP BY part, filter_order, step, bit)
+SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+  CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+  CAST(sum(removed) OVER (PARTITION BY part, bit) AS BIGINT) AS shapley
+FROM audit""")
+def op11_filter_audit(spark, sf):
+    """What each of five filters does at each step of all their orders, by source."""
+    return filter_audit.audited(spark, f"{sf}/documents.parquet", table(spark, sf, "labels"))
+
+
+def repeating(docs: DataFrame) -> DataFrame:
+    """``doc_id, text``; by the CRC of its id, one document in ten has a tail that repeats its own first words."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g, n = F.floor(h / 10), n_words(F.col("text"))
+    a = F.pmod(g, n)
+    p = 1 + F.floor((n - a) / (3 + F.pmod(g, F.lit(8))))
+    words = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
+    period = F.slice(words, (a + 1).cast("int"), p.cast("int"))
+    tail = F.slice(F.flatten(F.array_repeat(period, F.ceil((n - a) / p).cast("int"))), F.lit(1), (n - a).cast("int"))
+    tail = F.array_join(F.concat(F.slice(words, F.lit(1), a.cast("int")), tail), " ")
+    chosen = (F.pmod(h, F.lit(10)) == 0) & (n > 0)
+    return docs.select("doc_id", F.when(chosen, tail).otherwise(F.col("text")).alias("text"))
+
+
+@query()
+def op12_periodic_runs(spark, sf):
+    """Runs of four periods or more in every document's words, and its words without the repeats."""
+    found = periodic_runs.collapsed(repeating(table(spark, sf, "documents")))
+    longer = lambda a, b: a["length"] * b["period"] - b["length"] * a["period"]
+    order = lambda a, b: F.when(longer(a, b) != 0, -F.signum(longer(a, b))).otherwise(F.signum((a["start"] - b["start"]) * 2 + F.signum(a["period"] - b["period"])))
+    best = F.get(F.array_sort("runs", lambda a, b: order(a, b).cast("int")), F.lit(0))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])), "\n")
+    listed = F.when(F.size("runs") > 0, F.concat(lines, F.lit("\n"))).otherwise("")
+    rows = found.withColumn("best", best)
+    return rows.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), F.col("best.start").alias("start"), F.col("best.length").alias("length"),
+        F.col("best.period").alias("period"), F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(listed, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
