@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import configure, work_dir
-from . import filter_audit, fingerprints, html_text, mixing, near_dedup, packing, periodic_runs, quality_classifier, quality_rules, toxicity, urls, warc
+from . import filter_audit, fingerprints, html_text, mixing, near_dedup, packing, periodic_runs, quality_classifier, quality_rules, repeated_passages, toxicity, urls, warc
 from .common import WORD, n_words, ship_package, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -226,3 +226,10 @@ def op12_periodic_runs(spark, sf):
         F.col("best.period").alias("period"), F.expr("1000 * best.length div best.period").alias("exponent_milli"),
         F.sha2(listed, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
     )
+
+
+@query()
+def op13_repeated_passages(spark, sf):
+    """What is left of every document without strings of 200 bytes that also start elsewhere."""
+    found = repeated_passages.without_repeats(table(spark, sf, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))

@@ -178,7 +178,8 @@ def _unpacked(blob: bytes) -> list[list]:
 def common(a: bytes, b: bytes, known: int = 0) -> int:
     """Length of the common prefix, of which ``known`` bytes are known already."""
     n = min(len(a), len(b))
-    return n - (int.from_bytes(a[known:n]) ^ int.from_bytes(b[known:n])).bit_length().__add__(7) // 8
+    differing = int.from_bytes(a[known:n]) ^ int.from_bytes(b[known:n])
+    return n - (differing.bit_length() + 7) // 8
 
 
 def front_coded(records: list[tuple[bytes, bytes, bytes, int]]) -> list[tuple]:
