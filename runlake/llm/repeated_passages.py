@@ -46,9 +46,9 @@ from .common import in_filter, texts, written
 SPAN, HEAD = 200, 32
 STARTS = SPAN - HEAD + 1
 # Bytes looked at together; a longer text is cut into pieces that overlap by a window.
-PIECE = 1 << 22
+PIECE = 1 << 20
 # Anchors that a range holds on average; anchors and bytes that a task sorts at once.
-RANGE_ANCHORS, RUN_BYTES = 40_000, 48 << 20
+RANGE_ANCHORS, RUN_BYTES = 16_000, 24 << 20
 COUNTED = 1 << 20
 LEAST_BITS, MOST_BITS = 20, 28
 # A head is hot with more than 1 / HOT_SHARE of all anchors, if these are many.
@@ -103,7 +103,7 @@ def anchors(pieces: list[bytes]) -> tuple[np.ndarray, ...]:
 
 
 def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[bytes], list[bytes], list[int]]]:
-    """Pieces of a task's texts with their text's digest and offset, some megabytes at a time; equal texts twice at most."""
+    """Pieces of a task's texts with their text's digest and offset, a megabyte at a time; equal texts twice at most."""
     seen: Counter[bytes] = Counter()
     pieces, nodes, offsets, size = [], [], [], 0
     for _, found in texts(batches, "text"):
