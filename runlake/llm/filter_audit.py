@@ -48,7 +48,12 @@ COUNT_KEYS = 64
 # Rows a task adds up before it passes them on.
 HELD_ROWS = 100_000
 
-ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+# State is kept on disk; only what changed is written to the checkpoint, and no space is reserved ahead.
+STATE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 # GOOD and TOXIC follow the mask's bits in ``bits``.
 GOOD, TOXIC = 1 << len(FILTERS), 2 << len(FILTERS)
 HELD = ["digest", "no_id", "id", "part", "bits", "n"]
@@ -208,14 +213,15 @@ def counters(
         added = batch.groupBy("part", "bits").agg(F.sum("n").alias("n"))
         added.write.mode("overwrite").parquet(f"{folder}/counters/batch={number}")
 
-    provider = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(provider)
-    spark.conf.set(provider, ROCKS)
+    before = {name: spark.conf.get(name, None) for name in STATE}
+    for name, value in STATE.items():
+        spark.conf.set(name, value)
     try:
         query = changes.writeStream.outputMode("update").foreachBatch(add).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
         query.awaitTermination()
     finally:
-        spark.conf.set(provider, before)
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
     schema = "part string, bits int, n bigint, batch int"
     if docs.isEmpty():
         return spark.createDataFrame([], schema).drop("batch")
