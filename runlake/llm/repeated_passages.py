@@ -50,6 +50,8 @@ PIECE = 1 << 20
 # Anchors that a range holds on average; anchors and bytes that a task sorts at once.
 RANGE_ANCHORS, RUN_BYTES = 16_000, 24 << 20
 COUNTED = 1 << 20
+# The spans of so many ranges of anchors meet in one range of texts.
+RANGES_A_TEXT_RANGE = 8
 LEAST_BITS, MOST_BITS = 20, 28
 # A head is hot with more than 1 / HOT_SHARE of all anchors, if these are many.
 HOT_SHARE, HOT_LEAST = 512, 2000
@@ -404,15 +406,30 @@ def repeated_windows(blobs: list[list[list]]) -> list[tuple[bytes, int, int]]:
     ]
 
 
-def _resolve(group: pa.Table) -> pa.Table:
-    kinds = group["kind"].to_pylist()
-    blobs = [_unpacked(b) for b in group["rows"].to_pylist()]
-    of = lambda kind: [b for k, b in zip(kinds, blobs, strict=True) if k == kind]
-    spans = repeated_spans(of("run")) + repeated_windows(of("windows"))
-    for columns in of("spans"):
-        spans += zip(*columns, strict=True)
-    spans = _joined(spans)
-    return pa.table([pa.array(c, f.type) for c, f in zip(zip(*spans, strict=True) if spans else ([], [], []), SPANS, strict=True)], SPANS)
+def _resolved(ranges: int):
+    """The function that settles a range of anchors: ``texts, rows``, its spans packed by ranges of texts."""
+
+    def resolve(group: pa.Table) -> pa.Table:
+        kinds = group["kind"].to_pylist()
+        blobs = [_unpacked(b) for b in group["rows"].to_pylist()]
+        of = lambda kind: [b for k, b in zip(kinds, blobs, strict=True) if k == kind]
+        found = repeated_spans(of("run")) + repeated_windows(of("windows"))
+        for columns in of("spans"):
+            found += zip(*columns, strict=True)
+        packed = [(n, _packed(SPANS, own)) for n, own in _by_part(_joined(found), ranges)]
+        return pa.table({"texts": pa.array([n for n, _ in packed], pa.int64()), "rows": pa.array([b for _, b in packed], pa.binary())})
+
+    return resolve
+
+
+def _per_text(group: pa.Table) -> pa.Table:
+    """``node, spans`` of a range of texts."""
+    every = [row for blob in group["rows"].to_pylist() for row in zip(*_unpacked(blob), strict=True)]
+    lists: dict[bytes, list[dict]] = {}
+    for node, start, stop in _joined(every):
+        lists.setdefault(node, []).append({"start": start, "stop": stop})
+    pair = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
+    return pa.table({"node": pa.array(lists, pa.binary()), "spans": pa.array(lists.values(), pair)})
 
 
 def spans(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -427,16 +444,9 @@ def spans(docs: DataFrame, text: str = "text") -> DataFrame:
     wanted = _bitmap(heads, "head", count)
     parts = max(1, math.ceil(total / RANGE_ANCHORS))
     sent = _sent(rows, wanted, np.array(hot, np.int64).view(np.uint64), parts)
-    found = sent.groupBy("part").applyInArrow(_resolve, "node binary, start bigint, stop bigint")
-
-    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pair = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
-        for batch in batches:
-            joined = [[{"start": a, "stop": b} for _, a, b in _joined([(b"", x["start"], x["stop"]) for x in own])] for own in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(joined, pair)], names=["node", "spans"])
-
-    lists = found.groupBy("node").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
-    return lists.mapInArrow(join, "node binary, spans array<struct<start bigint, stop bigint>>")
+    ranges = math.ceil(parts / RANGES_A_TEXT_RANGE)
+    found = sent.groupBy("part").applyInArrow(_resolved(ranges), "texts bigint, rows binary")
+    return found.groupBy("texts").applyInArrow(_per_text, "node binary, spans array<struct<start bigint, stop bigint>>")
 
 
 def without_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
