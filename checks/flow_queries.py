@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import functions as F
 
 from runlake.functions import ANSWER_KEY, rfc3339
@@ -9,33 +11,53 @@ from runlake.operators import attachment_index
 from runlake.plans import Dataset, DatasetFrames, ReportRun, register_views, sql
 from runlake.session import work_dir
 from runlake.sources import collect_capped, json_friendly, write_result
-from runlake.streaming import merge_stream
+from runlake.streaming import merge_landing
 
 from . import shapes as S
 from .record_queries import _all_runs
 from .registry import query
 
 
-def _records(e):
-    """Events as landing lines, in event order."""
-    record = F.struct(*ANSWER_KEY, "event_id", "value")
-    return e.repartitionByRange(F.col("event_id")).sortWithinPartitions("event_id").select(F.to_json(record).alias("value"))
-
-
 @query(f"""
 WITH {S.EV}
 SELECT {S.KEYS}, _run_id AS run_id, event_id, value FROM ev
 QUALIFY row_number() OVER (PARTITION BY {S.KEYS} ORDER BY _run_id DESC, event_id % 5 = 4 DESC, event_id DESC) = 1""")
 def streamed_merge(spark, sf):
-    """All events land as pages in two parts, each streamed into its run and merged; late pages win."""
+    """All events land as pages in two parts; one stream takes the pages of all runs, one merge follows; late pages win."""
     e = S.ev(spark, sf)
     ds = Dataset.create(spark, work_dir(spark, "dataset"), "fall")
     landed, checkpoint = work_dir(spark, "landing"), work_dir(spark, "checkpoint")
     for late in (False, True):
-        for run in (500, 501, 502):
-            part = e.where((F.col("_run_id") == run) & ((F.col("event_id") % 5 == 4) == F.lit(late)))
-            _records(part).write.mode("append").text(f"{landed}/{run}")
-            merge_stream(ds, "answers", run, f"{landed}/{run}", f"{checkpoint}/{run}", fetched_at=F.timestamp_seconds(F.lit(run)))
+        part = e.where((F.col("event_id") % 5 == 4) == F.lit(late))
+        _land(part, landed, "1")
+        merge_landing(ds, "answers", landed, checkpoint, fetched_at=F.timestamp_seconds("run_id"))
+    store = ds.frames().stores["answers"]
+    return store.select(*ANSWER_KEY, F.col("_run_id").alias("run_id"), "event_id", "value")
+
+
+def _land(e, landed, fetch):
+    """Events as pages of their run's fetch, in event order."""
+    record = F.struct(*ANSWER_KEY, "event_id", "value")
+    rows = e.repartitionByRange(F.col("_run_id"), F.col("event_id")).sortWithinPartitions("_run_id", "event_id")
+    rows = rows.select(F.to_json(record).alias("value"), F.col("_run_id").alias("run_id"), F.lit(fetch).alias("fetch"))
+    rows.write.mode("append").partitionBy("run_id", "fetch").text(landed)
+
+
+@query(f"""
+WITH {S.EV}
+SELECT {S.KEYS}, _run_id AS run_id, event_id, value FROM ev WHERE _run_id <> 500 OR event_id % 4 < 2
+QUALIFY row_number() OVER (PARTITION BY {S.KEYS} ORDER BY _run_id = 500 DESC, _run_id DESC, event_id DESC) = 1""")
+def late_pages_of_old_fetch(spark, sf):
+    """Run 500 is fetched anew with half of its events; pages of its first fetch that land later change nothing."""
+    e = S.ev(spark, sf)
+    ds = Dataset.create(spark, work_dir(spark, "dataset"), "fall")
+    landed, checkpoint = work_dir(spark, "landing"), work_dir(spark, "checkpoint")
+    again = e.where("_run_id = 500")
+    for fetch, part in (("1", e.where("_run_id <> 500 or event_id % 4 < 3")), ("2", again.where("event_id % 4 < 2")), ("1", again.where("event_id % 4 = 3"))):
+        _land(part, landed, fetch)
+        with warnings.catch_warnings():
+            warnings.filterwarnings("ignore", "answers run 500: pages of fetch 1, which a newer one replaced")
+            merge_landing(ds, "answers", landed, checkpoint, fetched_at=F.timestamp_seconds("run_id"))
     store = ds.frames().stores["answers"]
     return store.select(*ANSWER_KEY, F.col("_run_id").alias("run_id"), "event_id", "value")
 
@@ -48,7 +70,7 @@ def _frames(spark, sf):
         member_runs=[("answers", 500), ("answers", 501), ("answers", 502)], downloads=S.downloads(spark, sf),
         reports=[
             ReportRun(1, "answers", S.report_run_1(spark, sf)), ReportRun(2, "usage", S.report_run_2(spark, sf)),
-            ReportRun(3, "brand-new-type", S.report_run_3(spark, sf)),
+            ReportRun(3, "coursework", S.report_run_3(spark, sf)),
         ],
         attachments=attachment_index(S.refs(spark, sf), files), texts=files,
     )

@@ -109,17 +109,17 @@ def datasets_listed(spark, sf):
 WITH {S.DOWNLOADS},
 expected AS (
   SELECT '' AS subject, 'report_' || o_orderkey || '.csv' AS file, true AS download FROM orders
-  UNION ALL SELECT 'membership answers/' || c_custkey, 'members_answers_' || c_custkey || '.v1.jsonl', false FROM customer),
+  UNION ALL SELECT 'membership answers/' || c_custkey, 'membership/v=1_answers/run_id=' || c_custkey, false FROM customer),
 files AS (
   SELECT DISTINCT 'report_' || l_orderkey || '.csv' AS file FROM lineitem
-  UNION SELECT 'members_answers_' || o_custkey || '.v1.jsonl' FROM orders
-  UNION SELECT 'members_history_' || s_suppkey || '.v2.jsonl' FROM supplier
+  UNION SELECT 'membership/v=1_answers/run_id=' || o_custkey FROM orders
+  UNION SELECT 'stores/history/v=' || s_suppkey FROM supplier
   UNION SELECT 'note_' || p_partkey || '.txt' FROM part)
 SELECT 'MISSING_FILE' AS code, subject, file AS detail FROM expected WHERE NOT download AND file NOT IN (SELECT file FROM files)
 UNION ALL SELECT 'INCOMPLETE', 'run ' || run_id, type FROM downloads WHERE NOT complete
 UNION ALL SELECT 'RECOVERED_PROVENANCE', 'run ' || run_id, report_type FROM downloads WHERE recovered AND type LIKE 'report%'
-UNION ALL SELECT 'UNKNOWN_TYPE', 'run ' || run_id, report_type FROM downloads WHERE type LIKE 'report%' AND report_type = 'brand-new-type'
-UNION ALL SELECT 'ORPHAN_FILE', file, '' FROM files WHERE regexp_full_match(file, 'answers\\.v\\d+\\.jsonl|history\\.v\\d+\\.jsonl|members_.*\\.v\\d+\\.jsonl|report_\\d+.*\\.csv')
+UNION ALL SELECT 'UNKNOWN_TYPE', 'run ' || run_id, report_type FROM downloads WHERE type LIKE 'report%' AND report_type = 'coursework'
+UNION ALL SELECT 'ORPHAN_FILE', file, '' FROM files WHERE (file LIKE 'membership/v=%' OR file LIKE 'stores/%' OR file LIKE 'report_%.csv')
   AND file NOT IN (SELECT file FROM expected)""")
 def drift(spark, sf):
     """G5."""
@@ -132,11 +132,11 @@ def drift(spark, sf):
     expected = orders.select(F.lit("").alias("subject"), name("report_", "o_orderkey", ".csv"), F.lit(True).alias("download")).union(
         customer.select(
             F.concat(F.lit("membership answers/"), F.col("c_custkey").cast("string")),
-            name("members_answers_", "c_custkey", ".v1.jsonl"), F.lit(False),
+            name("membership/v=1_answers/run_id=", "c_custkey", ""), F.lit(False),
         )
     )
     files = S.union_all([
-        li.select(name("report_", "l_orderkey", ".csv")), orders.select(name("members_answers_", "o_custkey", ".v1.jsonl")),
-        supplier.select(name("members_history_", "s_suppkey", ".v2.jsonl")), part.select(name("note_", "p_partkey", ".txt")),
+        li.select(name("report_", "l_orderkey", ".csv")), orders.select(name("membership/v=1_answers/run_id=", "o_custkey", "")),
+        supplier.select(name("stores/history/v=", "s_suppkey", "")), part.select(name("note_", "p_partkey", ".txt")),
     ])
-    return drift_report(expected, S.downloads(spark, sf), files, owned=r"^(members_.*\.v\d+\.jsonl|report_\d+.*\.csv)$")
+    return drift_report(expected, S.downloads(spark, sf), files, owned=r"^(membership/v=|stores/|report_.*\.csv$)")

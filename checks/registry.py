@@ -19,6 +19,8 @@ def query(sql: str | None = None):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             return fn(configure(spark), sf_dir)
 
+        if fn.__name__ in QUERIES:
+            raise ValueError(f"a query {fn.__name__} is registered already")
         QUERIES[fn.__name__] = run
         if sql is not None:
             ORACLES[fn.__name__] = sql.strip()

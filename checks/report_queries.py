@@ -21,7 +21,7 @@ def _runs(spark, sf):
     return {
         1: (S.report_run_1(spark, sf), "answers"),
         2: (S.report_run_2(spark, sf), "usage"),
-        3: (S.report_run_3(spark, sf), "brand-new-type"),
+        3: (S.report_run_3(spark, sf), "coursework"),
     }
 
 

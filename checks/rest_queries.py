@@ -170,12 +170,14 @@ class _Overtaken(Dataset):
 
 @query(f"""
 WITH {S.EV}
-SELECT {S.KEYS}, _run_id AS run_id, event_id, value FROM ev WHERE _run_id IN (500, 501)
-QUALIFY row_number() OVER (PARTITION BY {S.KEYS} ORDER BY _run_id, event_id DESC) = 1""")
+SELECT {S.KEYS}, _run_id AS run_id, event_id, value FROM ev
+QUALIFY row_number() OVER (PARTITION BY {S.KEYS} ORDER BY _run_id = 500 DESC, _run_id = 501 DESC, event_id DESC) = 1""")
 def concurrent_merges(spark, sf):
     """Two writers merge from one commit; the loser merges again, on top of the winner."""
     e = S.ev(spark, sf)
     ds = Dataset.create(spark, work_dir(spark, "dataset"), "fall")
+    _landed(ds, spark, sf, 502, "1", e)
+    ds.merge("answers", 502)
     for run in (500, 501):
         _landed(ds, spark, sf, run, "1", e)
     loser = _Overtaken(spark, ds.root)
@@ -186,14 +188,14 @@ def concurrent_merges(spark, sf):
 
 @query(f"""
 WITH {S.EV}
-SELECT 'store' AS kind, CAST(NULL AS BIGINT) AS run_id, count(DISTINCT ({S.KEYS})) AS n FROM ev WHERE _run_id = 501
+SELECT 'store' AS kind, CAST(NULL AS BIGINT) AS run_id, count(DISTINCT ({S.KEYS})) AS n FROM ev WHERE _run_id <> 500
 UNION ALL SELECT 'membership', 500, 0
-UNION ALL SELECT 'membership', 501, count(DISTINCT ({S.KEYS})) FROM ev WHERE _run_id = 501""")
+UNION ALL SELECT 'membership', _run_id, count(DISTINCT ({S.KEYS})) FROM ev WHERE _run_id <> 500 GROUP BY _run_id""")
 def reindex_after_empty_refresh(spark, sf):
     """A run refreshed to nothing stays empty when the manifest is rebuilt."""
     e = S.ev(spark, sf)
     ds = Dataset.create(spark, work_dir(spark, "dataset"), "fall")
-    for run, fetch, part in ((500, "1", e), (501, "1", e), (500, "2", e.where(F.lit(False)))):
+    for run, fetch, part in ((500, "1", e), (501, "1", e), (502, "1", e), (500, "2", e.where(F.lit(False)))):
         _landed(ds, spark, sf, run, fetch, part)
         ds.merge("answers", run)
     ds.reindex()
@@ -220,12 +222,12 @@ def drift_at_rest(spark, sf):
 
 @query(f"""
 WITH {S.EV}
-SELECT CASE _run_id WHEN 500 THEN 'fall' ELSE 'spring' END AS name, count(DISTINCT ({S.KEYS})) AS answers, CAST(0 AS BIGINT) AS history,
-  CAST(0 AS BIGINT) AS report, CAST(0 AS BIGINT) AS attachments, true AS has_files FROM ev WHERE _run_id IN (500, 501) GROUP BY _run_id""")
-def datasets_listed(spark, sf):
+SELECT CASE _run_id WHEN 500 THEN 'fall' WHEN 501 THEN 'spring' ELSE 'summer' END AS name, count(DISTINCT ({S.KEYS})) AS answers, CAST(0 AS BIGINT) AS history,
+  CAST(0 AS BIGINT) AS report, CAST(0 AS BIGINT) AS attachments, true AS has_files FROM ev GROUP BY _run_id""")
+def datasets_listed_at_rest(spark, sf):
     """D7 over several datasets at rest."""
     e, roots = S.ev(spark, sf), []
-    for name, run in (("fall", 500), ("spring", 501)):
+    for name, run in (("fall", 500), ("spring", 501), ("summer", 502)):
         ds = Dataset.create(spark, work_dir(spark, "dataset"), name)
         _landed(ds, spark, sf, run, "1", e)
         ds.merge("answers", run)

@@ -359,7 +359,7 @@ def downloads(spark: SparkSession, sf: str) -> DataFrame:
         F.col("o_orderkey").alias("run_id"),
         F.when(F.col("o_orderstatus") == "P", F.col("o_custkey")).alias("job_id"),
         priority.alias("slug"),
-        F.when(priority == "1-URGENT", "answers").when(priority == "2-HIGH", "usage").when(priority == "5-LOW", "").otherwise("brand-new-type").alias("report_type"),
+        F.when(priority == "1-URGENT", "answers").when(priority == "2-HIGH", "usage").when(priority == "5-LOW", "").otherwise("coursework").alias("report_type"),
         (F.col("o_totalprice") >= 50000).alias("complete"),
         (F.col("o_totalprice") > 400000).alias("recovered"),
         (F.col("o_orderkey") % 100).alias("row_count"),
@@ -370,7 +370,7 @@ def downloads(spark: SparkSession, sf: str) -> DataFrame:
 DOWNLOADS = """downloads AS (
   SELECT CASE o_orderstatus WHEN 'F' THEN 'report' WHEN 'P' THEN 'report_job' ELSE 'answers' END AS type,
          o_orderkey AS run_id, CASE WHEN o_orderstatus = 'P' THEN o_custkey END AS job_id, o_orderpriority AS slug,
-         CASE o_orderpriority WHEN '1-URGENT' THEN 'answers' WHEN '2-HIGH' THEN 'usage' WHEN '5-LOW' THEN '' ELSE 'brand-new-type' END AS report_type,
+         CASE o_orderpriority WHEN '1-URGENT' THEN 'answers' WHEN '2-HIGH' THEN 'usage' WHEN '5-LOW' THEN '' ELSE 'coursework' END AS report_type,
          o_totalprice >= 50000 AS complete, o_totalprice > 400000 AS recovered, o_orderkey % 100 AS row_count,
          o_custkey AS custkey
   FROM orders)"""

@@ -12,7 +12,7 @@ from .attachments import (
 )
 from .compare import compare_datasets, union_datasets
 from .decode import double_decode
-from .inference import data_row_count, describe_csv, infer_csv_schema, infer_json_columns
+from .inference import data_row_count, describe_csv, infer_csv_schema, infer_json_columns, json_kinds
 from .ordered import ordered_columns, position_bucket, time_bucket
 from .provenance import (
     attachment_files_dimension, carry_provenance, dataset_listing, dataset_summary, dataset_totals,

@@ -7,6 +7,8 @@ number per column and task.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -126,16 +128,22 @@ def json_type(kinds: Column) -> Column:
     )
 
 
+def json_kinds(records: DataFrame, record: str = "record", by: Sequence[str] = ()) -> DataFrame:
+    """``column, kinds`` for all fields of JSON object records, per group of ``by``.
+
+    Kinds of parts OR-ed are the kinds of the whole.  Records that are no JSON object do not vote.
+    """
+    fields = F.try_variant_get(F.try_parse_json(F.col(record)), "$", "map<string,variant>")
+    cells = records.select(*by, F.explode(fields).alias("column", "value"))
+    return cells.groupBy(*by, "column").agg(F.bit_or(json_kind(F.col("value"))).alias("kinds"))
+
+
 def infer_json_columns(records: DataFrame, record: str = "record", pinned: bool = True) -> DataFrame:
     """A4: ``column, type`` for all fields of JSON object records.
 
-    Records that are no JSON object do not vote.  With ``pinned`` the contract columns are
-    always present with their fixed types.
+    With ``pinned`` the contract columns are always present with their fixed types.
     """
-    fields = F.try_variant_get(F.try_parse_json(F.col(record)), "$", "map<string,variant>")
-    cells = records.select(F.explode(fields).alias("column", "value"))
-    seen = cells.groupBy("column").agg(F.bit_or(json_kind(F.col("value"))).alias("kinds"))
-    seen = seen.select("column", json_type(F.col("kinds")).alias("type"))
+    seen = json_kinds(records, record).select("column", json_type(F.col("kinds")).alias("type"))
     if not pinned:
         return seen
     fixed = records.sparkSession.createDataFrame(sorted(PINNED.items()), "column string, type string")

@@ -4,12 +4,12 @@ from .csvs import failed_casts, has_multiline_cells, read_cells, scan_report_csv
 from .export import collect_capped, json_friendly, write_result
 from .files import list_files, read_text_files
 from .records import (
-    append_records, read_membership, read_record_lines, read_segments, read_store, record_lines, stamp, type_records,
+    append_batches, append_records, read_batches, read_membership, read_record_lines, read_segments, read_store, record_lines, stamp, type_records,
     typed_empty, with_identity, write_membership, write_store,
 )
 
 __all__ = [
-    "append_records", "collect_capped", "failed_casts", "has_multiline_cells", "json_friendly", "list_files", "read_cells",
+    "append_batches", "append_records", "collect_capped", "failed_casts", "has_multiline_cells", "json_friendly", "list_files", "read_batches", "read_cells",
     "read_membership", "read_record_lines", "read_segments", "read_store", "read_text_files", "record_lines",
     "scan_report_csv", "stamp", "type_records", "typed_empty", "with_identity", "write_membership",
     "write_result", "write_store",

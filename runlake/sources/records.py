@@ -22,8 +22,8 @@ def read_record_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return record_lines(lines)
 
 
-def record_lines(lines: DataFrame) -> DataFrame:
-    """Lines (``value, file_path, file_block_start``) as ``record`` and ``_position``.
+def record_lines(lines: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """Lines (``value, file_path, file_block_start``) as ``record`` and ``_position``, and columns to ``keep``.
 
     Positions compare like places in the files: by file, by split, then by line.  Files are ordered
     by name with runs of digits as numbers, so page 10 comes after page 2.
@@ -34,7 +34,7 @@ def record_lines(lines: DataFrame) -> DataFrame:
         natural.alias("file"), F.col("file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("line"),
     )
-    return lines.select(F.col("value").alias("record"), position.alias("_position")).where(F.trim("record") != "")
+    return lines.select(F.col("value").alias("record"), position.alias("_position"), *keep).where(F.trim("record") != "")
 
 
 def with_identity(records: DataFrame, record_type: str, record: str = "record") -> DataFrame:
@@ -72,6 +72,30 @@ def append_records(records: DataFrame, path: str, fetched_at: Column, run_id: in
     stamped.write.mode("overwrite").parquet(f"{path}/run_id={run_id}/batch={batch}")
 
 
+def append_batches(records: DataFrame, path: str, fetched_at: Column, batch: str) -> None:
+    """A8 for many runs at once: rows with ``run_id`` and ``fetch``, each to the segment of its run's fetch.
+
+    Delivered again, the batch replaces the folders of its own name and nothing else.
+    """
+    stamped = records.withColumns({
+        "_fetched_at": F.date_trunc("second", fetched_at.cast("timestamp")), "_run_id": F.col("run_id"), "_batch": F.lit(batch), "batch": F.lit(batch),
+    })
+    writer = stamped.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy("fetch", "run_id", "batch").parquet(path)
+
+
+def read_batches(spark: SparkSession, path: str, batches: Mapping[tuple[int, str], Sequence[str]], record_type: str) -> DataFrame:
+    """The stamped records of the named batches of ``(run, fetch)``; without any, no rows."""
+    folders = [f"{path}/fetch={fetch}/run_id={run}/batch={b}" for (run, fetch), own in batches.items() for b in own]
+    if folders:
+        rows = spark.read.parquet(*folders)
+    else:
+        keys = ", ".join(f"{k} string" for k in key_columns(record_type))
+        position = "struct<file:string,block:bigint,line:bigint>"
+        rows = spark.createDataFrame([], f"{keys}, record string, _position {position}, _fetched_at timestamp, _run_id bigint, _batch string")
+    return rows.withColumn("_position", F.struct("_batch", "_position")).drop("_batch")
+
+
 def read_segments(spark: SparkSession, path: str, runs: Sequence[int]) -> DataFrame:
     """The stamped records of the given runs; the batch comes first in ``_position``."""
     rows = spark.read.option("basePath", path).parquet(*[f"{path}/run_id={r}" for r in runs])

@@ -1,7 +1,8 @@
 """Files as such: existence, listing, deletion, and creation that fails if the file is there.
 
 Spark writes tables; a commit is one small file that must appear whole and only once, which needs the
-file system itself.  It is reached through Hadoop's client, so any store Spark writes to will do.
+file system itself, reached through Hadoop's client.  The rename must fail if the name is taken, as it does on
+HDFS and local disks; where a store only checks before it renames, two writers at the same moment could both win.
 """
 
 from __future__ import annotations
@@ -38,6 +39,14 @@ class Storage:
         """Bytes of all files below a folder."""
         return self._fs.getContentSummary(self._path(path)).getLength()
 
+    def read(self, path: str) -> str:
+        """The text of a small file."""
+        stream = self._fs.open(self._path(path))
+        try:
+            return self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+
     def delete(self, path: str) -> None:
         self._fs.delete(self._path(path), True)
 

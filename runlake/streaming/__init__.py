@@ -1,5 +1,5 @@
 """Incremental ingest on Structured Streaming."""
 
-from .ingest import ingest_pages, merge_stream
+from .ingest import ingest_landing, ingest_pages, merge_landing, merge_stream
 
-__all__ = ["ingest_pages", "merge_stream"]
+__all__ = ["ingest_landing", "ingest_pages", "merge_landing", "merge_stream"]

@@ -11,7 +11,7 @@ from runlake.plans import Dataset, DatasetFrames, register_views, sql
 from runlake.plans.dataset import CommitConflict
 from runlake.plans.views import view_prefixes
 from runlake.sources import read_record_lines
-from runlake.streaming import ingest_pages, merge_stream
+from runlake.streaming import ingest_landing, ingest_pages, merge_landing, merge_stream
 
 
 def rec(endpoint, n, **more):
@@ -56,7 +56,7 @@ def test_end_to_end(spark, ds, tmp_path, rows):
     (reports / "report_2_job_9.csv").write_text("student_id,z\n1,2\n")
     assert ds.add_report(1, "reports/report_1.csv", "student-answers")["row_count"] == 2
     ds.add_report(2, "reports/report_2.csv", "x", "usage")
-    ds.add_report(3, "reports/report_3.csv", "brand-new-type")
+    ds.add_report(3, "reports/report_3.csv", "coursework")
     ds.add_report(2, "reports/report_2_job_9.csv", "student-actions", job_id=9)
 
     assert rows(ds.pending_attachments(612), "name", "doc_id") == [("f.json", "de3")]
@@ -87,7 +87,7 @@ def test_end_to_end(spark, ds, tmp_path, rows):
     assert q("select * from report_3") == [(3, 7, 3)] and q("select * from report_2_job_9") == [(2, 1, 2)]
     assert q("select name, state from attachment_states") == [("f.json", '{"v":1}')]
     assert q("select name, public_path, content from attachment_content") == [("f.json", "p/1", '{"v":1}')]
-    assert ("report", 3, "brand-new-type", True) in q("select type, run_id, report_type, complete from downloads")
+    assert ("report", 3, "coursework", True) in q("select type, run_id, report_type, complete from downloads")
     got = {(r.type, r.run_id, r.job_id): r for r in ds.summary().collect()}
     assert got["answers", 612, None].coverage.asDict() == {"queried": None, "with_data": 2, "empty": None, "missing": None}
     fetched = got["attachments", 612, None]
@@ -98,7 +98,7 @@ def test_end_to_end(spark, ds, tmp_path, rows):
     # Files against manifest.
     (reports / "report_77.csv").write_text("event,ts\nx,1\n")
     drift = [tuple(r) for r in ds.drift().collect()]
-    assert ("ORPHAN_FILE", "report_77.csv", "") in drift and ("UNKNOWN_TYPE", "run 3", "brand-new-type") in drift
+    assert ("ORPHAN_FILE", "report_77.csv", "") in drift and ("UNKNOWN_TYPE", "run 3", "coursework") in drift
     assert not [d for d in drift if d[0] == "MISSING_FILE"]
 
     # A missing file costs its rows, not the union's columns.
@@ -227,7 +227,8 @@ def test_vacuum_and_drift(ds, tmp_path, rows):
         fetch(ds, tmp_path, run, str(n), rec(f"e{n}", n))
         ds.merge("answers", run)
     orphans = [r.subject for r in ds.drift().collect() if r.code == "ORPHAN_FILE"]
-    assert len([o for o in orphans if o.startswith("stores/answers/v=")]) == 2 and len([o for o in orphans if o.startswith("membership/v=1_")]) == 1
+    # The second version still holds the bucket of e2, which the third did not touch.
+    assert len([o for o in orphans if o.startswith("stores/answers/v=")]) == 1 and len([o for o in orphans if o.startswith("membership/v=1_")]) == 1
     before = rows(ds.frames().stores["answers"], "remote_endpoint", "score")
     gone = ds.vacuum()
     assert {g.split("/")[0] for g in gone} >= {"stores", "membership", "manifest"}
@@ -281,3 +282,116 @@ def test_fresh_dataset_has_typed_empty_views(spark, rows):
     assert sql(spark, "select count(*) from answers").head()[0] == 0
     assert sql(spark, "select * from reports").dtypes == [("run_id", "bigint")]
     assert sql(spark, "select filename, id12, name, content, state from attachment_states").count() == 0
+
+
+def files_below(folder):
+    return {str(f.relative_to(folder)): f.read_bytes() for f in folder.rglob("*.parquet")}
+
+
+def test_a_small_fetch_leaves_other_buckets_alone(ds, tmp_path, rows, monkeypatch):
+    """Copy-on-write: untouched buckets stay byte for byte, and a merge reads only touched ones."""
+    fetch(ds, tmp_path, 1, "1", *[rec(f"e{n}", n) for n in range(300)])
+    ds.merge("answers", 1)
+    before, store = files_below(tmp_path / "ds/stores"), ds._entries()[1]
+    buckets = {b["bucket"] for e in store if e["kind"] == "store" for b in e["buckets"]}
+    assert len(buckets) == 32
+    read, read_files = [], Dataset._bucket_files
+
+    def spy(self, live, wanted, form):
+        read.append((form, len(wanted)))
+        frame = read_files(self, live, wanted, form)
+        assert {int(f.split("_bucket=")[1].split("/")[0]) for f in frame.inputFiles()} == set(wanted)
+        return frame
+
+    monkeypatch.setattr(Dataset, "_bucket_files", spy)
+    fetch(ds, tmp_path, 2, "1", rec("e7", 70), rec("new", 1))
+    assert ds.merge("answers", 2) == {"fetched": 2, "new": 1, "updated": 1, "removed": 0}
+    assert read and all(form == "records" and n <= 2 for form, n in read)
+    after = files_below(tmp_path / "ds/stores")
+    assert all(after[f] == data for f, data in before.items())
+    fresh = {f.split("_bucket=")[1].split("/")[0] for f in set(after) - set(before) if "/records/" in f}
+    assert len(fresh) <= 2
+    entry = next(e for e in ds._entries()[1] if e["kind"] == "store")
+    assert entry["count"] == 301 and {b["bucket"] for b in entry["buckets"]} == buckets | {int(f) for f in fresh}
+    assert len({b["path"] for b in entry["buckets"]}) == 2
+    want = sorted([(f"e{n}", 70 if n == 7 else n) for n in range(300)] + [("new", 1)], key=repr)
+    assert rows(ds.frames().stores["answers"], "remote_endpoint", "score") == want
+    # The other version's unused buckets go, the used ones stay.
+    gone = ds.vacuum()
+    assert [g for g in gone if "/records/_bucket=" in g] and rows(ds.frames().stores["answers"], "remote_endpoint", "score") == want
+    ds.reindex()
+    assert rows(ds.frames().stores["answers"], "remote_endpoint", "score") == want
+
+
+def test_old_buckets_fit_a_new_column_map(ds, tmp_path, rows):
+    """Kinds of all buckets make the column map; buckets typed under an older one are widened or typed anew when read."""
+    fetch(ds, tmp_path, 1, "1", *[rec(f"e{n}", n, late=None, mixed=n, text="x") for n in range(40)])
+    ds.merge("answers", 1)
+    types = dict(ds.frames().stores["answers"].dtypes)
+    assert (types["score"], types["late"], types["mixed"]) == ("bigint", "string", "bigint")
+    fetch(ds, tmp_path, 2, "1", rec("w", 2.5, late=7, mixed="word", more=[1]))
+    ds.merge("answers", 2)
+    store = ds.frames().stores["answers"]
+    types = dict(store.dtypes)
+    assert (types["score"], types["late"], types["more"]) == ("double", "bigint", "string")
+    got = {r["remote_endpoint"]: r for r in store.collect()}
+    assert got["e3"].score == 3.0 and got["e3"].late is None and got["e3"].mixed == "3" and got["e3"].more is None
+    assert (got["w"].late, got["w"].mixed, got["w"].more, got["w"].text) == (7, '"word"', "[1]", None)
+    # Without the odd record the map is as narrow as before.
+    fetch(ds, tmp_path, 2, "2")
+    assert ds.merge("answers", 2)["removed"] == 1
+    types = dict(ds.frames().stores["answers"].dtypes)
+    assert (types["score"], types["mixed"]) == ("bigint", "bigint") and "more" not in types
+    assert len([e for e in ds._entries()[1] if e["kind"] == "store"][0]["layouts"]) == 1
+
+
+def test_late_pages_of_a_replaced_fetch_are_left(ds, tmp_path, rows):
+    fetch(ds, tmp_path, 1, "1", rec("q1", 1), rec("q2", 2))
+    ds.merge("answers", 1)
+    fetch(ds, tmp_path, 1, "2", rec("q1", 10))
+    ds.merge("answers", 1)
+    late = land(tmp_path / "late", [rec("q1", 99), rec("q3", 3)])
+    ds.add_page("answers", 1, read_record_lines(ds.spark, late), "1", "1", F.timestamp_seconds(F.lit(1)))
+    with pytest.warns(UserWarning, match="which a newer one replaced"):
+        ds.finish_fetch("answers", 1, "1")
+    assert ds.merge("answers", 1) is None
+    fetch(ds, tmp_path, 1, "3", rec("q1", 11), rec("q4", 4))  # waiting, with the late page on disk
+    assert ds.merge("answers", 1) == {"fetched": 2, "new": 1, "updated": 1, "removed": 0}
+    assert rows(ds.frames().stores["answers"], "remote_endpoint", "score") == [("q1", 11), ("q4", 4)]
+    assert {g for g in ds.vacuum() if g.startswith("segments")} == {"segments/answers/fetch=1/run_id=1", "segments/answers/fetch=2/run_id=1"}
+
+
+def test_a_crash_between_checkpoint_and_finish(ds, tmp_path, rows, monkeypatch):
+    """The stream has taken the page, the manifest does not know; the next call finds the batch."""
+    landing, checkpoint = tmp_path / "landing", str(tmp_path / "ck")
+    land(landing, [rec("e1", 1)])
+    merge_stream(ds, "answers", 7, str(landing), checkpoint)
+    (landing / "page001.jsonl").write_text(json.dumps(rec("e2", 2)) + "\n")
+    with monkeypatch.context() as m:
+        m.setattr(Dataset, "finish_fetches", lambda *a: (_ for _ in ()).throw(RuntimeError("died")))
+        with pytest.raises(RuntimeError, match="died"):
+            merge_stream(ds, "answers", 7, str(landing), checkpoint)
+    assert merge_stream(ds, "answers", 7, str(landing), checkpoint) == {"fetched": 2, "new": 1, "updated": 1, "removed": 0}
+    assert rows(ds.frames().stores["answers"], "remote_endpoint") == [("e1",), ("e2",)]
+    assert next(e["batches"] for e in ds._entries()[1] if e["kind"] == "segment") == ["000000000", "000000001"]
+
+
+def test_one_stream_for_many_runs(ds, tmp_path, rows):
+    landing, checkpoint = tmp_path / "landing", str(tmp_path / "ck")
+    assert merge_landing(ds, "answers", str(landing), checkpoint) == {}
+    land(landing / "run_id=5/fetch=1", [rec("e1", 1)], [rec("e2", 2)])
+    land(landing / "run_id=12/fetch=9", [rec("e2", 12)])
+    counts = merge_landing(ds, "answers", str(landing), checkpoint, fetched_at=F.timestamp_seconds("run_id"))
+    assert counts == {5: {"fetched": 2, "new": 1, "updated": 0, "removed": 0}, 12: {"fetched": 1, "new": 1, "updated": 0, "removed": 0}}
+    assert rows(ds.frames().stores["answers"], "remote_endpoint", "score", "_run_id") == [("e1", 1, 5), ("e2", 12, 12)]
+    assert merge_landing(ds, "answers", str(landing), checkpoint) == {}
+    # A late page of a current fetch, a newer fetch without records, a late page of the one that this replaces.
+    (landing / "run_id=5/fetch=1/page7.jsonl").write_text(json.dumps(rec("e3", 3)) + "\n")
+    land(landing / "run_id=12/fetch=10", [])
+    (landing / "run_id=12/fetch=9/page1.jsonl").write_text(json.dumps(rec("e9", 9)) + "\n")
+    with pytest.warns(UserWarning, match="fetch 9, which a newer one replaced"):
+        ingest_landing(ds, "answers", str(landing), checkpoint)
+        ingest_landing(ds, "answers", str(landing), checkpoint)
+    counts = merge_landing(ds, "answers", str(landing), checkpoint)
+    assert counts[5] == {"fetched": 3, "new": 1, "updated": 2, "removed": 0} and counts[12]["fetched"] == 0
+    assert rows(ds.frames().stores["answers"], "remote_endpoint", "score", "_run_id") == [("e1", 1, 5), ("e2", 2, 5), ("e3", 3, 5)]

@@ -28,10 +28,10 @@ def test_pseudo_headers(spark, rows):
 
 def test_union_runs(spark, rows):
     usage = spark.createDataFrame([(7, 3)], "student_id bigint, logins bigint")
-    runs = {1: (report(spark), "answers"), 2: (usage, "usage"), 3: (usage, "brand-new-type")}
+    runs = {1: (report(spark), "answers"), 2: (usage, "usage"), 3: (usage, "coursework")}
     assert rows(union_runs(runs)) == sorted([(1, "7", "a", None), (1, "8", "b", None), (2, "7", None, 3)], key=repr)
     assert union_runs(runs, prompts=True).count() == 2
-    assert union_runs({3: (usage, "brand-new-type")}) is None
+    assert union_runs({3: (usage, "coursework")}) is None
 
 
 def test_answers_report_without_students_costs_only_its_rows(spark):
