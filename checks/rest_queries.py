@@ -9,7 +9,7 @@ from runlake.operators import describe_csv, membership_of, union_runs
 from runlake.plans import Dataset, list_datasets, register_views, sql
 from runlake.session import work_dir
 from runlake.sources import (
-    append_records, read_cells, read_membership, read_record_lines, read_segments, read_store, read_text_files,
+    append_records, failed_casts, read_cells, read_membership, read_record_lines, read_segments, read_store, read_text_files,
     scan_report_csv, write_membership, write_store,
 )
 
@@ -33,6 +33,20 @@ def csv_scanned(spark, sf):
     return rows.select("run_id", "student_id", F.col("res_1_q1_answer").try_cast("double").alias("amount"), "res_1_q2_answer")
 
 
+@query("""
+SELECT 'amount' AS "column", 'BIGINT' AS type, count(*) FILTER (WHERE o_orderkey % 7 = 0) AS failed FROM orders
+UNION ALL SELECT 'open', 'BOOLEAN', count(*) FILTER (WHERE o_orderkey % 5 = 0) FROM orders""")
+def failed_casts_counted(spark, sf):
+    """A1: cells that the recorded types cannot hold, per column; empty cells and good columns do not count."""
+    path, key = work_dir(spark, "csv"), F.col("o_orderkey")
+    S.table(spark, sf, "orders").select(
+        "o_orderkey", F.when(key % 7 == 0, "n/a").when(key % 7 == 1, "").otherwise(F.col("o_custkey").cast("string")).alias("amount"),
+        F.when(key % 5 == 0, "perhaps").otherwise("true").alias("open"), "o_orderpriority",
+    ).write.option("header", True).option("escape", '"').csv(path)
+    columns = {"o_orderkey": "BIGINT", "amount": "BIGINT", "open": "BOOLEAN", "o_orderpriority": "VARCHAR"}
+    return failed_casts(spark, path, columns, list(columns))
+
+
 @query("""
 SELECT CAST(4 AS BIGINT) AS run_id, doc_id, md5(text) AS text_md5, lang FROM documents""")
 def csv_with_line_breaks(spark, sf):

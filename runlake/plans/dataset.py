@@ -52,7 +52,7 @@ from ..operators import (
     newest_committed, normalize_identity, pending_refs, recover_report_type, scan_run_attachments, unreferenced_files,
 )
 from ..sources import (
-    append_batches, append_records, has_multiline_cells, list_files, read_batches, read_cells, read_membership,
+    append_batches, append_records, failed_casts, has_multiline_cells, list_files, read_batches, read_cells, read_membership,
     read_text_files, scan_report_csv, type_records, typed_empty, with_identity, write_membership,
 )
 from ..sources.buckets import BUCKET, NONE, bucket_of, column_kinds, fitted, in_buckets, write_buckets, write_kinds
@@ -69,7 +69,7 @@ merge_counts struct<fetched:bigint,new:bigint,updated:bigint,removed:bigint>,
 history_mode string, complete boolean, fetched_at timestamp, scanned array<string>, row_count bigint,
 columns map<string,string>, column_order array<string>, multiline boolean, recovered boolean, merged_as bigint,
 bucket_count int, buckets array<struct<bucket:int,path:string,layout:int>>, layouts array<map<string,string>>,
-sequence bigint, superseded boolean, batches array<string>
+sequence bigint, superseded boolean, batches array<string>, file_stamp string
 """
 # Buckets of a new dataset's stores; best so many that one holds about a gigabyte.
 BUCKETS = 32
@@ -423,9 +423,22 @@ class Dataset:
             "row_count": found["row_count"],
             "columns": {c["column"]: c["type"] for c in found["columns"]},
             "column_order": [c["column"] for c in found["columns"]],
-            "multiline": multiline,
+            "multiline": multiline, "file_stamp": self._stamp_of(file),
         }
 
+    def _stamp_of(self, file: str) -> str:
+        """Size and time of a report file, to tell whether it changed since its types were recorded."""
+        path = f"{self.root}/{file}"
+        return f"{self.storage.size(path)}:{self.storage.modified(path)}"
+
+    def _failed_casts(self, e: Mapping[str, Any]) -> list[tuple[str, str, int]]:
+        """``(column, type, cells)`` that the recorded types cannot hold; a file that did not change is not read again."""
+        file = e["files"][0]
+        if not self.storage.exists(f"{self.root}/{file}") or self._stamp_of(file) == e["file_stamp"]:
+            return []
+        found = failed_casts(self.spark, f"{self.root}/{file}", e["columns"], e["column_order"] or [], multiline=e["multiline"])
+        return [tuple(r) for r in found.collect()]  # a row per column
+
     def _report(self, e: Mapping[str, Any]) -> ReportRun:
         """A report's rows; a missing file costs its own rows, not the union's schema."""
         path = f"{self.root}/{e['files'][0]}"
@@ -437,6 +450,8 @@ class Dataset:
             warnings.warn(f"report file {path} is missing; it contributes no rows", stacklevel=2)
             order = e["column_order"] or sorted(e["columns"])
             rows = typed_empty(self.spark, {c: e["columns"][c] for c in order})
+        for column, kind, cells in self._failed_casts(e):
+            warnings.warn(f"report file {path} changed: {cells} cells of {column} are no {kind} and read as NULL", stacklevel=3)
         return ReportRun(e["run_id"], e["report_type"], rows, e["job_id"])
 
     # ---- attachments ---------------------------------------------------------------
@@ -560,7 +575,7 @@ class Dataset:
         return dataset_summary(self.downloads())
 
     def drift(self) -> DataFrame:
-        """G5 over the report files of this dataset and the memberships of its manifest."""
+        """G5 over the report files of this dataset and the memberships of its manifest; ``FAILED_CAST`` rows for changed reports."""
         rows = self.manifest()
         subject = F.concat_ws(" ", "kind", F.concat_ws("/", "type", F.col("run_id").cast("string"))).alias("subject")
         # A run without records has a membership without files.
@@ -570,7 +585,13 @@ class Dataset:
         listed = self._folders().select("file")
         csvs = rows.where("kind = 'download'").select(F.lit("").alias("subject"), F.explode("files").alias("_f"), F.lit(True).alias("download"))
         csvs = csvs.select("subject", F.substring_index("_f", "/", -1).alias("file"), "download")
-        return drift_report(named.unionByName(csvs), rows.where("kind = 'download'"), listed)
+        found = drift_report(named.unionByName(csvs), rows.where("kind = 'download'"), listed)
+        failed = [
+            ("FAILED_CAST", f"run {e['run_id']}", f"{column}: {cells} cells are no {kind}")
+            for e in self._entries()[1] if e["kind"] == "download" and e["files"] and e["columns"] for column, kind, cells in self._failed_casts(e)
+        ]
+        found = found.unionByName(self.spark.createDataFrame(failed, "code string, subject string, detail string")) if failed else found
+        return found.orderBy("code", "subject", "detail")
 
     def _versions(self, top: str) -> list[str]:
         """Folders ``<top>/v=.../id=...`` by path below the root."""

@@ -102,18 +102,18 @@ def view_prefixes(names: Sequence[tuple[str | None, str]]) -> list[str]:
     return [f"{prefix}__" for prefix in chosen]
 
 
-# Views this process has registered, by prefix, so that those of runs that are gone can be dropped.
-_REGISTERED: dict[str, set[str]] = {}
+# Views registered by session and prefix, so that those of runs that are gone can be dropped.
+_REGISTERED: dict[tuple[str, str], set[str]] = {}
 
 
 def register_views(spark: SparkSession, datasets: Sequence[tuple[str | None, DatasetFrames]]) -> list[str]:
     """K1: temporary views for one dataset by bare name, for several as ``alias__view``."""
-    registered = []
+    registered, session = [], spark._jsparkSession.sessionUUID()
     for prefix, (_, frames) in zip(view_prefixes([(a, f.name) for a, f in datasets]), datasets):
         views = dataset_views(spark, frames)
-        for gone in _REGISTERED.get(prefix, set()) - set(views):
+        for gone in _REGISTERED.get((session, prefix), set()) - set(views):
             spark.catalog.dropTempView(prefix + gone)
-        _REGISTERED[prefix] = set(views)
+        _REGISTERED[session, prefix] = set(views)
         for name, df in views.items():
             df.createOrReplaceTempView(f"`{prefix}{name}`")
             registered.append(prefix + name)

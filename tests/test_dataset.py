@@ -2,6 +2,7 @@
 
 import json
 import shutil
+import warnings
 
 import pytest
 from pyspark.sql import functions as F
@@ -395,3 +396,31 @@ def test_one_stream_for_many_runs(ds, tmp_path, rows):
     counts = merge_landing(ds, "answers", str(landing), checkpoint)
     assert counts[5] == {"fetched": 3, "new": 1, "updated": 2, "removed": 0} and counts[12]["fetched"] == 0
     assert rows(ds.frames().stores["answers"], "remote_endpoint", "score", "_run_id") == [("e1", 1, 5), ("e2", 2, 5), ("e3", 3, 5)]
+
+
+def test_a_changed_report_is_loud(spark, ds, tmp_path, rows):
+    """Cells that do not fit the recorded types are NULL, with a warning and a row of drift."""
+    reports = tmp_path / "ds/reports"
+    reports.mkdir()
+    (reports / "report_2.csv").write_text("student_id,logins\n7,3\n8,\n")
+    ds.add_report(2, "reports/report_2.csv", "x", "usage")
+    with warnings.catch_warnings():
+        warnings.simplefilter("error")
+        ds.register()
+    assert ds.drift().count() == 0
+    (reports / "report_2.csv").write_text("student_id,logins\n7,many\n8,4\n9,few\n")
+    with pytest.warns(UserWarning, match="2 cells of logins are no BIGINT"):
+        ds.register()
+    assert rows(sql(spark, "select student_id, logins from reports")) == [(7, None), (8, 4), (9, None)]
+    assert rows(ds.drift()) == [("FAILED_CAST", "run 2", "logins: 2 cells are no BIGINT")]
+
+
+def test_views_are_dropped_by_session(spark):
+    """What another session registers under a prefix leaves this session's views alone."""
+    frames = DatasetFrames("x", member_runs=[("answers", 5)])
+    register_views(spark, [(None, frames)])
+    other = spark.newSession()
+    register_views(other, [(None, DatasetFrames("x"))])
+    assert spark.catalog.tableExists("answers_5") and not other.catalog.tableExists("answers_5")
+    register_views(spark, [(None, DatasetFrames("x"))])
+    assert not spark.catalog.tableExists("answers_5")
