@@ -82,7 +82,13 @@ def op9_packed_sequences(spark, sf):
     return packing.packed(table(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-@query()
+@query("""
+WITH payloads AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+grouped AS (SELECT *, CAST(strlen(h) AS BIGINT) AS payload_bytes, max(page_id) OVER (PARTITION BY h) AS last_id FROM payloads)
+SELECT page_id, payload_bytes, sha1(h) AS payload_digest,
+  CASE WHEN payload_bytes >= 1000 AND page_id < last_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 1000 AND page_id < last_id THEN last_id END AS refers_to
+FROM grouped""")
 def op3_web_archive(spark, sf):
     """Every page archived, then read back from the archives."""
     path = work_dir(spark, "warc")
