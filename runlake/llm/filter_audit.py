@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import work_dir
+from ..sources.storage import Storage
 from .common import texts
 
 FILTERS = "ABCDE"
@@ -192,6 +193,14 @@ def _either(path: str) -> str:
     return f"{path[:-1]}[{path[-1]}]"
 
 
+def _state_keys(spark: SparkSession, folder: str, docs: DataFrame) -> int:
+    """How many state keys the texts are dealt to: decided by the first call with a folder, as state is kept by key."""
+    storage, path = Storage(spark, folder), f"{folder}/state-keys"
+    if not storage.exists(path):
+        storage.create(path, str(max(1, math.ceil(docs.count() / TEXTS_PER_KEY))))
+    return int(storage.read(path))
+
+
 def counters(
     spark: SparkSession, path: str, labels: DataFrame, text: str = "text", key: str = "doc_id", part: str = "source",
     quality: str = "quality", toxic: str = "toxic", folder: str | None = None, batches: int = BATCHES,
@@ -205,7 +214,7 @@ def counters(
     id_type = docs.schema[key].dataType
     folder = folder or work_dir(spark, "filter-audit")
     stream = spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", max(1, math.ceil(len(docs.inputFiles()) / batches))).parquet(_either(path))
-    keys = max(1, math.ceil(docs.count() / TEXTS_PER_KEY))
+    keys = _state_keys(spark, folder, docs)
     rows = _labelled(_narrow(stream, text, key, part), labels, key, quality, toxic)
     changes = _tracked(_combined(rows, keys, id_type.simpleString()), id_type)
 

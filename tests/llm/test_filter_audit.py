@@ -90,8 +90,12 @@ def test_audit_equals_its_sql(ready, audit_docs, tmp_path):
     assert sorted(map(tuple, found.select(*sql.columns).collect())) == sorted(sql.fetchall())
 
 
-def test_files_that_come_later(ready, audit_docs, audit_labels, tmp_path):
-    """A second call with the same folder takes in new files only, and takes back what they outdate."""
+def test_files_that_come_later(ready, audit_docs, audit_labels, tmp_path, monkeypatch):
+    """A second call with the same folder takes in new files only, and takes back what they outdate.
+
+    Texts stay with their state keys, though there would be more keys for more texts.
+    """
+    monkeypatch.setattr(filter_audit, "TEXTS_PER_KEY", 20)
     labels = ready.createDataFrame([(*x, "l", "t") for x in audit_labels], LABELS)
     path, work = str(tmp_path / "documents.parquet"), str(tmp_path / "work")
     late = sorted(audit_docs, key=lambda d: (d[0] is None, d[0] or 0), reverse=True)
