@@ -3,13 +3,14 @@
 A page is read into text lines, one a block, each with where it stands: in the page's declared
 article, in a landmark (menu, footer, advert, form, ...), or elsewhere.  Pages of a host are ordered
 by URL path; each is aligned with its nearest neighbour by a longest common subsequence of lines, and
-lines that both share belong to the site, so they go, be they in a declared article or not.  Only a
-passage of the declared article stays although it is shared, if the site at large does not have it:
-it is on fewer than ``SITE_PAGES`` different pages of the host, or on less than ``SITE_SHARE`` of them.
+lines that both share belong to the site, so they go.  Lines of the declared article are shared only
+in the same slot (tags and classes from the top of the page), and go only if the site at large has
+them there: on ``SITE_PAGES`` different pages of the host at least, and on ``SITE_SHARE`` of them.
 A landmark's lines count as shared by the kind of landmark, as sites fill them anew for each page; all
 others by their text.  Landmark lines without a counterpart go as well; all other lines stay.  A page
-without a different neighbour on its host has nothing to be compared with: its text is the declared
-article if it has one, else all but its landmarks.
+whose host has no different one has nothing to be compared with: its text is the declared article if
+it has one, else all but its landmarks.  Mirrors, pages of a host with equal text outside landmarks,
+are one page, at the smallest of their paths.
 
 The pages' lines outside landmarks move once, to meet their decisions; what is sorted and aligned is a
 hash a line.
@@ -26,7 +27,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bit_filter, in_filter, written
@@ -35,15 +36,26 @@ from .urls import url_parts
 ARTICLE, MAIN, BODY, LANDMARK = 3, 2, 1, 0
 
 # Elements that never hold main text, and those whose content is no markup.
-LANDMARK_TAGS = frozenset("nav header footer aside form button select textarea dialog menu noscript iframe object svg template head title canvas".split())
-RAW_TAGS = frozenset("script style textarea title".split())
+LANDMARK_TAGS = frozenset("nav header footer aside form button select datalist textarea dialog menu noscript iframe object svg template head title canvas".split())
+RAW_TAGS = frozenset("script style textarea title iframe noembed noframes".split())
 BLOCK_TAGS = frozenset(
     "address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header "
     "hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split()
 )
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-# An unclosed element of these ends where the next of its kind, or what holds it, starts or ends.
-OPEN_ENDED = frozenset("p li dt dd td th tr option".split())
+# A start of these ends an open paragraph.
+PARAGRAPH_ENDS = BLOCK_TAGS - frozenset("body head html title legend option tbody td tfoot th thead tr".split())
+# An unclosed element of these ends where the next of its group starts, unless an element of WALLS stands between.
+OPEN_ENDED = {"p": 0, "li": 1, "dt": 2, "dd": 2, "td": 3, "th": 3, "tr": 4}
+WALLS = {
+    "ul": (1,), "ol": (1,), "menu": (1,), "dl": (2,), "button": (0,), "object": (0, 1, 2), "template": (0, 1, 2), "caption": (0, 1, 2),
+    "tr": (3,), "td": (0, 1, 2), "th": (0, 1, 2), "table": (0, 1, 2, 3, 4),
+}
+CELLS = frozenset("table td th caption object template".split())
+TABLE_PARTS = frozenset("html body table tbody thead tfoot".split())
+# Their end tags reach across blocks, as those of blocks do.
+REACHING = BLOCK_TAGS | LANDMARK_TAGS | frozenset("a b big code em font i nobr s small strike strong tt u".split())
 LANDMARK_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form".split())
 # Words in class and id attributes; a hyphen, an underscore or another mark ends a word.
 LANDMARK_WORDS = frozenset(
@@ -51,101 +63,223 @@ LANDMARK_WORDS = frozenset(
     "notification alert sidebar comment comments commentlist disqus respond replies nav navbar navigation menu breadcrumb breadcrumbs footer header "
     "masthead popup modal overlay newsletter subscribe signup login share sharing social related recommended pagination pager widget toolbar skip".split()
 )
+# Of them, those that also name parts of an article; there they count as a whole name, or with a word of the page's furniture.
+ARTICLE_PARTS = frozenset("header footer related notice alert banner overlay navigation menu respond skip social consent".split())
+FURNITURE = frozenset("articles bar box content links list news posts site stories widget".split())
 ARTICLE_WORDS = frozenset(("article-body", "articlebody", "article-content", "entry-content", "post-content", "post-body", "story-body"))
 
-TAG = re.compile(r"<!--|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
-ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
-# A shared line of a declared article is the site's if so many different pages of the host have it, and so large a share of them.
-SITE_PAGES, SITE_SHARE = 3, 0.05
+NAME = re.compile(r"[a-zA-Z][^\s/>]*+")
+ATTRIBUTE = re.compile(r"""([^\s/>][^\s/>=]*+)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>"'][^\s>]*+))?+)?+""")
+# Attributes up to the end of the tag; a quote within an unquoted value is part of it.
+ATTRIBUTES = re.compile(r"""(?:[\s/]++|[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+)?+)?+)*+>""")
+RAW_ENDS = {name: re.compile(f"</{name}(?=[\\s/>])", re.IGNORECASE) for name in RAW_TAGS}
+LONG_REFERENCE = re.compile(r"&#([0-9]{20,});?")
+# A shared line of a declared article is the site's if so many different pages of the host have it in that slot, and so large a share of them.
+SITE_PAGES, SITE_SHARE = 3, 0.5
 # The lines of the site meet the pages in so many parts, as a large host may have one on each of its pages.
 PARTS = 16
 
 
-def _kind(tag: str, attributes: str) -> int | None:
-    """Where an element puts its lines, if it changes that."""
-    found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(attributes)} if "=" in attributes or "hidden" in attributes else {}
+def _attributes(text: str) -> dict[str, str]:
+    found: dict[str, str] = {}
+    if "=" in text or "hidden" in text.lower():
+        for m in ATTRIBUTE.finditer(text):
+            found.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
+    return found
+
+
+def _kind(tag: str, found: dict[str, str], inside: bool) -> int | None:
+    """Where an element puts its lines, if it changes that; ``inside`` an article fewer names tell."""
     if tag in LANDMARK_TAGS or found.get("role", "").lower() in LANDMARK_ROLES:
         return LANDMARK
-    names = f"{found.get('class', '')} {found.get('id', '')}".lower()
-    if tag not in ("html", "body", "article", "main") and LANDMARK_WORDS.intersection(re.split(r"[^a-z0-9]+", names)):
-        return LANDMARK
+    names = f"{found.get('class', '')} {found.get('id', '')}".lower().split()
+    if tag not in ("html", "body", "article", "main"):
+        for name in names:
+            parts = set(re.split(r"[^a-z0-9]+", name))
+            told = parts & LANDMARK_WORDS
+            if inside and told <= ARTICLE_PARTS and (tag in HEADINGS or not (name in told or parts & FURNITURE)):
+                continue
+            if told:
+                return LANDMARK
     if "hidden" in found or found.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", found.get("style", "")):
         return LANDMARK
-    if tag == "article" or found.get("itemprop") == "articleBody" or ARTICLE_WORDS.intersection(names.split()):
+    if tag == "article" or found.get("itemprop") == "articleBody" or ARTICLE_WORDS.intersection(names):
         return ARTICLE
     return MAIN if tag == "main" or found.get("role") == "main" else None
 
 
+def _sign(found: dict[str, str]) -> str:
+    """What names a landmark or a slot: its class, id and role without numbers."""
+    return "" if not found else re.sub(r"\d+", "", " ".join(v for k, v in found.items() if k in ("class", "id", "role")))
+
+
+def decoded(text: str) -> str:
+    """Text with its character references decoded; numbers of any length are allowed."""
+    if "&" not in text:
+        return text
+    # Eight digits are beyond the last character already.
+    return entities.unescape(LONG_REFERENCE.sub(lambda m: f"&#{(m[1].lstrip('0') or '0')[:8]};", text))
+
+
+class _Page:
+    """Open elements and finished lines of a page that is being read.
+
+    Words are kept with the place they were read at: those of a landmark within a block (a button, a
+    marked span) become lines of their own, and the words around them stay one block.  Every step
+    looks at the innermost elements only, so a page takes time linear in its length.
+    """
+
+    def __init__(self) -> None:
+        self.lines: list[tuple[int, str, str]] = []
+        # Tag, place, landmark and slot of what it holds, and where the innermost element of each open-ended group, cell and block is.
+        self.stack: list[tuple[str, int, str, int, tuple[int, ...]]] = [("", BODY, "", 0, (0,) * 7)]
+        self.open: dict[str, list[int]] = {}
+        self.words: list[str] = []
+        self.aside: list[str] = []
+        self.asides: list[tuple[int, str, str]] = []
+        self.place, self.slot, self.sign = BODY, 0, ""
+
+    def text(self, text: str) -> None:
+        _, place, landmark, slot, _ = self.stack[-1]
+        if place == LANDMARK:
+            if landmark != self.sign:
+                self.end_aside()
+                self.sign = landmark
+            self.aside.append(text)
+            return
+        if text and not text.isspace():
+            if not self.words:
+                self.place, self.slot = place, slot
+            self.place = max(self.place, place)
+            self.words.append(text)
+        elif text and self.words:
+            self.words.append(" ")
+
+    def end_aside(self) -> None:
+        if text := " ".join("".join(self.aside).split()):
+            self.asides.append((LANDMARK, self.sign, text))
+        self.aside.clear()
+
+    def end_line(self, whole: bool = True) -> None:
+        """A block ends; within a landmark only that one's line does (not ``whole``)."""
+        self.end_aside()
+        if whole:
+            if text := " ".join("".join(self.words).split()):
+                self.lines.append((self.place, str(self.slot), text))
+            self.words.clear()
+        if not self.words:
+            self.lines += self.asides
+            self.asides.clear()
+
+    def cut(self, depth: int) -> None:
+        while len(self.stack) > depth:
+            self.open[self.stack.pop()[0]].pop()
+
+    def start(self, name: str, found: dict[str, str]) -> None:
+        scope = self.stack[-1][4]
+        if name in PARAGRAPH_ENDS and scope[0]:
+            self.cut(scope[0])
+        group = OPEN_ENDED.get(name)
+        if group and self.stack[-1][4][group]:
+            self.cut(self.stack[-1][4][group])
+        if name == "a" and self.open.get("a") and self.open["a"][-1] > self.stack[-1][4][6]:
+            self.cut(self.open["a"][-1])
+        _, place, landmark, slot, scope = self.stack[-1]
+        block = name in BLOCK_TAGS
+        if block:
+            self.end_line(place != LANDMARK)
+        elif name == "br":
+            self.text(" ")
+        if name in VOID_TAGS:
+            return
+        kind = None if place == LANDMARK else _kind(name, found, place > BODY)
+        at = len(self.stack)
+        if block or name in WALLS:
+            ends = list(scope)
+            for i in WALLS.get(name, ()):
+                ends[i] = 0
+            if group is not None:
+                ends[group] = at
+            if name in CELLS:
+                ends[5] = at
+            if block:
+                ends[6] = at
+                slot = xxhash.xxh3_64_intdigest(f"{slot} {name} {_sign(found)}".encode("utf-8", "surrogatepass"))
+            scope = tuple(ends)
+        if kind == LANDMARK:
+            place, landmark = LANDMARK, f"{name} {_sign(found)}"
+        elif kind is not None:
+            place = max(kind, place)
+        self.stack.append((name, place, landmark, slot, scope))
+        self.open.setdefault(name, []).append(at)
+
+    def end(self, name: str) -> None:
+        before, scope = self.stack[-1][1], self.stack[-1][4]
+        at = self.open[name][-1] if self.open.get(name) else 0
+        if name in OPEN_ENDED:
+            at = at if at == scope[OPEN_ENDED[name]] else 0
+        elif name not in TABLE_PARTS and at < scope[5 if name in REACHING else 6]:
+            at = 0
+        if at:
+            self.cut(at)
+        if name in BLOCK_TAGS:
+            self.end_line(LANDMARK not in (before, self.stack[-1][1]) or before != self.stack[-1][1])
+
+
 def page_lines(html: str | None) -> list[tuple[int, str, str]]:
-    """``(place, landmark, text)`` of every block with text; null is an empty page.
+    """``(place, name, text)`` of every block with text, the name that of its landmark or slot; null is an empty page.
 
     References are decoded and white space is one space.  What a broken end of the page leaves open
-    ends with the page.
+    ends with the page; a tag without an end is text.  Where the quotes of a tag do not work out, they
+    hide nothing in the rest of the page.
     """
     html = html or ""
-    lines: list[tuple[int, str, str]] = []
-    words: list[str] = []
-    # Open elements: tag, place and landmark of what they hold.
-    stack: list[tuple[str, int, str]] = [("", BODY, "")]
-    at = 0
-
-    def end_line() -> None:
-        text = " ".join("".join(words).split())
-        words.clear()
-        if text:
-            lines.append((stack[-1][1], stack[-1][2], text))
-
-    def close(tag: str) -> None:
-        depth = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == tag), 0)
-        if depth:
-            del stack[depth:]
-
+    page = _Page()
+    at, quotes = 0, True
     while at < len(html):
-        tag = TAG.search(html, at)
-        words.append(entities.unescape(html[at : tag.start() if tag else len(html)]))
-        if not tag:
+        mark = html.find("<", at)
+        if mark < 0:
+            mark = len(html)
+        if mark > at:
+            page.text(decoded(html[at:mark]))
+        if mark >= len(html) - 1:
+            page.text(html[mark:])
             break
-        at = tag.end()
-        if tag[0] == "<!--":
-            end = html.find("-->", at)
-            at = end + 3 if end >= 0 else len(html)
-            continue
-        name = (tag[2] or tag[5] or "").lower()
+        closing = html[mark + 1] == "/"
+        name = NAME.match(html, mark + 1 + closing)
         if not name:
+            if html.startswith("<!--", mark):
+                end, size = html.find("-->", mark + 2), 3
+            elif closing or html[mark + 1] in "!?":
+                end, size = html.find(">", mark), 1
+            else:
+                page.text("<")
+                at = mark + 1
+                continue
+            at = end + size if end >= 0 else len(html)
             continue
-        if name in BLOCK_TAGS:
-            end_line()
-        elif name == "br":
-            words.append(" ")
-        if tag[1] or tag[4]:
-            close(name)
-            continue
-        if name in VOID_TAGS:
+        end = ATTRIBUTES.match(html, name.end()) if quotes else None
+        at = end.end() if end else html.find(">", name.end()) + 1
+        quotes = end is not None
+        if not at:
+            page.text(decoded(html[mark:]))
+            break
+        tag = name[0].lower()
+        if closing:
+            page.end(tag)
             continue
-        if name == "body":
-            close("head")
-        if name in OPEN_ENDED and stack[-1][0] == name:
-            stack.pop()
-        _, place, landmark = stack[-1]
-        kind = _kind(name, tag[3] or tag[6] or "")
-        if name in RAW_TAGS:
-            end = re.compile(f"</{name}[^>]*>", re.IGNORECASE).search(html, at)
-            at = end.end() if end else len(html)
+        if tag == "body" and page.open.get("head"):
+            page.cut(page.open["head"][-1])
+        if tag in RAW_TAGS:
+            if tag in BLOCK_TAGS:
+                page.end_line(page.stack[-1][1] != LANDMARK)
+            stop = RAW_ENDS[tag].search(html, at)
+            stop = html.find(">", stop.end()) + 1 if stop else 0
+            at = stop or len(html)
             continue
-        if place == LANDMARK or kind is None:
-            stack.append((name, place, landmark))
-        elif kind == LANDMARK:
-            end_line()
-            stack.append((name, LANDMARK, f"{name} {_sign(tag[3] or tag[6] or '')}"))
-        else:
-            stack.append((name, max(kind, place), landmark))
-    end_line()
-    return lines
-
-
-def _sign(attributes: str) -> str:
-    """What names a landmark: its class and id without numbers."""
-    return re.sub(r"\d+", "", " ".join(m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(attributes) if m[1].lower() in ("class", "id", "role")))
+        page.start(tag, _attributes(html[name.end() : at - 1]))
+    page.end_line()
+    return page.lines
 
 
 def line_kinds(lines: list[tuple[int, str, str]]) -> list[int]:
@@ -155,15 +289,17 @@ def line_kinds(lines: list[tuple[int, str, str]]) -> list[int]:
 
 
 def line_keys(lines: list[tuple[int, str, str]]) -> np.ndarray:
-    """A hash for each line: of the landmark, or of the text."""
-    keys = [f"<{landmark}>" if place == LANDMARK else text for place, landmark, text in lines]
+    """A hash for each line: of the landmark, in the declared article of slot and text, else of the text."""
+    named = zip(lines, line_kinds(lines), strict=True)
+    keys = [f"<{name}>" if kind == LANDMARK else f"{name}\n{text}" if kind == ARTICLE else text for (_, name, text), kind in named]
     return np.array([xxhash.xxh3_64_intdigest(k.encode("utf-8", "surrogatepass")) for k in keys], np.uint64).view(np.int64)
 
 
-def text_digest(lines: list[tuple[int, str, str]]) -> int:
-    """A hash of all text outside landmarks; mirrors of a page have the same one."""
-    text = "\n".join(t for place, _, t in lines if place != LANDMARK)
-    return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass"))
+def text_digest(lines: list[tuple[int, str, str]]) -> bytes:
+    """A hash of all text outside landmarks and of what is declared an article; mirrors of a page have the same one."""
+    named = zip(lines, line_kinds(lines), strict=True)
+    text = "\n".join(f"{name if kind == ARTICLE else ''}\n{text}" for (_, name, text), kind in named if kind != LANDMARK)
+    return xxhash.xxh3_128_digest(text.encode("utf-8", "surrogatepass"))
 
 
 def common_lines(a: np.ndarray, b: np.ndarray) -> list[int]:
@@ -225,43 +361,45 @@ def _subsequence(a: list[int], b: list[int], most_bits: int = 1 << 28) -> list[i
     return found[::-1]
 
 
-def _row_id() -> Column:
-    return F.xxhash64("url", "html")
-
-
 def _keyed(pages: DataFrame) -> DataFrame:
-    """``row, host, path, digest, keys, kinds``: each page's lines as hashes, and the kind of each."""
+    """``host, path, digest, keys, kinds``: each page's lines as hashes, and the kind of each."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lines = [page_lines(x) for x in batch.column(3).to_pylist()]
-            digests = np.array([text_digest(x) for x in lines], np.uint64).view(np.int64)
+            lines = [page_lines(x) for x in batch.column(2).to_pylist()]
+            digests = pa.array([text_digest(x) for x in lines], pa.binary())
             keys, kinds = pa.array([line_keys(x) for x in lines], pa.list_(pa.int64())), pa.array([line_kinds(x) for x in lines], pa.list_(pa.int8()))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(digests), keys, kinds], names=["row", "host", "path", "digest", "keys", "kinds"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], digests, keys, kinds], names=["host", "path", "digest", "keys", "kinds"])
 
-    found = url_parts(pages).select(_row_id().alias("row"), "host", "path", "html")
-    return found.mapInArrow(read, "row bigint, host string, path string, digest bigint, keys array<bigint>, kinds array<tinyint>")
+    found = url_parts(pages).select("host", "path", "html")
+    return found.mapInArrow(read, "host string, path string, digest binary, keys array<bigint>, kinds array<tinyint>")
 
 
 def _ordered(keyed: DataFrame) -> DataFrame:
-    """The distinct pages in the order of host and path, sorted by range, so a host of any size spreads."""
-    ordered = keyed.dropDuplicates(["row"]).repartitionByRange("host", "path", "row").sortWithinPartitions("host", "path", "row")
-    return written(ordered.select("host", "path", "row", "digest", "keys", "kinds", F.spark_partition_id().alias("part")), "ordered")
+    """The pages in the order of host and path, mirrors as one page at their smallest path.
+
+    They are sorted by range, so a host of any size spreads; of mirrors each task keeps one before the shuffle.
+    """
+    # Mirrors may differ in landmarks only, which the last order makes the same choice of.
+    first = Window.partitionBy("host", "digest").orderBy("path", F.xxhash64("keys"))
+    single = keyed.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
+    ordered = single.repartitionByRange("host", "path", "digest").sortWithinPartitions("host", "path", "digest")
+    return written(ordered.select("host", "path", "digest", "keys", "kinds", F.spark_partition_id().alias("part")), "ordered")
 
 
 def _neighbours(ordered: DataFrame) -> DataFrame:
     """Every page with its neighbours; those across the edge of a range come from a table of a row per range."""
-    columns = ["host", "path", "row", "digest", "keys"]
+    columns = ["host", "path", "digest", "keys"]
     edges = ordered.groupBy("part").agg(F.min(F.struct(*columns)).alias("first"), F.max(F.struct(*columns)).alias("last"))
     by_part = Window.orderBy("part")
     edges = written(edges.select("part", F.lag("last").over(by_part).alias("_before"), F.lead("first").over(by_part).alias("_after")), "edges")
-    inside = Window.partitionBy("part").orderBy("host", "path", "row")
+    inside = Window.partitionBy("part").orderBy("host", "path", "digest")
     near = ordered.select(*columns, "kinds", "part", F.lag(F.struct(*columns)).over(inside).alias("prev"), F.lead(F.struct(*columns)).over(inside).alias("next"))
     near = near.join(edges, "part").withColumns({"prev": F.coalesce("prev", "_before"), "next": F.coalesce("next", "_after")})
-    # A neighbour of another host, or a mirror of the page, has nothing to tell.
-    useful = lambda other: (F.col(f"{other}.host") == F.col("host")) & (F.col(f"{other}.digest") != F.col("digest"))
+    # A neighbour of another host has nothing to tell.
+    useful = lambda other: F.col(f"{other}.host") == F.col("host")
     each = [F.when(useful(x), F.col(f"{x}.{c}")).alias(f"{x}_{c}") for x in ("prev", "next") for c in ("path", "keys")]
-    return near.select("row", "host", "keys", "kinds", "path", *each).where("prev_keys IS NOT NULL OR next_keys IS NOT NULL")
+    return near.select("host", "digest", "keys", "kinds", "path", *each).where("prev_keys IS NOT NULL OR next_keys IS NOT NULL")
 
 
 def nearest(path: str, before: str | None, after: str | None) -> bool:
@@ -271,7 +409,7 @@ def nearest(path: str, before: str | None, after: str | None) -> bool:
 
 
 def _shared(near: DataFrame) -> DataFrame:
-    """``row, host, n_shared, left, asked``: what the nearest neighbour shares, by position among the lines outside landmarks.
+    """``host, digest, n_shared, left, asked``: what the nearest neighbour shares, by position among the lines outside landmarks.
 
     ``left`` are lines outside the declared article; ``asked`` those in it, with their keys.
     """
@@ -289,10 +427,10 @@ def _shared(near: DataFrame) -> DataFrame:
             kind = pa.list_(pa.struct([("at", pa.int32()), ("key", pa.int64())]))
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:2], pa.array(sizes, pa.int32()), pa.array(left, pa.list_(pa.int32())), pa.array(asked, kind)],
-                names=["row", "host", "n_shared", "left", "asked"],
+                names=["host", "digest", "n_shared", "left", "asked"],
             )
 
-    return near.mapInArrow(align, "row bigint, host string, n_shared int, left array<int>, asked array<struct<at: int, key: bigint>>")
+    return near.mapInArrow(align, "host string, digest binary, n_shared int, left array<int>, asked array<struct<at: int, key: bigint>>")
 
 
 def _site_lines(ordered: DataFrame, asked: DataFrame) -> DataFrame:
@@ -307,20 +445,20 @@ def _site_lines(ordered: DataFrame, asked: DataFrame) -> DataFrame:
             at = pa.array(owner[hit])
             yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(flat[hit])], names=["host", "digest", "key"])
 
-    said = ordered.select("host", "digest", "keys").mapInArrow(few, "host string, digest bigint, key bigint").distinct()
-    sizes = ordered.select("host", "digest").distinct().groupBy("host").agg(F.count("*").alias("pages"))
+    said = ordered.select("host", "digest", "keys").mapInArrow(few, "host string, digest binary, key bigint").distinct()
+    sizes = ordered.groupBy("host").agg(F.count("*").alias("pages"))
     found = said.groupBy("host", "key").agg(F.count("*").alias("n")).where(F.col("n") >= SITE_PAGES)
     return found.join(sizes, "host").where(F.col("n") >= SITE_SHARE * F.col("pages")).select("host", "key")
 
 
 def _decisions(ordered: DataFrame) -> DataFrame:
-    """``row, n_shared, left, gone``: what goes of each page that has a different neighbour."""
+    """``host, digest, n_shared, left, gone``: what goes of each page, and of its mirrors, that has a different neighbour."""
     shared = written(_shared(_neighbours(ordered)), "shared")
-    asked = shared.select("row", "host", F.explode("asked").alias("_asked")).select("row", "host", "_asked.at", "_asked.key")
-    part = F.pmod("row", F.lit(PARTS)).alias("part")
+    asked = shared.select("host", "digest", F.explode("asked").alias("_asked")).select("host", "digest", "_asked.at", "_asked.key")
+    part = F.pmod(F.xxhash64("digest"), F.lit(PARTS)).alias("part")
     site = written(_site_lines(ordered, asked), "site").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(PARTS - 1).cast("long"))))
-    gone = asked.withColumn("part", part).join(site, ["host", "key", "part"]).groupBy("row").agg(F.collect_list("at").alias("gone"))
-    return shared.select("row", "n_shared", "left").join(gone, "row", "left")
+    gone = asked.withColumn("part", part).join(site, ["host", "key", "part"]).groupBy("host", "digest").agg(F.collect_list("at").alias("gone"))
+    return shared.select("host", "digest", "n_shared", "left").join(gone, ["host", "digest"], "left")
 
 
 def main_text(texts: list[str], own: list[bool], left: list[int] | None, gone: list[int] | None = None) -> str:
@@ -338,26 +476,26 @@ def extracted(pages: DataFrame, key: str = "page_id") -> DataFrame:
     """Per row ``key, url, text, n_chars, n_lines, n_shared``.
 
     A null or empty page has an empty text; a null url has an empty host and path like any without
-    ``://``.  Rows of equal url and html share one decision, and equal keys do not matter.  An
-    empty table gives no rows.
+    ``://``.  Pages of a host with equal text outside landmarks share one decision, and equal keys do
+    not matter.  An empty table gives no rows.
     """
     plain = pages.select(F.col(key).alias("_key"), "url", "html")
     decisions = written(_decisions(_ordered(_keyed(plain))), "decisions")
 
-    @F.pandas_udf("texts array<string>, own array<boolean>, n_lines int")
+    @F.pandas_udf("texts array<string>, own array<boolean>, n_lines int, digest binary")
     def read(html: pd.Series) -> pd.DataFrame:
         found = []
         for lines in map(page_lines, html):
             inside = [(text, kind == ARTICLE) for (_, _, text), kind in zip(lines, line_kinds(lines), strict=True) if kind != LANDMARK]
-            found.append(([t for t, _ in inside], [x for _, x in inside], len(lines)))
-        return pd.DataFrame(found, columns=["texts", "own", "n_lines"])
+            found.append(([t for t, _ in inside], [x for _, x in inside], len(lines), text_digest(lines)))
+        return pd.DataFrame(found, columns=["texts", "own", "n_lines", "digest"])
 
     @F.pandas_udf("string")
     def text_of(texts: pd.Series, own: pd.Series, left: pd.Series, gone: pd.Series) -> pd.Series:
         return pd.Series([main_text(*x) for x in zip(texts, own, left, gone, strict=True)], dtype=object)
 
-    pages = plain.select("_key", "url", _row_id().alias("row"), read("html").alias("_page")).select("_key", "url", "row", "_page.*")
-    met = pages.join(decisions, "row", "left").withColumn("text", text_of("texts", "own", "left", "gone"))
+    pages = url_parts(plain).select("_key", "url", "host", read("html").alias("_page")).select("_key", "url", "host", "_page.*")
+    met = pages.join(decisions, ["host", "digest"], "left").withColumn("text", text_of("texts", "own", "left", "gone"))
     return met.select(
         F.col("_key").alias(key), "url", "text", F.char_length("text").cast("long").alias("n_chars"), "n_lines", F.coalesce("n_shared", F.lit(0)).alias("n_shared")
     )
