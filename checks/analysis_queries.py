@@ -100,6 +100,24 @@ def navigation_steps(spark, sf):
     return navigation_trace(S.log(spark, sf)).select("event_id", "user_id", "event", "prev_event", "session_no", "step")
 
 
+@query("""
+WITH gaps AS (
+  SELECT event_id, user_id, event_type AS event, lag(user_id) OVER w AS prev_event, epoch_us(ts) - epoch_us(lag(ts) OVER w) AS gap_micros
+  FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id)),
+numbered AS (
+  SELECT *, coalesce(gap_micros > 1800000000, true) AS new_session FROM gaps),
+sessions AS (
+  SELECT n.*, CAST(sum(CAST(new_session AS INTEGER)) OVER (PARTITION BY event ORDER BY ts, n.event_id) AS BIGINT) AS session_no, ts
+  FROM numbered n JOIN events e USING (event_id))
+SELECT event_id, event, prev_event, gap_micros, session_no,
+       row_number() OVER (PARTITION BY event, session_no ORDER BY ts, event_id) AS step FROM sessions""")
+def steps_of_dense_keys(spark, sf):
+    """E3 with few keys, each with a large share of all rows in one bucket of time: cut by density."""
+    log = S.log(spark, sf).select("event_id", "event", "user_id", "ts")
+    rows = navigation_trace(log, user=["event"], event="user_id", bucket_seconds=1_000_000_000, most_rows=500)
+    return rows.select("event_id", "event", "prev_event", "gap_micros", "session_no", "step")
+
+
 @query(f"""
 WITH {S.GAPS}, nexts AS (
   SELECT event, CASE WHEN lead(new_session) OVER w THEN 0 ELSE coalesce(lead(gap_micros) OVER w, 0) END AS focus

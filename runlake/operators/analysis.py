@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import key_columns, try_number
-from .ordered import DAY_SECONDS, ordered_columns, session_columns, time_bucket
+from .ordered import BLOCK_ROWS, DAY_SECONDS, ordered_columns, session_columns, time_bucket
 
 SESSION_GAP_SECONDS = 1800
 
@@ -98,6 +98,7 @@ def with_previous_event(
     event: str = "event",
     gap_seconds: int = SESSION_GAP_SECONDS,
     bucket_seconds: int = DAY_SECONDS,
+    most_rows: int | None = BLOCK_ROWS,
 ) -> DataFrame:
     """Each event with the one before it: ``prev_event``, ``gap_micros``, ``new_session``.
 
@@ -105,7 +106,8 @@ def with_previous_event(
     ``gap_seconds``.  With a session id column, put it into ``user``.
     """
     rows = ordered_columns(
-        log, user, [ts, tie], time_bucket(F.col(ts), bucket_seconds), lag={"prev_event": event, "_prev_ts": ts}
+        log, user, [ts, tie], time_bucket(F.col(ts), bucket_seconds), lag={"prev_event": event, "_prev_ts": ts},
+        most_rows=most_rows,
     )
     gap = F.unix_micros(F.col(ts).cast("timestamp")) - F.unix_micros(F.col("_prev_ts").cast("timestamp"))
     rows = rows.withColumn("gap_micros", gap).drop("_prev_ts")
@@ -149,9 +151,10 @@ def navigation_trace(
     event: str = "event",
     gap_seconds: int = SESSION_GAP_SECONDS,
     bucket_seconds: int = DAY_SECONDS,
+    most_rows: int | None = BLOCK_ROWS,
 ) -> DataFrame:
     """Each event with its session number and step within the session, as rows."""
-    return session_columns(log, user, ts, tie, event, gap_seconds, bucket_seconds)
+    return session_columns(log, user, ts, tie, event, gap_seconds, bucket_seconds, most_rows)
 
 
 def attention(log: DataFrame, target: str = "event", user: Sequence[str] = ("user_id",), **options) -> DataFrame:
@@ -199,6 +202,7 @@ def snapshot_diff(
     tie: str,
     keys: Sequence[str] | None = None,
     bucket: Column | None = None,
+    most_rows: int | None = BLOCK_ROWS,
 ) -> DataFrame:
     """Per snapshot the state keys added, removed and changed since the one before.
 
@@ -206,7 +210,8 @@ def snapshot_diff(
     """
     keys = list(keys or key_columns("answers"))
     rows = ordered_columns(
-        history, keys, [ts, tie], time_bucket(F.col(ts)) if bucket is None else bucket, lag={"_before": state}
+        history, keys, [ts, tie], time_bucket(F.col(ts)) if bucket is None else bucket, lag={"_before": state},
+        most_rows=most_rows,
     )
 
     def fields(text: str) -> Column:

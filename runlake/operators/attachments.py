@@ -166,7 +166,8 @@ def pair_results(refs: DataFrame, results: DataFrame, block: int = BLOCK_ROWS) -
 
     def numbered(df: DataFrame) -> DataFrame:
         return ordered_columns(
-            df, key, ["position"], position_bucket(F.col("position"), block), sums={"k": F.lit(1).cast("bigint")}
+            df, key, ["position"], position_bucket(F.col("position"), block), sums={"k": F.lit(1).cast("bigint")},
+            most_rows=None,  # a block of positions has no more rows than positions
         )
 
     right = numbered(results.select(*key, "position", "url", "error")).drop("position")

@@ -5,6 +5,10 @@ into ordered buckets (a day, a block of positions), each bucket is one window gr
 what a bucket needs from the buckets before it is carried over from a small per-bucket
 summary.  The summary is pre-aggregated before its shuffle, the results are exactly those
 of the plain window, and a key that owns a third of all rows spreads over its buckets.
+
+How many rows a day of a key has is counted first.  Buckets of more than ``most_rows`` are cut
+further, at splitters drawn from their own rows, so groups stay bounded where a key has all its
+rows within a day, or a second.
 """
 
 from __future__ import annotations
@@ -15,8 +19,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import work_dir
+
 DAY_SECONDS = 86_400
 BLOCK_ROWS = 1_000_000
+# Rows drawn for each part that a dense bucket is cut into.
+DRAWS = 64
 
 
 def time_bucket(ts: Column, seconds: int = DAY_SECONDS) -> Column:
@@ -37,15 +45,18 @@ def ordered_columns(
     lag: Mapping[str, str] | None = None,
     sums: Mapping[str, Column] | None = None,
     maxes: Mapping[str, Column] | None = None,
+    most_rows: int | None = BLOCK_ROWS,
 ) -> DataFrame:
     """Add previous-row values, running sums and running maxima per key.
 
     ``bucket`` must never decrease along ``order``, and ``order`` must be total within a
-    key.  ``lag`` maps a new column to the column whose previous value it takes; ``sums``
+    key.  Buckets of more than ``most_rows`` rows are cut further, which takes a count of rows
+    first; None leaves them as they are.  ``lag`` maps a new column to the column whose previous value it takes; ``sums``
     and ``maxes`` map a new column to the expression to accumulate, current row included.
     """
     lag, sums, maxes = dict(lag or {}), dict(sums or {}), dict(maxes or {})
-    base, group = _grouped(df, keys, bucket)
+    base, names, parts = _grouped(df, keys, bucket, order, most_rows)
+    group = [*names, *parts]
     within = Window.partitionBy(*group).orderBy(*order)
     upto = within.rowsBetween(Window.unboundedPreceding, 0)
 
@@ -63,7 +74,7 @@ def ordered_columns(
         summary.append(F.max(value).alias(f"_of_{name}"))
     rows = base.withColumns(local)
 
-    chain, before = _chain(group)
+    chain, before = _chain(names, parts)
     carried = [F.col(c) for c in group]
     if lag:
         carried.append(F.lag("_tail").over(chain).alias("_carry"))
@@ -83,7 +94,8 @@ def ordered_columns(
 
 
 def session_columns(
-    df: DataFrame, keys: Sequence[str], ts: str, tie: str, event: str, gap_seconds: int, bucket_seconds: int = DAY_SECONDS
+    df: DataFrame, keys: Sequence[str], ts: str, tie: str, event: str, gap_seconds: int, bucket_seconds: int = DAY_SECONDS,
+    most_rows: int | None = BLOCK_ROWS,
 ) -> DataFrame:
     """Add ``prev_event, gap_micros, new_session, session_no, step`` per key in one pass.
 
@@ -91,10 +103,11 @@ def session_columns(
     Whether the first row of a bucket starts a session, how many sessions and rows came
     before it and where the session it continues began all follow from the bucket
     summaries.  The rows are shuffled once; the summaries come from a second, narrow read
-    of key, time and event only.
+    of key, time and event only.  ``most_rows`` is as in :func:`ordered_columns`.
     """
     limit = gap_seconds * 1_000_000
-    base, group = _grouped(df, keys, time_bucket(F.col(ts), bucket_seconds))
+    base, names, parts = _grouped(df, keys, time_bucket(F.col(ts), bucket_seconds), [ts, tie], most_rows)
+    group = [*names, *parts]
     base = base.withColumn("_at", F.unix_micros(F.col(ts).cast("timestamp")))
     within = Window.partitionBy(*group).orderBy(ts, tie)
     upto = within.rowsBetween(Window.unboundedPreceding, 0)
@@ -107,7 +120,7 @@ def session_columns(
         "_start": F.max(F.when(F.col("_new"), F.col("_n"))).over(upto),
     })
 
-    chain, before = _chain(group)
+    chain, before = _chain(names, parts)
     heads = rows.groupBy(*group).agg(
         F.min("_at").alias("_first"), F.max_by(here, F.struct(ts, tie)).alias("_last"), F.max("_n").alias("_rows"),
         F.max("_news").alias("_news"), F.max("_start").alias("_start"),
@@ -137,8 +150,10 @@ def session_columns(
     )
 
 
-def _grouped(df: DataFrame, keys: Sequence[str], bucket: Column) -> tuple[DataFrame, list[str]]:
-    """The frame with never-NULL columns for key and bucket, and their names, bucket last.
+def _grouped(
+    df: DataFrame, keys: Sequence[str], bucket: Column, order: Sequence[str], most_rows: int | None
+) -> tuple[DataFrame, list[str], list[str]]:
+    """The frame with never-NULL columns for key and bucket, and the names of both.
 
     Rows and summaries join by plain equality on the very columns the rows are already
     partitioned and sorted by, so the rows are not shuffled a second time; a NULL key is a
@@ -155,11 +170,55 @@ def _grouped(df: DataFrame, keys: Sequence[str], bucket: Column) -> tuple[DataFr
             else:
                 value = F.coalesce(value.cast("string"), F.lit(""))
         added[f"_key{i}"] = value
-    added["_bucket"] = F.coalesce(bucket, F.lit(-1))
-    return df.withColumns(added), list(added)
+    names = list(added)
+    base = df.withColumns(added).withColumn("_bucket", F.coalesce(bucket, F.lit(-1)))
+    splits = None if most_rows is None else _splitters(base, [*names, "_bucket"], order, most_rows)
+    if splits is None:
+        return base, names, ["_bucket"]
+    base = base.join(splits, [*names, "_bucket"], "left").withColumn("_part", _place(F.col("_splits"), F.struct(*order)))
+    return base.drop("_splits"), names, ["_bucket", "_part"]
+
+
+def _splitters(base: DataFrame, group: Sequence[str], order: Sequence[str], most_rows: int) -> DataFrame | None:
+    """``_splits`` for each group of more than ``most_rows`` rows: the order values that cut it into parts of about as many.
+
+    Some ``DRAWS`` rows a part are drawn by a hash of their order values, so reruns cut alike; rows of
+    equal order values stay together.  One task sorts the drawn rows of a group, a 15,000th of it at
+    the usual size of parts.  Both tables are written, so their sizes are known when the rows meet them.
+    """
+    spark = base.sparkSession
+    folder = work_dir(spark, "dense")
+    base.groupBy(*group).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > most_rows).write.parquet(f"{folder}/groups")
+    dense = spark.read.parquet(f"{folder}/groups")
+    if dense.isEmpty():
+        return None
+    one_in = max(1, most_rows // DRAWS)
+    drawn = base.where(F.pmod(F.xxhash64(*order), F.lit(one_in)) == 0).select(*group, F.struct(*order).alias("_at"))
+    drawn = drawn.join(dense.select(*group), list(group), "left_semi")
+    drawn = drawn.withColumn("_n", F.row_number().over(Window.partitionBy(*group).orderBy("_at")))
+    cuts = drawn.where(F.col("_n") % max(1, most_rows // one_in) == 0)
+    cuts.groupBy(*group).agg(F.sort_array(F.collect_list("_at")).alias("_splits")).write.parquet(f"{folder}/splits")
+    return spark.read.parquet(f"{folder}/splits")
+
+
+def _place(splits: Column, at: Column) -> Column:
+    """How many of the sorted ``splits`` are not after ``at``, by halving; 0 without any."""
+
+    def halve(found: Column, _: Column) -> Column:
+        low, high = found["low"], found["high"]
+        middle = F.shiftright(low + high, 1)
+        open_ = low < high
+        upper = open_ & (F.get(splits, middle) <= at)
+        return F.struct(
+            F.when(upper, middle + 1).otherwise(low).alias("low"), F.when(open_ & ~upper, middle).otherwise(high).alias("high")
+        )
+
+    steps = F.sequence(F.lit(0), F.ceil(F.log2(F.size(splits) + 1)).cast("int"))
+    whole = F.struct(F.lit(0).alias("low"), F.size(splits).alias("high"))
+    return F.when(splits.isNull(), 0).otherwise(F.aggregate(steps, whole, halve)["low"])
 
 
-def _chain(group: Sequence[str]):
+def _chain(keys: Sequence[str], parts: Sequence[str]):
     """The buckets of a key in order, and all buckets before the current one."""
-    chain = Window.partitionBy(*group[:-1]).orderBy(group[-1])
+    chain = Window.partitionBy(*keys).orderBy(*parts)
     return chain, chain.rowsBetween(Window.unboundedPreceding, -1)

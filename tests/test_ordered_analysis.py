@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from runlake.operators import ordered
 from runlake.operators import (
     answer_distribution, answer_totals, attention, compare_datasets, correct_counts, distinct_learners, event_flags_per_user,
     last_n_snapshots, navigation_trace, navigation_transitions, ordered_columns, position_bucket, responses_per_question,
@@ -54,6 +55,55 @@ def test_ordered_columns_equal_plain_windows(spark, log):
         assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
 
 
+@pytest.fixture(scope="module")
+def dense(spark):
+    """One key has most rows, all on one day and half of them in one second; the others have few, or no time."""
+    rng = random.Random(11)
+    rows = [(i, 1, rng.choice("abc"), START + timedelta(seconds=7 if i % 2 else rng.randrange(40_000))) for i in range(3000)]
+    rows += [(i, rng.choice([2, None]), "d", None if i % 9 == 0 else START + timedelta(days=rng.randrange(9))) for i in range(3000, 3100)]
+    rng.shuffle(rows)
+    return spark.createDataFrame(rows, "event_id bigint, user_id bigint, event string, ts timestamp").repartition(4).cache()
+
+
+def test_dense_buckets_are_cut_to_a_bound(dense):
+    day = F.coalesce(F.to_date("ts"), F.lit("1970-01-01").cast("date"))
+    for most in (40, 300):
+        base, names, parts = ordered._grouped(dense, ["user_id"], ordered.time_bucket(F.col("ts")), ["ts", "event_id"], most)
+        sizes = [r["n"] for r in base.groupBy(*names, *parts).agg(F.count("*").alias("n")).collect()]
+        assert sum(sizes) == 3100 and max(sizes) <= 2 * most and len(sizes) >= 3000 // (2 * most)
+        # Parts are ranges of the order.
+        ends = base.where("user_id = 1").groupBy(*names, *parts).agg(F.min(F.struct("ts", "event_id")).alias("a"), F.max(F.struct("ts", "event_id")).alias("b"))
+        ends = [(tuple(r["a"]), tuple(r["b"])) for r in ends.orderBy(*parts).collect()]
+        assert all(b < c for (_, b), (c, _) in zip(ends, ends[1:], strict=False))
+    base, _, parts = ordered._grouped(dense, ["user_id"], ordered.time_bucket(F.col("ts")), ["ts", "event_id"], 10_000)
+    assert parts == ["_bucket"] and "Join" not in base._jdf.queryExecution().toString()
+    assert dense.groupBy("user_id", day).count().agg(F.max("count")).first()[0] == 3000
+
+
+def test_dense_buckets_change_no_result(dense):
+    order, value = ["ts", "event_id"], F.col("event_id") % 7
+    w = Window.partitionBy("user_id").orderBy(*order)
+    up = w.rowsBetween(Window.unboundedPreceding, 0)
+    want = dense.select("*", F.lag("event").over(w).alias("p"), F.sum(value).over(up).alias("s"), F.max(value).over(up).alias("m"))
+    got = ordered_columns(dense, ["user_id"], order, ordered.time_bucket(F.col("ts")), lag={"p": "event"}, sums={"s": value}, maxes={"m": value}, most_rows=64)
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+    timed = dense.where("ts IS NOT NULL")
+    for ask in (time_on_task, navigation_transitions, navigation_trace, attention):
+        plain, cut = (sorted(map(repr, ask(timed, most_rows=most).collect())) for most in (None, 64))
+        assert plain == cut
+    states = dense.withColumn("state", F.format_string('{"%s":%d}', "event", value))
+    plain, cut = (sorted(map(repr, snapshot_diff(states, "state", "ts", "event_id", keys=["user_id"], most_rows=m).collect())) for m in (None, 64))
+    assert plain == cut
+
+
+def test_places_among_splitters(spark):
+    rng = random.Random(2)
+    rows = [(sorted(rng.sample(range(60), rng.randrange(20))) if i % 10 else None, rng.randrange(-2, 62)) for i in range(500)]
+    df = spark.createDataFrame(rows, "s array<int>, at int")
+    got = df.select("s", "at", ordered._place(F.col("s"), F.col("at")).alias("place")).collect()
+    assert all(r.place == sum(x <= r.at for x in r.s or []) for r in got)
+
+
 def test_ordered_columns_keep_null_lag_values(spark):
     df = spark.createDataFrame([(1, 1, "a"), (1, 2, None), (1, 11, "c"), (1, 12, "d")], "k int, pos bigint, v string")
     got = ordered_columns(df, ["k"], ["pos"], position_bucket(F.col("pos"), 10), lag={"p": "v"})
