@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .common import Memo, hash60
 from .profiles import COUNTS, profile, profiled
-from .weak import learn, pattern, posterior_of, vote
+from .weak import BAD, Bounds, learn, pattern, posterior_of, vote
 
 SLOTS = 1 << 14
 # The only bounded sample: the documents of lowest hash, about this many, train the scorer.
@@ -27,6 +27,9 @@ TRAIN_ROWS = 12_000
 KEEP_FROM = 0.5
 # Shares of a shorter text say nothing: all labellers abstain.
 LEAST_VOTED = 20
+# The labellers see different kinds of junk, so a good vote must not clear junk of a kind that its labeller does not see.
+# With free bounds the label model takes the largest kinds for all of junk and calls the others good.
+BOUNDS = Bounds(0.98, 0.99, 0.5, starts=(BAD,))
 STEPS, BATCH, RATE, DECAY = 600, 256, 0.3, 1e-5
 
 
@@ -127,7 +130,7 @@ def fit(docs: DataFrame, text: str = "text", key: str = "doc_id", train_rows: in
     p = F.col("_profile")
     drawn = hash60(F.concat(F.lit("train:"), F.coalesce(F.col(key).cast("string"), F.col(text), F.lit(""))))
     voted = docs.select(profiled(text).alias("_profile")).select(pattern(labellers(p)).alias("pattern"))
-    _, posteriors = learn(voted, len(labellers(p)))
+    _, posteriors = learn(voted, len(labellers(p)), BOUNDS)
     part = min(1.0, train_rows / max(docs.count(), 1))
 
     @F.pandas_udf("slots array<int>, vals array<float>")

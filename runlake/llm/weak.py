@@ -16,12 +16,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MOST_VOTERS = 9
-# Where the estimates start, and what they are drawn to by PULL documents: junk has many kinds, so a
-# voter finds only some of it, but rarely rejects a good document.
-START_PRIOR, START_GOOD, START_BAD, PULL = 0.8, 0.97, 0.4, 4.0
-# Bounds: a voter seldom rejects a good document; one bad vote does not outweigh all others; and a good
-# vote does not clear junk of a kind that the voter does not see.
-LEAST_SURE, MOST_SURE, MOST_SEEN = 0.98, 0.99, 0.5
+# What the estimates are drawn to, by as many documents as PULL: most documents are good, a voter is mostly
+# right on them, and finds some kinds of junk only.
+PRIOR, GOOD, BAD, PULL = 0.8, 0.97, 0.4, 4.0
+
+
+@dataclass(frozen=True)
+class Bounds:
+    """Where the estimates may lie, and how often voters are right on bad documents where the search starts.
+
+    Without bounds of its own a voter is only no worse on good documents than a coin, and never quite sure.
+    """
+
+    least_on_good: float = 0.5
+    most_on_good: float = 0.999
+    most_on_bad: float = 0.999
+    starts: tuple[float, ...] = (BAD, 0.6, 0.75, 0.9)
 
 
 @dataclass(frozen=True)
@@ -38,29 +48,48 @@ class LabelModel:
         return 1 / (1 + np.exp(-np.clip(odds, -500, 500)))
 
 
-def fit_label_model(votes: np.ndarray, counts: np.ndarray, rounds: int = 200) -> LabelModel:
-    """EM over vote patterns and their numbers; without any pattern the start values stay."""
+def fit_label_model(votes: np.ndarray, counts: np.ndarray, bounds: Bounds = Bounds(), rounds: int = 200) -> LabelModel:
+    """EM over vote patterns and their numbers; without any pattern what the estimates are drawn to stays.
+
+    Of several starts the one counts that explains the votes best.  A voter whose bad vote would speak
+    for a document says nothing (``right_on_good + right_on_bad`` is 1 at least), so good and bad do
+    not change places.
+    """
     k = votes.shape[1]
-    model = LabelModel(START_PRIOR, (START_GOOD,) * k, (START_BAD,) * k)
     if not counts.sum():
-        return model
+        return LabelModel(PRIOR, (GOOD,) * k, (BAD,) * k)
+    found = [_climbed(LabelModel(PRIOR, (GOOD,) * k, (bad,) * k), votes, counts, bounds, rounds) for bad in bounds.starts]
+    return max(found, key=lambda model: _explained(model, votes, counts))
+
+
+def _climbed(model: LabelModel, votes: np.ndarray, counts: np.ndarray, bounds: Bounds, rounds: int) -> LabelModel:
+    """The model that EM reaches from ``model``."""
+    cast, good_vote, bad_vote = votes != 0, votes > 0, votes < 0
     for _ in range(rounds):
         p = model.posterior(votes)
         good, bad = counts * p, counts * (1 - p)
-        cast = votes != 0
-        right_good = ((votes > 0) * good[:, None]).sum(0) + PULL * START_GOOD
-        right_bad = ((votes < 0) * bad[:, None]).sum(0) + PULL * START_BAD
-        new = LabelModel(
-            float(np.clip((good.sum() + PULL * START_PRIOR) / (counts.sum() + PULL), 0.02, 0.98)),
-            tuple(np.clip(right_good / ((cast * good[:, None]).sum(0) + PULL), LEAST_SURE, MOST_SURE).tolist()),
-            tuple(np.clip(right_bad / ((cast * bad[:, None]).sum(0) + PULL), 0.02, MOST_SEEN).tolist()),
-        )
+        right_good = (good @ good_vote + PULL * GOOD) / (good @ cast + PULL)
+        right_bad = (bad @ bad_vote + PULL * BAD) / (bad @ cast + PULL)
+        right_good = np.clip(right_good, bounds.least_on_good, bounds.most_on_good)
+        right_bad = np.clip(right_bad, np.minimum(1 - right_good, bounds.most_on_bad), bounds.most_on_bad)
+        prior = float(np.clip((good.sum() + PULL * PRIOR) / (counts.sum() + PULL), 0.001, 0.999))
+        new = LabelModel(prior, tuple(right_good.tolist()), tuple(right_bad.tolist()))
         if np.allclose(new.right_on_good + new.right_on_bad, model.right_on_good + model.right_on_bad, atol=1e-7):
             return new
         model = new
     return model
 
 
+def _explained(model: LabelModel, votes: np.ndarray, counts: np.ndarray) -> float:
+    """Log-likelihood of the votes, and of the documents that the estimates are drawn to."""
+    good, bad = np.array(model.right_on_good), np.array(model.right_on_bad)
+    as_good = np.log(model.prior) + ((votes > 0) * np.log(good) + (votes < 0) * np.log(1 - good)).sum(1)
+    as_bad = np.log(1 - model.prior) + ((votes > 0) * np.log(1 - bad) + (votes < 0) * np.log(bad)).sum(1)
+    drawn = PRIOR * np.log(model.prior) + (1 - PRIOR) * np.log(1 - model.prior)
+    drawn += (GOOD * np.log(good) + (1 - GOOD) * np.log(1 - good) + BAD * np.log(bad) + (1 - BAD) * np.log(1 - bad)).sum()
+    return float(counts @ np.logaddexp(as_good, as_bad) + PULL * drawn)
+
+
 def pattern(votes: list[Column]) -> Column:
     """Votes as one number to base 3."""
     if len(votes) > MOST_VOTERS:
@@ -77,11 +106,11 @@ def vote(value: Column, good: Column, bad: Column) -> Column:
     return F.when(value.isNull(), 0).when(bad, -1).when(good, 1).otherwise(0)
 
 
-def learn(patterns: DataFrame, k: int) -> tuple[LabelModel, list[float]]:
+def learn(patterns: DataFrame, k: int, bounds: Bounds = Bounds()) -> tuple[LabelModel, list[float]]:
     """Fit on a frame with a ``pattern`` column; also the posterior of every possible pattern, by its number."""
     found = patterns.groupBy("pattern").agg(F.count("*").alias("n")).collect()
     numbers = np.array([r["pattern"] for r in found], np.int64)
-    model = fit_label_model(unpacked(numbers, k), np.array([r["n"] for r in found], float))
+    model = fit_label_model(unpacked(numbers, k), np.array([r["n"] for r in found], float), bounds)
     return model, model.posterior(unpacked(np.arange(3**k), k)).tolist()
 
 

@@ -55,6 +55,53 @@ def test_shapes():
     assert quality_classifier.shapes("") == quality_classifier.shapes(" \n") == []
 
 
+def drawn_votes(truth, right_good, right_bad, cast, seed):
+    r = np.random.default_rng(seed)
+    n = len(truth)
+    votes = np.stack([np.where(r.random(n) < np.where(truth, g, b), np.where(truth, 1, -1), np.where(truth, -1, 1)) for g, b in zip(right_good, right_bad, strict=True)], 1)
+    votes[r.random(votes.shape) >= cast] = 0
+    return votes
+
+
+@pytest.mark.parametrize(("right_good", "right_bad", "prior"), [
+    ((0.99, 0.98, 0.70, 0.95), (0.90, 0.85, 0.80, 0.60), 0.8),
+    ((0.95, 0.90, 0.85, 0.99, 0.55), (0.90, 0.80, 0.75, 0.60, 0.55), 0.7),
+    ((0.97, 0.98, 0.60, 0.90, 0.95), (0.70, 0.95, 0.60, 0.75, 0.55), 0.9),
+])
+def test_label_model_finds_careless_voters(right_good, right_bad, prior):
+    truth = np.random.default_rng(4).random(40_000) < prior
+    votes = drawn_votes(truth, right_good, right_bad, 0.8, 5)
+    patterns, counts = np.unique(votes, axis=0, return_counts=True)
+    model = weak.fit_label_model(patterns, counts.astype(float))
+    assert model.prior == pytest.approx(prior, abs=0.05)
+    assert model.right_on_good == pytest.approx(right_good, abs=0.05) and model.right_on_bad == pytest.approx(right_bad, abs=0.05)
+    best = weak.LabelModel(prior, right_good, right_bad).posterior(votes) >= 0.5
+    found = model.posterior(votes) >= 0.5
+    assert (truth & ~found).sum() < (truth & ~best).sum() + 0.01 * truth.sum() and (found == truth).mean() > (best == truth).mean() - 0.005
+
+
+def test_label_model_climbs_and_keeps_its_bounds():
+    truth = np.random.default_rng(6).random(5_000) < 0.8
+    patterns, counts = np.unique(drawn_votes(truth, (0.9, 0.8, 0.95), (0.8, 0.7, 0.6), 0.9, 7), axis=0, return_counts=True)
+    counts = counts.astype(float)
+    start = weak.LabelModel(0.8, (0.97,) * 3, (0.6,) * 3)
+    steps = [weak._explained(weak._climbed(start, patterns, counts, weak.Bounds(), rounds), patterns, counts) for rounds in (1, 2, 5, 20, 100)]
+    assert steps == sorted(steps)
+    # The posterior by definition.
+    model = weak.fit_label_model(patterns, counts)
+    for votes, p in zip(patterns, model.posterior(patterns), strict=True):
+        good, bad = model.prior, 1 - model.prior
+        for v, g, b in zip(votes, model.right_on_good, model.right_on_bad, strict=True):
+            good, bad = good * (g if v > 0 else 1 - g if v < 0 else 1), bad * (1 - b if v > 0 else b if v < 0 else 1)
+        assert p == pytest.approx(good / (good + bad))
+    bounded = weak.fit_label_model(patterns, counts, weak.Bounds(0.98, 0.99, 0.5))
+    assert min(bounded.right_on_good) >= 0.98 and max(bounded.right_on_good) <= 0.99 and max(bounded.right_on_bad) <= 0.5
+    # A voter that is always wrong is no voter, and does not turn good and bad around.
+    turned = patterns.copy()
+    turned[:, 2] *= -1
+    assert weak.fit_label_model(turned, counts).right_on_good[2] >= 0.5
+
+
 def test_label_model_finds_accuracies():
     r = np.random.default_rng(1)
     truth = r.random(20_000) < 0.8
@@ -67,11 +114,32 @@ def test_label_model_finds_accuracies():
     assert model.right_on_good == pytest.approx(right_good, abs=0.04) and model.right_on_bad == pytest.approx(right_bad, abs=0.1)
     best = weak.LabelModel(0.8, tuple(right_good), tuple(right_bad)).posterior(votes)
     assert ((model.posterior(votes) >= 0.5) == truth).mean() > ((best >= 0.5) == truth).mean() - 0.01
-    assert weak.fit_label_model(np.zeros((0, 3), int), np.zeros(0)).prior == weak.START_PRIOR
+    assert weak.fit_label_model(np.zeros((0, 3), int), np.zeros(0)).prior == weak.PRIOR
     numbers = np.arange(27)
     assert (((weak.unpacked(numbers, 3) + 1) * [9, 3, 1]).sum(1) == numbers).all()
 
 
+def plain_votes(text):
+    p = dict(zip(COUNTS, profile(text), strict=True))
+    if p["n_words"] < 20:
+        return [0] * 9
+
+    def one(part, whole, good, bad):
+        if not p[whole]:
+            return 0
+        share = p[part] / p[whole]
+        return -1 if bad(share) else int(good(share))
+
+    return [
+        one("n_symbols", "n_words", lambda x: x < 0.02, lambda x: x > 0.2), one("n_repeat_words", "n_words", lambda x: x < 0.15, lambda x: x > 0.4),
+        one("n_dup_lines", "n_lines", lambda x: x < 0.1, lambda x: x > 0.3) if p["n_lines"] >= 4 else 0,
+        one("word_chars", "n_words", lambda x: 3.5 <= x <= 9, lambda x: x < 2.5 or x > 14),
+        one("n_letters", "word_chars", lambda x: x > 0.9, lambda x: x < 0.75), one("n_upper", "n_letters", lambda x: x < 0.12, lambda x: x > 0.4),
+        one("n_echoes", "n_words", lambda x: x < 0.05, lambda x: x > 0.2), one("n_letterless", "n_words", lambda x: x < 0.08, lambda x: x > 0.25),
+        one("n_marks", "word_chars", lambda x: x < 0.08, lambda x: x > 0.15),
+    ]
+
+
 def test_rules_tell_junk_from_prose(labelled):
     found = {r["doc_id"]: r for r in quality_rules.judged(labelled).collect()}
     for i, text, quality in labelled.collect():
@@ -82,7 +150,14 @@ def test_rules_tell_junk_from_prose(labelled):
         assert r["kept"] == bool(quality), (i, text[:60])
     kept, model = quality_rules.kept(labelled)
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(i for i, r in found.items() if r["kept"])
-    assert min(model.right_on_good) >= weak.LEAST_SURE
+    # The posteriors by definition, from votes written out here.
+    texts = [(i, text) for i, text, _ in labelled.collect()]
+    votes = np.array([plain_votes(text) for _, text in texts])
+    patterns, counts = np.unique(votes, axis=0, return_counts=True)
+    plain = weak.fit_label_model(patterns, counts.astype(float))
+    assert plain.right_on_good == pytest.approx(model.right_on_good, abs=1e-6) and plain.right_on_bad == pytest.approx(model.right_on_bad, abs=1e-6)
+    for (i, _), p in zip(texts, plain.posterior(votes), strict=True):
+        assert found[i]["posterior"] == pytest.approx(p, abs=1e-6)
 
 
 def test_one_failed_rule_need_not_reject(ready, prose):
