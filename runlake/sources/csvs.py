@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.inference import spark_type
+from .csv_splits import split_cells
 
 # The RFC4180 dialect of report files.
 DIALECT = {"delim": ",", "quote": '"', "escape": '"'}
@@ -33,10 +34,16 @@ def has_multiline_cells(spark: SparkSession, path: str | list[str], quote: str =
 
 
 def read_cells(spark: SparkSession, path: str, dialect: Mapping[str, str] = DIALECT, multiline: bool | None = None) -> DataFrame:
-    """All cells of a CSV as text, named by its header."""
+    """All cells of a CSV as text, named by its header.
+
+    A CSV with line breaks in cells is read in splits too, unless its quotes do not tell where
+    records end (see :mod:`.csv_splits`); then a file is one task.
+    """
     if multiline is None:
         multiline = has_multiline_cells(spark, path, dialect["quote"])
-    return _reader(spark, dialect, multiline).csv(path)
+    whole = _reader(spark, dialect, multiline).csv(path)
+    found = split_cells(spark, path, whole.columns, dialect) if multiline else None
+    return whole if found is None else found
 
 
 def failed_casts(
@@ -89,4 +96,5 @@ def _cells(
     schema = T.StructType([T.StructField(c, T.StringType()) for c in names])
     if multiline is None:
         multiline = has_multiline_cells(spark, path, dialect["quote"])
-    return _reader(spark, dialect, multiline).schema(schema).csv(path)
+    found = split_cells(spark, path, names, dialect) if multiline else None
+    return _reader(spark, dialect, multiline).schema(schema).csv(path) if found is None else found

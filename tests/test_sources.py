@@ -1,4 +1,6 @@
+import csv
 import json
+import random
 from datetime import date, datetime, timezone
 from decimal import Decimal
 
@@ -6,9 +8,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from runlake.sources import (
-    append_records, collect_capped, has_multiline_cells, json_friendly, list_files, read_cells, read_membership, read_record_lines,
-    read_segments, read_store, read_text_files, scan_report_csv, with_identity, write_membership, write_result, write_store,
+    append_records, collect_capped, csv_lines, csv_records, has_multiline_cells, json_friendly, list_files, read_cells, read_membership, read_record_lines,
+    read_segments, read_store, read_text_files, scan_report_csv, split_cells, with_identity, write_membership, write_result, write_store,
 )
+from runlake.sources.csvs import DIALECT
 
 
 def test_scan_csv_by_position(spark, tmp_path, rows):
@@ -30,6 +33,72 @@ def test_line_breaks_in_cells(spark, tmp_path, rows):
     assert rows(read_cells(spark, str(g))) == [('x "y"', "1")]
 
 
+@pytest.fixture
+def small_splits(spark):
+    """A way to set how many bytes a split has; set back afterwards."""
+    names = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    before = {n: spark.conf.get(n) for n in names}
+
+    def set_size(size):
+        spark.conf.set(names[0], str(size))
+        spark.conf.set(names[1], "1")
+
+    yield set_size
+    for name, value in before.items():
+        spark.conf.set(name, value)
+
+
+@pytest.mark.parametrize(("end", "size"), [("\n", 1000), ("\n", 100), ("\r\n", 1000)])
+def test_line_breaks_in_splits(spark, tmp_path, rows, small_splits, end, size):
+    r, want, paths = random.Random(1), [], [str(tmp_path / f"{i}.csv") for i in range(2)]
+    pieces = ["a", "", "x\ny", "\n\n", 'q"q', '"', "\n", ",", 'é\n"",', "plain text " * 5, "\r\nz", " s "]
+    for i, path in enumerate(paths):
+        with open(path, "w", newline="") as out:
+            write = csv.writer(out, lineterminator=end)
+            write.writerow(["id", "t", "u"])
+            for k in range(100):
+                out.write(end if k == 50 else "")  # an empty line is no record
+                row = [str(100 * i + k), "".join(r.choice(pieces) for _ in range(3)), r.choice(pieces)]
+                if k == 70:
+                    row[1] = "one\nlong\n" * 300  # over many splits
+                write.writerow(row)
+                want.append(tuple(x or None for x in row))
+    small_splits(size)
+    assert csv_lines(spark, paths).rdd.getNumPartitions() > 10
+    assert rows(split_cells(spark, paths, ["id", "t", "u"], DIALECT)) == rows(read_cells(spark, paths)) == sorted(want, key=repr)
+    scanned = scan_report_csv(spark, paths, {"n": "BIGINT", "t": "VARCHAR", "u": "VARCHAR", "none": "VARCHAR"}, ["n", "t", "u"], 3)
+    assert rows(scanned) == sorted(((3, int(n), t, u, None) for n, t, u in want), key=repr)
+
+
+def test_records_and_their_places(spark, tmp_path, small_splits):
+    (tmp_path / "r.csv").write_text('a,b\n"x\n\ny",1\n\n"u",2\n"open,3\nmore')
+    for size in (1000, 3):
+        small_splits(size)
+        found = csv_records(csv_lines(spark, str(tmp_path / "r.csv"))).orderBy("split", "at").collect()
+        assert [(r.record, r.closed) for r in found] == [("a,b", True), ('"x\n\ny",1', True), ("", True), ('"u",2', True), ('"open,3\nmore', False)]
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [('a,b\nx"y,1\n"u\nv",2\n', [("u\nv", "2"), ('x"y', "1")]), ('a,b\n"u\nv",2\n"w,3\n', [("u\nv", "2"), ("w,3\n", None)])],
+)
+def test_quotes_that_do_not_tell_are_read_from_the_start(spark, tmp_path, rows, text, want):
+    (tmp_path / "r.csv").write_text(text)
+    assert split_cells(spark, str(tmp_path / "r.csv"), ["a", "b"], DIALECT) is None
+    assert rows(read_cells(spark, str(tmp_path / "r.csv"))) == want
+
+
+def test_header_without_records_and_other_escapes(spark, tmp_path, rows):
+    (tmp_path / "h.csv").write_text('"a\nb",c\n')
+    (tmp_path / "e.csv").write_text('a;b\n"x\ny";1\n')
+    (tmp_path / "none.csv").write_text("")
+    assert rows(read_cells(spark, str(tmp_path / "h.csv"))) == [] and read_cells(spark, str(tmp_path / "h.csv")).columns == ["a\nb", "c"]
+    assert rows(split_cells(spark, str(tmp_path / "none.csv"), ["a"], DIALECT)) == []
+    semicolons = {"delim": ";", "quote": '"', "escape": '"'}
+    assert rows(split_cells(spark, str(tmp_path / "e.csv"), ["a", "b"], semicolons)) == [("x\ny", "1")]
+    assert split_cells(spark, str(tmp_path / "e.csv"), ["a", "b"], semicolons | {"escape": "\\"}) is None
+
+
 def test_records_append_and_position(spark, tmp_path):
     pages = tmp_path / "pages"
     pages.mkdir()
