@@ -45,15 +45,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions import key_columns, report_type_from_slug
+from ..functions import is_text_content_type, key_columns, report_type_from_slug
 from ..operators import (
     attachment_index, attachment_refs, carry_provenance, dataset_listing, dataset_summary, dataset_totals, dedup_refs,
     describe_csv, double_decode, drift_report, membership_of, merge_store,
     newest_committed, normalize_identity, pending_refs, recover_report_type, scan_run_attachments, unreferenced_files,
 )
 from ..sources import (
-    append_batches, append_records, failed_casts, has_multiline_cells, list_files, read_batches, read_cells, read_membership,
-    read_text_files, scan_report_csv, type_records, typed_empty, with_identity, write_membership,
+    append_batches, append_records, arrow_opens, failed_casts, has_multiline_cells, list_files, read_batches, read_cells, read_membership,
+    read_chosen_texts, read_text_files, scan_report_csv, type_records, typed_empty, with_identity, write_membership,
 )
 from ..sources.buckets import BUCKET, NONE, bucket_of, column_kinds, fitted, in_buckets, write_buckets, write_kinds
 from ..sources.storage import Storage
@@ -523,6 +523,16 @@ class Dataset:
         except AnalysisException:
             return typed_empty(self.spark, {"file": "VARCHAR", "path": "VARCHAR", "size": "BIGINT"})
 
+    def _texts(self, index: DataFrame) -> DataFrame | None:
+        """Texts of the files that the index calls a state or a text; no other file is opened where Arrow can open them."""
+        folder = f"{self.root}/attachments"
+        if not self.storage.exists(folder):
+            return None
+        if not arrow_opens(self.root):
+            return read_text_files(self.spark, folder)
+        wanted = index.where(F.col("state") | is_text_content_type(F.col("content_type"))).select("file").distinct()
+        return read_chosen_texts(self._attachments().join(wanted, "file", "left_semi"))
+
     def pending_attachments(self, run_id: int) -> DataFrame:
         """References of a run that still have to be fetched, once per file."""
         refs = dedup_refs(self.attachment_refs(run_id))
@@ -548,6 +558,7 @@ class Dataset:
         entries = self._entries()[1]
         reports = [e for e in entries if e["kind"] == "download" and e["type"] in ("report", "report_job") and e["files"] and e["columns"]]
         index = next((e for e in entries if e["kind"] == "attachments"), None)
+        attachments = None if index is None else self.spark.read.parquet(f"{self.root}/{index['path']}")
         return DatasetFrames(
             name=next(e["name"] for e in entries if e["kind"] == "dataset"),
             stores={t: s for t in ("answers", "history") if (s := self._typed(entries, t)) is not None},
@@ -555,8 +566,8 @@ class Dataset:
             member_runs=sorted((e["type"], e["run_id"]) for e in entries if e["kind"] == "membership"),
             downloads=self.downloads(),
             reports=[self._report(e) for e in reports],
-            attachments=None if index is None else self.spark.read.parquet(f"{self.root}/{index['path']}"),
-            texts=None if index is None or not self.storage.exists(f"{self.root}/attachments") else read_text_files(self.spark, f"{self.root}/attachments"),
+            attachments=attachments,
+            texts=None if attachments is None else self._texts(attachments),
         )
 
     def register(self) -> list[str]:

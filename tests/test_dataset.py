@@ -86,6 +86,7 @@ def test_end_to_end(spark, ds, tmp_path, rows):
     assert q("select * from reports") == sorted([(1, "7", "a", None), (1, "8", "b", None), (2, "7", None, 3)], key=repr)
     assert q("select run_id, res_1_q_answer from report_prompts") == [(1, "Why?")]
     assert q("select * from report_3") == [(3, 7, 3)] and q("select * from report_2_job_9") == [(2, 1, 2)]
+    assert "content:binary" not in ds.frames().texts._jdf.queryExecution().toString()  # files are listed, and only texts opened
     assert q("select name, state from attachment_states") == [("f.json", '{"v":1}')]
     assert q("select name, public_path, content from attachment_content") == [("f.json", "p/1", '{"v":1}')]
     assert ("report", 3, "coursework", True) in q("select type, run_id, report_type, complete from downloads")

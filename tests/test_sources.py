@@ -8,8 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from runlake.sources import (
-    append_records, collect_capped, csv_lines, csv_records, has_multiline_cells, json_friendly, list_files, read_cells, read_membership, read_record_lines,
-    read_segments, read_store, read_text_files, scan_report_csv, split_cells, with_identity, write_membership, write_result, write_store,
+    append_records, collect_capped, csv_lines, csv_records, has_multiline_cells, json_friendly, list_files, read_cells, read_chosen_texts, read_membership, read_record_lines,
+    read_segments, read_store, read_text_files, scan_report_csv, split_cells, text_chunks, with_identity, write_membership, write_result, write_store,
 )
 from runlake.sources.csvs import DIALECT
 
@@ -161,6 +161,41 @@ def test_text_files_above_the_limit_have_a_reason(spark, tmp_path, rows):
     assert found == [("large.txt", None, "8 bytes, more than the limit of 5"), ("small.txt", "abc", None)]
 
 
+def test_only_chosen_files_are_opened(spark, tmp_path, rows):
+    texts = {"x y.json": "{é\\n}", "empty.txt": "", "long.txt": "aé€😀" * 50, "tail.txt": "ab" * 8}
+    for name, text in texts.items():
+        (tmp_path / name).write_text(text)
+    (tmp_path / "late.txt").write_bytes(b"a" * 40 + b"\xff")
+    (tmp_path / "cut.txt").write_bytes("€".encode()[:2])
+    files = list_files(spark, str(tmp_path)).collect()
+    gone = spark.createDataFrame(files, "file string, path string, size bigint")
+    gone = gone.union(spark.createDataFrame([(n, f"file:{tmp_path}/{n}", k) for n, k in (("song.mp3", 3), ("empty.txt", 0))]))  # Spark lists no empty files
+    # The file that is not there would fail if it were opened.
+    chosen = gone.where("file <> 'song.mp3'")
+    assert rows(read_chosen_texts(chosen), "file", "content", "reason") == sorted(((n, t, None) for n, t in texts.items()), key=repr)
+    for size in (7, 16, 1000):
+        found = {}
+        for r in text_chunks(chosen, size).orderBy("file", "chunk").collect():
+            found.setdefault(r.file, []).append(r.content)
+        assert {n: "".join(c) for n, c in found.items()} == texts
+        assert all(len(c) == max(1, -(-len(texts[n].encode()) // size)) for n, c in found.items())
+    with pytest.raises(Exception, match="song.mp3"):
+        read_chosen_texts(gone).collect()
+    assert rows(read_chosen_texts(chosen.limit(0))) == []
+
+
+def test_chosen_texts_above_the_limit_have_a_reason(spark, tmp_path, rows):
+    (tmp_path / "small.txt").write_text("abc")
+    (tmp_path / "large.txt").write_text("abcdefgh")
+    spark.conf.set("spark.sql.sources.binaryFile.maxLength", "5")
+    try:
+        found = rows(read_chosen_texts(list_files(spark, str(tmp_path))), "file", "content", "reason")
+    finally:
+        spark.conf.unset("spark.sql.sources.binaryFile.maxLength")
+    assert found == [("large.txt", None, "8 bytes, more than the limit of 5"), ("small.txt", "abc", None)]
+    assert [r.content for r in text_chunks(list_files(spark, str(tmp_path)).where("file = 'large.txt'"), 5).orderBy("chunk").collect()] == ["abcde", "fgh"]
+
+
 def result(spark):
     return spark.createDataFrame(
         [(1, 1.5, float("nan"), Decimal("0.10"), Decimal(2) ** 70, datetime(2024, 1, 1, 0, 0, 1, 500000, tzinfo=timezone.utc), date(2024, 1, 2), bytearray(b"hi"), None, 'a "q", b', True),
