@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from runlake.functions import ANSWER_KEY
-from runlake.operators import describe_csv, membership_of, union_runs
+from runlake.operators import describe_csv, membership_of, recover_report_type, union_runs
 from runlake.plans import Dataset, list_datasets, register_views, sql
 from runlake.session import work_dir
 from runlake.sources import (
-    append_records, failed_casts, read_cells, read_membership, read_record_lines, read_segments, read_store, read_text_files,
-    scan_report_csv, write_membership, write_store,
+    append_records, failed_casts, list_files, read_cells, read_chosen_texts, read_membership, read_record_lines, read_segments, read_store,
+    read_text_files, scan_report_csv, text_chunks, write_membership, write_store,
 )
 
 from . import shapes as S
@@ -105,6 +105,40 @@ def text_files_read(spark, sf):
     return content.groupBy(F.regexp_extract("path", r"part=(\d+)/", 1).cast("bigint").alias("part")).agg(F.sum("n").alias("chars"))
 
 
+@query("""
+SELECT doc_id // 50 AS part, sum(length(text) + 1)::BIGINT AS chars, CAST(ceil(sum(strlen(text) + 1) / 4096) AS BIGINT) AS chunks FROM documents GROUP BY ALL""")
+def chosen_texts_read(spark, sf):
+    """Documents as text files beside others, chosen by name before any is opened; the same as chunk rows of 4096 bytes."""
+    path = work_dir(spark, "texts")
+    part = F.floor(F.col("doc_id") / 50).alias("part")
+    S.table(spark, sf, "documents").select("text", part).repartition("part").write.partitionBy("part").text(path + "/documents")
+    S.table(spark, sf, "pages").select("html").write.text(path + "/pages")
+    files = list_files(spark, path).where(F.col("path").contains("/documents/part="))
+    number = F.regexp_extract("path", r"part=(\d+)/", 1).cast("bigint").alias("part")
+    chars = read_chosen_texts(files).groupBy(number).agg(F.sum(F.length("content")).alias("chars"))
+    chunks = text_chunks(files, 4096).groupBy(number).agg(F.sum(F.length("content")).alias("in_chunks"), F.count("*").alias("chunks"))
+    return chars.join(chunks, "part").where("chars = in_chunks").select("part", "chars", "chunks")
+
+
+@query("""
+SELECT 'customers' AS report, 'answers' AS report_type, false AS recovered, count(*) AS row_count FROM customer
+UNION ALL SELECT 'suppliers', 'recovered', true, count(*) FROM supplier
+UNION ALL SELECT 'events', 'log', false, count(*) FROM events""")
+def recovered_report_files(spark, sf):
+    """CSV files without provenance, their types and row counts from what they hold."""
+    frames = {"customers": S.report_run_1(spark, sf), "suppliers": S.report_run_2(spark, sf), "events": S.table(spark, sf, "events")}
+    found = []
+    for name, df in frames.items():
+        path, report = work_dir(spark, "csv"), F.lit(name).alias("report")
+        df.write.option("header", True).option("escape", '"').csv(path)
+        cells = read_cells(spark, path)
+        kind = recover_report_type(cells).select(report, "*")
+        # Only an answers report has rows that are no data; the count is of the rows of whatever type is found.
+        counts = [describe_csv(cells, t).select(report, F.lit(t).alias("report_type"), "row_count") for t in ("answers", "recovered", "log")]
+        found.append(kind.join(S.union_all(counts), ["report", "report_type"]))
+    return S.union_all(found)
+
+
 def _dataset(spark, sf) -> Dataset:
     """Runs 500 and 501 merged in one sweep, then 501 again, shrunk, with 502."""
     e = S.ev(spark, sf)
