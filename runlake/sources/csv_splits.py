@@ -3,7 +3,8 @@
 A file is read line by line in as many tasks as it has splits.  Whether a split begins inside a quoted cell
 follows from the number of quotes before it: one count per split, added up per file.  Within a split
 the running count says at which lines records start; lines before the first start belong to the
-record that an earlier split began.  Only records of several lines are put together by a shuffle.
+record that an earlier split began.  The running count shuffles lines once, by split; only records of
+several lines are shuffled again, to be put together.
 Line breaks within cells stay as they are, ``\\r\\n`` too; a reader of whole files may make them ``\\n``.
 """
 
