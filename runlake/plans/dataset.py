@@ -267,7 +267,7 @@ class Dataset:
         write_buckets(rows, f"{self.root}/{path}/records", record_type, n)
         buckets, layouts, columns = self._named_buckets(path, live, current, changed)
         write_membership(membership_of(segments, record_type), f"{self.root}/{members}")
-        covered = self._covered(segments, record_type)
+        covered = self._covered(segments, members)
         for run, count in counts.items():
             count["fetched"] = covered.get(run, (0, 0, 0))[0]
         total = (current["count"] if current else 0) + sum(c["new"] - c["removed"] for c in counts.values())
@@ -348,13 +348,14 @@ class Dataset:
                     counts[merging[0] if name == "removed" else r["_run"]][name] += r[name]
         return counts, sorted({r["bucket"] for r in rows})
 
-    def _covered(self, segments: DataFrame, record_type: str) -> dict[int, tuple[int, int, int]]:
-        """Per run its records, distinct identities and distinct endpoints."""
-        ids = normalize_identity(segments, record_type)
-        rows = ids.groupBy("_run_id").agg(
-            F.count(F.lit(1)).alias("n"), F.count_distinct(*key_columns(record_type)).alias("ids"), F.count_distinct("remote_endpoint").alias("endpoints")
-        ).collect()
-        return {r["_run_id"]: (r["n"], r["ids"], r["endpoints"]) for r in rows}
+    def _covered(self, segments: DataFrame, members: str) -> dict[int, tuple[int, int, int]]:
+        """Per run its records, distinct identities and distinct endpoints, from the membership just written."""
+        # A membership holds an identity once, so its lines are counted and only endpoints are told apart.
+        ids = self.spark.read.schema("remote_endpoint string, run_id bigint").json(f"{self.root}/{members}")
+        per_endpoint = ids.groupBy("run_id", "remote_endpoint").agg(F.count(F.lit(1)).alias("ids"))
+        found = per_endpoint.groupBy("run_id").agg(F.sum("ids").alias("ids"), F.count(F.lit(1)).alias("endpoints"))
+        records = segments.groupBy(F.col("_run_id").alias("run_id")).agg(F.count(F.lit(1)).alias("n"))
+        return {r["run_id"]: (r["n"], r["ids"], r["endpoints"]) for r in records.join(found, "run_id").collect()}
 
     def _named_buckets(self, path: str, live, current, changed: Sequence[int]) -> tuple[list[dict], list[dict], dict[str, str]]:
         """Type the buckets just written; ``(buckets, layouts, columns)`` of the new version.

@@ -22,37 +22,43 @@ def read_record_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return record_lines(lines)
 
 
-def record_lines(lines: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
-    """Lines (``value, file_path, file_block_start``) as ``record`` and ``_position``, and columns to ``keep``.
+def record_lines(lines: DataFrame, of_file: Mapping[str, Column] | None = None) -> DataFrame:
+    """Lines (``value, file_path, file_block_start``) as ``record`` and ``_position``, and columns that follow from ``file_path``.
 
     Positions compare like places in the files: by file, by split, then by line.  Files are ordered
-    by name with runs of digits as numbers, so page 10 comes after page 2.
+    by name with runs of digits as numbers, so page 10 comes after page 2.  What follows from the file is computed once
+    a file, not a line: the lines are scanned for their paths, and the few paths go back to them.
     """
-    parts = F.regexp_extract_all("file_path", F.lit(r"(\d+|\D+)"))
+    parts = F.regexp_extract_all("_path", F.lit(r"(\d+|\D+)"))
     natural = F.array_join(F.transform(parts, lambda x: F.when(x.rlike(r"^\d{1,19}$"), F.lpad(x, 20, "0")).otherwise(x)), "")
-    position = F.struct(
-        natural.alias("file"), F.col("file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("line"),
-    )
-    return lines.select(F.col("value").alias("record"), position.alias("_position"), *keep).where(F.trim("record") != "")
+    files = lines.select(F.col("file_path").alias("_path")).distinct().withColumn("_file", natural)
+    files = files.select("*", *[c.alias(name) for name, c in (of_file or {}).items()])
+    numbered = lines.withColumn("_line", F.monotonically_increasing_id()).where(F.trim("value") != "")
+    found = numbered.join(F.broadcast(files), numbered["file_path"].eqNullSafe(files["_path"]), "left")
+    position = F.struct(F.col("_file").alias("file"), F.col("file_block_start").alias("block"), F.col("_line").alias("line"))
+    return found.select(F.col("value").alias("record"), position.alias("_position"), *(of_file or {}))
 
 
 def with_identity(records: DataFrame, record_type: str, record: str = "record") -> DataFrame:
     """Identity columns read from record text; absent is empty, anything but text an error."""
-    parsed = F.try_parse_json(F.col(record))
+    keys = key_columns(record_type)
+    # One step per parse; that JSON is an object shows in its first character, without a look at all its fields.
+    step = records.withColumn("_parsed", F.try_parse_json(F.col(record)))
+    step = step.withColumns({f"_v_{k}": F.try_variant_get("_parsed", f"$.{k}", "variant") for k in keys})
+    is_object = F.col("_parsed").isNotNull() & F.ltrim(F.col(record), F.lit(" \t\r\n")).startswith("{")
     broken = F.raise_error(F.concat(F.lit("record is no JSON object: "), F.substring(F.col(record), 1, 200)))
 
     def field(name: str) -> Column:
-        value = F.try_variant_get(parsed, f"$.{name}", "variant")
+        value = F.col(f"_v_{name}")
         kind = F.schema_of_variant(value)
         return (
-            F.when(~F.coalesce(F.schema_of_variant(parsed).startswith("OBJECT"), F.lit(False)), broken)
+            F.when(~is_object, broken)
             .when(value.isNull() | (kind == "VOID"), F.lit(""))
             .when(kind == "STRING", F.try_variant_get(value, "$", "string"))
             .otherwise(F.raise_error(F.concat(F.lit(f"identity field {name} is not text: "), F.to_json(value))))
         )
 
-    return records.withColumns({k: field(k) for k in key_columns(record_type)})
+    return step.withColumns({k: field(k) for k in keys}).drop("_parsed", *[f"_v_{k}" for k in keys])
 
 
 def stamp(records: DataFrame, fetched_at: Column, run_id: int) -> DataFrame:

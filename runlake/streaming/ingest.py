@@ -69,9 +69,8 @@ def ingest_landing(
         return []
 
     def append(batch: DataFrame, batch_id: int) -> None:
-        lines = record_lines(batch.withColumn("_at", F.regexp_extract("file_path", LANDED, 0)), keep=["_at"])
-        part = lambda group: F.regexp_extract("_at", LANDED, group)
-        rows = lines.withColumns({"run_id": part(1).cast("bigint"), "fetch": F.url_decode(part(2))}).drop("_at")
+        part = lambda group: F.regexp_extract("_path", LANDED, group)
+        rows = record_lines(batch, {"run_id": part(1).cast("bigint"), "fetch": F.url_decode(part(2))})
         dataset.add_pages(record_type, rows, f"{batch_id:09d}", fetched_at)
 
     _drained(_pages(dataset.spark, f"{landing}/run_id=*/fetch=*", pages_per_batch), append, checkpoint)

@@ -234,3 +234,29 @@ def test_export(spark, tmp_path):
     assert json.loads(text_of(tmp_path / "e", "*.txt")) == []
     with pytest.raises(ValueError):
         write_result(df, str(tmp_path / "x"), "xml")
+
+
+def _optimized(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_file_names_are_split_once_a_file(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for page, lines in (("page-10.json", ["e", "", "f"]), ("page-2.json", ["c", "  ", "d"]), ("page-1.json", ["a", "b"])):
+        (tmp_path / "in" / page).write_text("\n".join(lines) + "\n")
+    found = read_record_lines(spark, str(tmp_path / "in"))
+    assert [r["record"] for r in found.orderBy("_position").collect()] == list("abcdef")
+    assert found.select("_position.file").distinct().count() == 3
+    plan = _optimized(found)
+    assert plan.index("Join") < plan.index("Aggregate") < plan.index("regexp_extract_all")
+
+
+def test_a_record_is_parsed_once_for_its_identity(spark):
+    rows = [(' {"source_key":"a","remote_endpoint":null}',), ('\t{"source_key":"b","question_id":"q"} ',)]
+    found = with_identity(spark.createDataFrame(rows, "record string"), "answers")
+    assert found.columns == ["record", "source_key", "remote_endpoint", "question_id"]
+    assert sorted(tuple(r)[1:] for r in found.collect()) == [("a", "", ""), ("b", "", "q")]
+    assert _optimized(found).count("parseJson") + _optimized(found).count("parse_json") == 1
+    for text in ("null", "[1]", '"{"', "{", "", "\u00a0{}"):
+        with pytest.raises(Exception, match="no JSON object"):
+            with_identity(spark.createDataFrame([(text,)], "record string"), "answers").collect()
